@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .sharding import op1_shards
+from .token_store import op4_tokens
 from .url_filter import op6_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards,
+    "op4_tokens": op4_tokens,
     "op6_urls": op6_urls,
 }
 
