@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .sharding import op1_shards
+from .simhash import op7_near_dup
 from .token_store import op4_tokens
 from .url_filter import op6_urls
 
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards,
     "op4_tokens": op4_tokens,
     "op6_urls": op6_urls,
+    "op7_near_dup": op7_near_dup,
 }
 
 ORACLE: dict[str, str] = {}
