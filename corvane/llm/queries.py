@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import ORACLE_OP5, op5_decontaminate
 from .sharding import op1_shards
 from .simhash import op7_near_dup
 from .token_store import op4_tokens
@@ -14,8 +15,11 @@ from .url_filter import op6_urls
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards,
     "op4_tokens": op4_tokens,
+    "op5_decontaminate": op5_decontaminate,
     "op6_urls": op6_urls,
     "op7_near_dup": op7_near_dup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_decontaminate": ORACLE_OP5,
+}
