@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import ORACLE_OP5, op5_decontaminate
 from .sharding import op1_shards
 from .simhash import op7_near_dup
+from .suffix_dedup import op10_repeats
 from .token_store import op4_tokens
 from .url_filter import op6_urls
 
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_urls": op6_urls,
     "op7_near_dup": op7_near_dup,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE: dict[str, str] = {
