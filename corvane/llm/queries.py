@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import ORACLE_OP5, op5_decontaminate
+from .langid import op3_language
 from .sharding import op1_shards
 from .simhash import op7_near_dup
 from .suffix_dedup import op10_repeats
@@ -15,6 +16,7 @@ from .url_filter import op6_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards,
+    "op3_language": op3_language,
     "op4_tokens": op4_tokens,
     "op5_decontaminate": op5_decontaminate,
     "op6_urls": op6_urls,
