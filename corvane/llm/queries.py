@@ -12,6 +12,7 @@ from .sharding import op1_shards
 from .simhash import op7_near_dup
 from .suffix_dedup import op10_repeats
 from .token_store import op4_tokens
+from .toxicity import op9_toxicity
 from .url_filter import op6_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_urls": op6_urls,
     "op7_near_dup": op7_near_dup,
+    "op9_toxicity": op9_toxicity,
     "op10_repeats": op10_repeats,
 }
 
