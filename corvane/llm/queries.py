@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import ORACLE_OP5, op5_decontaminate
 from .langid import op3_language
+from .media_avi import op8_media
 from .sharding import op1_shards
 from .simhash import op7_near_dup
 from .suffix_dedup import op10_repeats
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_urls": op6_urls,
     "op7_near_dup": op7_near_dup,
+    "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
     "op10_repeats": op10_repeats,
 }
