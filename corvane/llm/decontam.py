@@ -113,9 +113,11 @@ class Index:
             is_prefix[list(wanted)] = True
             keep = is_prefix[k]
             at, k = at[keep], k[keep]
+            if not len(k):
+                continue
             order = np.argsort(k, kind="stable")
             at, k = at[order], k[order]
-            cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(k)], strict=True):
                 for n, o in wanted[int(k[a])]:
                     w = self.arrays[n]
