@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import ORACLE_OP5, op5_decontaminate
 from .langid import op3_language
 from .media_avi import op8_media
+from .piece_dropout import op2_pieces
 from .sharding import op1_shards
 from .simhash import op7_near_dup
 from .suffix_dedup import op10_repeats
@@ -18,6 +19,7 @@ from .url_filter import op6_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards,
+    "op2_pieces": op2_pieces,
     "op3_language": op3_language,
     "op4_tokens": op4_tokens,
     "op5_decontaminate": op5_decontaminate,
