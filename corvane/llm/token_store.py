@@ -138,6 +138,8 @@ class Encoder:
         pre = told.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not told.get("normalizer") and (told.get("model") or {}).get("type") == "BPE" and not (told["model"].get("dropout"))
         self.special = [t["content"] for t in told.get("added_tokens", [])]
+        self.opens = np.zeros(max([0, *self.library.get_vocab().values()]) + 1, bool)  # ids whose bytes begin with a space
+        self.opens[[i for t, i in self.library.get_vocab().items() if t.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -158,8 +160,15 @@ class Encoder:
             self.known.clear()
             new = set(itertools.chain.from_iterable(p for _, p in cut))
         if new:
-            new_list = list(new)
-            self.known.update(zip(new_list, self._encode(new_list), strict=True))
+            # words after a space go to the library many at a time: each begins where an id begins with a space
+            words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+            rest = list(new.difference(words))
+            self.known.update(zip(rest, self._encode(rest), strict=True))
+            for i in range(0, len(words), 512):
+                some = words[i : i + 512]
+                (ids,) = self._encode(["".join(some)])
+                at = (np.flatnonzero(self.opens[np.frombuffer(ids, "<u4")]) * 4).tolist()
+                self.known.update((p, ids[a:b]) for p, a, b in zip(some, at, [*at[1:], len(ids)], strict=True))
         get = self.known.__getitem__
         for i, pieces in cut:
             out[i] = b"".join(map(get, pieces))
