@@ -37,7 +37,7 @@ from .common import new_table, quoted, ship
 MAGIC = b"DAC1"
 BLOCK = 512
 #: Bytes of text that go into one segment, and pieces that an encoder remembers.
-SEGMENT_BYTES, REMEMBERED = 4 << 20, 400_000
+SEGMENT_BYTES, REMEMBERED = 4 << 20, 800_000
 
 
 # ---- the format ----
