@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import search
+
+_MODULES = [search]
+
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
