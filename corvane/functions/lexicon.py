@@ -74,13 +74,14 @@ DYNAMIC_PATHS = [
 URL_LANGUAGES = ["en", "uk", "ru"]
 URL_LANGUAGE_DEFAULT = "pl"
 
+# The patterns below hold whatever the case of letters; in the first a dot may stand for a line end.
 COUNTDOWN_MARKERS = ["pierwszego", "zarezerwuj", "liczba miejsc"]
 COOKIE_MARKERS = ["cookie", "cookies", "plików cookie", "plików cookies"]
 CONSENT_MARKERS = ["akceptuj", "zaakceptuj", "odrzuć", "ustawienia", "zgadzam", "accept", "reject", "settings", "consent"]
-COUNTDOWN_WIDGET = r"(?is)\bstart\s*pierwszego\s*zarezerwuj\s*liczba\s+miejsc\s*start\s*\d+\s*:\s*\d+\s*:\s*\d+\s*:\s*\d+\s*studiów\s*października\s*swoje\s+miejsce\s*ograniczona\s*studiów"
+COUNTDOWN_WIDGET = r"\bstart\s*pierwszego\s*zarezerwuj\s*liczba\s+miejsc\s*start\s*\d+\s*:\s*\d+\s*:\s*\d+\s*:\s*\d+\s*studiów\s*października\s*swoje\s+miejsce\s*ograniczona\s*studiów"
 
 RESPONSE_KEYWORDS = ["price", "pricing", "tuition", "fee", "fees", "czes", "opl", "calculator", "kalkulator", "ajax", "api"]
-PRICE_PATTERN = r"(?i)zł/m-c|[0-9]{3,5}\s*(zł|PLN)"
+PRICE_PATTERN = r"zł/m-c|[0-9]{3,5}\s*(zł|PLN)"
 PRICE_PENDING, PRICE_RAW = "Cennik w przygotowaniu", '"ctaMore"'
 
 #: Answers where nothing was found, by the language's name or code; English otherwise.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -76,8 +83,8 @@ def confidence(score: Column) -> Column:
 
 def excerpt(c: Column) -> Column:
     """The stripped text; if over 1200 characters, its first 1197 up to the last space, and three dots."""
-    t = strip(c)
-    return F.when(F.char_length(t) > X.EXCERPT_MOST, F.concat(F.regexp_replace(F.substring(t, 1, X.EXCERPT_CUT), r" [^ ]*\z", ""), F.lit("..."))).otherwise(t)
+    cut = lambda t: F.concat(F.regexp_replace(F.substring(t, 1, X.EXCERPT_CUT), r" [^ ]*\z", ""), F.lit("..."))
+    return let(strip(c), lambda t: F.when(F.char_length(t) > X.EXCERPT_MOST, cut(t)).otherwise(t))
 
 
 def or_default(c: Column, default) -> Column:
