@@ -137,7 +137,7 @@ class Model:
         for code in self.langs:
             self.families.setdefault(family_of(code), []).append(code)
         scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5) if len(x) else np.ones(x.shape[1])
-        z = (x * scale).astype(np.float32)
+        z = x * scale.astype(np.float32)
         own, kin = np.array(langs), np.array([family_of(v) for v in langs])
         self.pairs: list[tuple[str, str, str]] = []
         found = []
