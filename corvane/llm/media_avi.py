@@ -344,26 +344,35 @@ def clip_rows(media: DataFrame, key: str = "doc_id", column: str = "media") -> D
     return media.select(quoted(key).cast("long").alias("doc_id"), quoted(column).alias("media")).mapInArrow(run, "doc_id long, clip int, first_frame long, n_frames long, start_s double, end_s double")
 
 
-def read_back(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and what the stored bytes give: digests of payload and file, and the shots as a text."""
-    ship(media.sparkSession)
+def features(media: bytes) -> dict:
+    """What the stored bytes give: digests of the payload and of the file, and the shots as a text."""
+    v = Avi(media)
+    frames = v.frames()
+    payload = v.payload(frames)
+    begin = shots(frames)
+    at = ",".join(f"{a / v.rate:.2f}" for a in begin)
+    return {
+        "payload_bytes": len(payload),
+        "payload_sha256": hashlib.sha256(payload).hexdigest(),
+        "tail_crc32": zlib.crc32(payload[-BLOCK:]),
+        "media_bytes": len(media),
+        "media_sha256": hashlib.sha256(media).hexdigest(),
+        "feature": f"{v.width}x{v.height}@{v.rate:g} frames={len(frames)} shots={len(begin)} at={at}",
+    }
+
+
+def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes and the features of every text's file; a file lives in its task until it has been read back."""
+    ship(docs.sparkSession)
     kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = {k: [] for k in list(kinds)[2:]}
-            for x in b.column(2).to_pylist():
-                v = Avi(x)
-                frames = v.frames()
-                payload = v.payload(frames)
-                begin = shots(frames)
-                cut = ",".join(f"{a / v.rate:.2f}" for a in begin)
-                for k, got in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(x), hashlib.sha256(x).hexdigest(), f"{v.width}x{v.height}@{v.rate:g} frames={len(frames)} shots={len(begin)} at={cut}"), strict=True):
-                    out[k].append(got)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, kinds[k]) for k, v in out.items())], names=list(kinds))
+            rows = [{"doc_id": i, "n_bytes": len((t or "").encode("utf-8", "surrogatepass")), **features(avi_write(padded(t)))} for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], kind) for k, kind in kinds.items()})
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(to_avi(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return media_features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
