@@ -20,7 +20,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def clamp(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(c, F.lit(1.0)))
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(c, F.lit(1.0))))
 
 
 def unit(a: Column) -> Column:

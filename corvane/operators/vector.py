@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions import vectors as V
+from corvane.shipping import ship
 
 #: Queries that go to the tasks at once; more are taken in blocks.
 BLOCK = 10_000
@@ -54,6 +55,7 @@ def embed(chunks: DataFrame, text: Column, embedder: Callable[[list[str]], list[
     """chunks with an `embedding`, by a callable that takes texts in batches; another length than `dimension` raises."""
     import pyarrow as pa
 
+    ship(chunks.sparkSession)
     rows = chunks.withColumn("_text", text)
     at = rows.columns.index("_text")
     schema = rows.drop("_text").withColumn("embedding", F.lit(None).cast("array<float>")).schema
