@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import urls as U
+from corvane.runtime import cut
 
 
 def allowed_by_rules(pages: DataFrame, url: str, rules: DataFrame) -> DataFrame:
@@ -37,17 +38,18 @@ def route(links: DataFrame, url: str, domains: list[str]) -> DataFrame:
     return links.withColumn("route", kind).withColumn("target", F.when(F.col("route") == "pdf", U.without_fragment(u)).when(F.col("route") == "page", U.normalize(u)))
 
 
-def frontier(edges: DataFrame, start: DataFrame, depth: int, cut=None) -> DataFrame:
+def frontier(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """Breadth-first levels: node, level of all nodes that `start` (node) reaches within `depth` steps over edges (src, dst).
 
-    Each round joins the last level only and drops what was visited; cut(df) may store a round's result.
+    Each round joins the last level only and drops what was visited; its result is stored, so rounds don't compute each other again.
     """
-    cut = cut or (lambda df: df)
-    last = start.select("node").distinct().withColumn("level", F.lit(0).cast("long"))
+    last = cut(start.select("node").distinct().withColumn("level", F.lit(0).cast("long")))
     seen = last
     for n in range(1, depth + 1):
         step = last.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         last = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(n).cast("long")))
+        if last.isEmpty():
+            break
         seen = seen.unionByName(last)
     return seen
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions import vectors as V
-from corvane.shipping import ship
+from corvane.runtime import ship
 
 #: Queries that go to the tasks at once; more are taken in blocks.
 BLOCK = 10_000

@@ -1,17 +1,55 @@
-"""Gives this package to the executors."""
+"""What operators ask of a session: shared storage, stored cuts of lineage, and this package on the executors."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Bytes of rows that go to a Python worker at once. Rows hold whole texts, so counting them bounds nothing.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Only where that setting is missing and the master is local is a folder of this machine taken.
+    """
+    sc = spark.sparkContext
+    told = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    now = sc._jsc.sc().getCheckpointDir()
+    if not told and now.isDefined():
+        told = now.get()
+    if not told:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set; a cluster needs a folder that all its executors share")
+        told = "file://" + tempfile.mkdtemp(prefix="corvane-")
+        spark.conf.set("spark.checkpoint.dir", told)
+    if not now.isDefined():
+        sc.setCheckpointDir(told)
+    return told
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and stored in the shared folder; its lineage ends there."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def new_table(spark: SparkSession, what: str) -> str:
+    """A path for one table in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/corvane/{what}-{uuid.uuid4().hex}"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package's code to the executors, once for each context."""
+    """Sends the package's code to the executors, once for each context, and bounds the batches sent to Python."""
+    if int(spark.conf.get(BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_corvane_shipped", False):
         return
