@@ -283,6 +283,24 @@ _PACKED = rf"""(SELECT doc_id, lang, source, text, CAST(seq AS BIGINT) AS seq, c
   SELECT doc_id, lang, source, text, CASE WHEN length(text) <= 1800 OR len(pars) = 0 THEN [text] ELSE string_split(list_reduce(pars, lambda a, p: CASE
     WHEN length(string_split(a, {_SEP})[-1]) + length(p) + 1 > 1800 THEN a || {_SEP} || p ELSE a || chr(10) || p END), {_SEP}) END AS ps
   FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda p: {O.strip('p')} <> '') AS pars FROM documents))) WHERE length(chunk) >= 15)"""
+_MD = f"CASE WHEN {_CONTENT} THEN {H.sql('html', H.MARKDOWN)} ELSE '' END"
+_QUIET_MD = rf"""(SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex(m, '\n\s*\n'), lambda b: {O.strip('b')}),
+  lambda b: b <> '' AND {_COUNT} < 2 AND NOT ({_HAS(X.COOKIE_MARKERS)} AND {_HAS(X.CONSENT_MARKERS)})), {_NL2}) AS quiet FROM (SELECT page_id, {_MD} AS m FROM pages))"""
+_HEADINGS = rf"""WITH md AS (SELECT page_id, kept, title FROM {_distinct_blocks(_QUIET_MD, 'page_id', 'quiet', _NL2)} JOIN (SELECT page_id, {_TITLE} AS title FROM pages) USING (page_id)),
+ln AS (SELECT page_id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT page_id, string_split(kept, chr(10)) AS l FROM md)),
+hd AS (SELECT *, regexp_matches({O.strip('line')}, '^#{{1,6}}\s+.*$') AS head FROM ln),
+sc AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS sec FROM hd),
+hs AS (SELECT page_id, sec, length(regexp_extract({O.strip('line')}, '^(#{{1,6}})\s', 1)) AS level, {O.strip(f"regexp_extract({O.strip('line')}, '^#+(.*)$', 1)")} AS name FROM sc WHERE head),
+up AS (SELECT s.page_id, s.sec, string_agg(h.name, ' > ' ORDER BY h.sec) AS crumb FROM hs s JOIN hs h ON h.page_id = s.page_id AND h.sec <= s.sec
+  WHERE NOT EXISTS (SELECT 1 FROM hs k WHERE k.page_id = h.page_id AND k.sec > h.sec AND k.sec <= s.sec AND k.level <= h.level) GROUP BY s.page_id, s.sec),
+bd AS (SELECT page_id, sec, {O.strip('b')} AS body FROM (SELECT page_id, sec, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT head), '') AS b FROM sc GROUP BY page_id, sec)),
+se AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY sec) - 1 AS s, coalesce(crumb, '') AS crumb, body FROM bd LEFT JOIN up USING (page_id, sec) WHERE body <> ''
+  UNION ALL SELECT page_id, 0, '', kept FROM md WHERE page_id NOT IN (SELECT page_id FROM bd WHERE body <> '')),
+pc AS (SELECT page_id, s, crumb, generate_subscripts(ps, 1) - 1 AS p, {O.strip('unnest(ps)')} AS chunk FROM (SELECT page_id, s, crumb, CASE WHEN length(body) <= 1800 OR len(pars) = 0 THEN [body] ELSE string_split(list_reduce(pars, lambda a, p: CASE
+    WHEN length(string_split(a, {_SEP})[-1]) + length(p) + 2 > 1800 THEN a || {_SEP} || p ELSE a || {_NL2} || p END), {_SEP}) END AS ps
+  FROM (SELECT *, list_filter(string_split(body, {_NL2}), lambda p: {O.strip('p')} <> '') AS pars FROM se)))
+SELECT page_id, (s * 1000000 + p)::BIGINT AS seq, CASE WHEN crumb = '' THEN title WHEN lower(crumb) = lower(title) OR starts_with(lower(crumb), lower(title) || ' > ') THEN crumb ELSE title || ' > ' || crumb END AS section, chunk
+FROM pc JOIN md USING (page_id) WHERE length(chunk) >= 15"""
 _HASH = "sha256(text)"
 _PRIOR = f"(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'stale' ELSE {_HASH} END AS h FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT -doc_id - 1, {_HASH} FROM documents WHERE doc_id % 11 = 0)"
 _CHANGES = f"(SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.h, o.h) AS content_hash, CASE WHEN o.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'deleted' WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS status FROM (SELECT doc_id, {_HASH} AS h FROM documents) n FULL JOIN {_PRIOR} o ON n.doc_id = o.doc_id)"
@@ -314,6 +332,7 @@ ORACLE = {
     "marker_matrix": f"SELECT doc_id, array_to_string(m, '|') AS markers, CAST(len(m) AS BIGINT) AS n_markers FROM (SELECT doc_id, list_filter({O.array(MARKERS)}, lambda x: contains(lower(text), lower(x))) AS m FROM documents)",
     "keyword_context": f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS line, sha256(array_to_string(l[greatest(i - 3, 1):i + 3], chr(10))) AS window_sha256 FROM (SELECT doc_id, l, generate_subscripts(l, 1) AS i, unnest(l) AS own FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE {' OR '.join(f'contains(lower(own), {O.q(k)})' for k in KEYWORDS)}",
     "chunk_pack": f"SELECT doc_id, seq, CAST(length(chunk) AS BIGINT) AS n_chars, sha256(chunk) AS chunk_sha256 FROM {_PACKED}",
+    "chunk_headings": _HEADINGS,
     "chunk_records": f"""SELECT url, source AS title, source AS section, 'Kontakt' AS faculty, lang AS language, '2026-01-01T00:00:00+00:00' AS "lastUpdated", 'website' AS source, sha256(text) AS content_hash, sha256(chunk) AS text_sha256, seq,
       sha256(url || chr(10) || source || chr(10) || source || chr(10) || lang || chr(10) || chunk) AS chunk_hash, CASE WHEN seq = 0 THEN 2 ELSE 1 END::BIGINT AS n_metadata FROM (SELECT *, 'https://example.com/' || lang || '/kontakt/' || doc_id AS url FROM {_PACKED})""",
     "valid_records": f"SELECT 'u' || doc_id AS url, CASE WHEN doc_id % 3 <> 0 THEN 'T' ELSE 'Untitled' END AS title, 's' AS section, '' AS faculty, CASE WHEN doc_id % 5 <> 0 THEN lang ELSE 'pl' END AS language, sha256({O.strip('text')}) AS text_sha256 FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND {O.strip('text')} <> ''",
