@@ -210,6 +210,11 @@ class Coder:
                     known.update(zip(some[i : i + 20_000], self._rows(some[i : i + 20_000], v, n), strict=True))
         return [b"".join(map(self.memory[v].__getitem__, u)) for u, v in zip(units, of, strict=True)]
 
+    def forget(self) -> None:
+        """Drops the remembered units, so that a worker's memory serves what it runs next."""
+        for known in self.memory:
+            known.clear()
+
     def decode(self, ids: bytes) -> str:
         """The text that has these ids."""
         raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<i4").tolist()))
@@ -254,6 +259,7 @@ def encode_texts(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 digests = [None if t is None else hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for t, x in zip(texts[i:j], back, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(digests, pa.string()), pa.array([(t or "") == x for t, x in zip(texts[i:j], back, strict=True)])], names=names)
+        c.forget()
 
     return docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_crc32 long, text_sha256 string, lossless boolean")
 

@@ -19,8 +19,9 @@ at the same offset, so windows are compared through their anchors' suffixes.
 5. The marked ranges return to their part, where they are merged and cut.
 
 Cases: null texts count as empty; texts shorter than the window lose nothing; null ids come after all
-others; rows equal in id and text count as copies of the first of them; an empty table gives no rows; columns of
-any name are carried beside the operator's own.
+others; of different texts under one id the one with the smaller digest comes first; rows equal in id and text
+are one document, whose result each gets (without_repeats() returns one of them); an empty table gives no rows; columns
+of any name travel inside a struct.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import new_table, quoted, ship
 
@@ -169,13 +171,17 @@ class Part:
 
     def __init__(self, table: pa.Table, window: int = WINDOW):
         least: dict[bytes, int] = {}
+        place: dict[bytes, int] = {}
         texts: dict[bytes, bytes] = {}
-        for sha, i, x in zip(table["sha"].to_pylist(), table["id"].to_pylist(), table["text"].to_pylist(), strict=True):
-            least[sha] = min(least.get(sha, NO_ID), NO_ID if i is None else i)
+        for at, (sha, i, x) in enumerate(zip(table["sha"].to_pylist(), table["id"].to_pylist(), table["text"].to_pylist(), strict=True)):
+            rank = NO_ID if i is None else i
+            if sha not in least or rank < least[sha]:
+                least[sha], place[sha] = rank, at
             if x is not None:
                 texts[sha] = x.encode("utf-8", "surrogatepass") if isinstance(x, str) else x
         self.shas = sorted(texts, key=lambda s: (least[s], s))
         self.ids = np.array([least[s] for s in self.shas], np.int64)
+        self.places = [place[s] for s in self.shas]
         self.ties = np.array([int.from_bytes(s[:8], "big") >> 1 for s in self.shas], np.int64)
         sizes = np.array([len(texts[s]) for s in self.shas], np.int64)
         self.ends = np.cumsum(sizes)
@@ -313,12 +319,12 @@ def _sort_moved(window: int, gram: int):
     return run
 
 
-CUT = "sha binary, id long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+CUT = "sha binary, id long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cut_part(with_text: bool):
+def _cut_part(window: int, with_text: bool):
     def run(texts: pa.Table, spans: pa.Table) -> pa.Table:
-        p = Part(texts)
+        p = Part(texts, window)
         size = int(p.ends[-1]) if len(p.ends) else 0
         edge = np.zeros(size + 1, np.int64)
         if spans.num_rows:
@@ -331,22 +337,28 @@ def _cut_part(with_text: bool):
             g = gone[a:b]
             n = int(np.count_nonzero(g))
             rest = p.data[a:b][~g].tobytes() if n else p.data[a:b].tobytes()
-            for c, v in (("sha", sha), ("id", None if i == NO_ID else i), ("n_removed", n), ("n_spans", int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if n else 0), ("kept_sha256", hashlib.sha256(rest).hexdigest()), ("kept", rest if with_text else None)):
+            kept = rest.decode("utf-8", "ignore") if with_text else None
+            for c, v in (("sha", sha), ("id", None if i == NO_ID else i), ("n_removed", n), ("n_spans", int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if n else 0), ("kept_sha256", hashlib.sha256(rest).hexdigest()), ("kept", kept)):
                 rows[c].append(v)
-        kinds = {"sha": pa.binary(), "kept_sha256": pa.string(), "kept": pa.binary()}
-        return pa.table({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in rows.items()})
+        kinds = {"sha": pa.binary(), "kept_sha256": pa.string(), "kept": pa.string()}
+        out = {c: pa.array(v, kinds.get(c, pa.int64())) for c, v in rows.items()}
+        if not with_text:
+            del out["kept"]
+            return pa.table(out)
+        return pa.table(out | {"rest": texts["rest"].take(pa.array(p.places, pa.int64()))})
 
     return run
 
 
-def _distinct(parts: int, window: int):
+def _distinct(parts: int, window: int, with_rest: bool):
     """Drops what a task has seen: a text goes on once, and a later copy only with a smaller id (without the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for b in batches:
             out = {"part": [], "sha": [], "id": [], "text": []}
-            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            kept = []
+            for at, (i, x) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
                 raw = x.as_buffer()
                 if raw is None or raw.size < window:
                     continue
@@ -356,55 +368,98 @@ def _distinct(parts: int, window: int):
                 for c, v in (("part", int.from_bytes(sha[8:16], "big") % parts), ("sha", sha), ("id", i), ("text", None if sha in seen else x.as_py())):
                     out[c].append(v)
                 seen[sha] = rank
-            yield pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), pa.array(out["sha"], pa.binary()), pa.array(out["id"], pa.int64()), pa.array(out["text"], pa.string())], names=list(out))
+                kept.append(at)
+            columns = [pa.array(out["part"], pa.int32()), pa.array(out["sha"], pa.binary()), pa.array(out["id"], pa.int64()), pa.array(out["text"], pa.string())]
+            if with_rest:
+                columns.append(b.column(2).take(pa.array(kept, pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=[*out, *["rest"] * with_rest])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False, part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
-    """One row for each distinct text of window bytes or more: sha, id (its smallest), n_removed, n_spans, kept_sha256, kept."""
+def _schema(told: str, more: list[T.StructField]) -> T.StructType:
+    return T.StructType([*T._parse_datatype_string(told).fields, *more])
+
+
+def _loose(docs: DataFrame, names: list[str]) -> T.StructType:
+    """The type of a struct of these columns, each of which may be null, as they are once they have been stored."""
+
+    def loose(kind: T.DataType) -> T.DataType:
+        if isinstance(kind, T.StructType):
+            return T.StructType([T.StructField(f.name, loose(f.dataType)) for f in kind.fields])
+        if isinstance(kind, T.ArrayType):
+            return T.ArrayType(loose(kind.elementType))
+        return T.MapType(kind.keyType, loose(kind.valueType)) if isinstance(kind, T.MapType) else kind
+
+    return T.StructType([T.StructField(c, loose(docs.schema[c].dataType)) for c in names])
+
+
+def distinct_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, rest: list[str] | None = None, part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
+    """One row for each distinct text of window bytes or more: sha, id (its smallest), n_removed, n_spans, kept_sha256.
+
+    rest: names of columns; then also kept (the text without what repeats, and without characters that a cut broke) and
+    rest (these columns of the row with the smallest id).
+    """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(quoted(key).cast("long").alias("id"), quoted(text).alias("text"))
+    rows = docs.select(quoted(key).cast("long").alias("id"), quoted(text).alias("text"), *([F.struct(*[quoted(c).alias(c) for c in rest]).cast(_loose(docs, rest)).alias("rest")] if rest else []))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-total // part_bytes))
     buckets = max(1, -(-parts // PER_BUCKET))
     where = new_table(spark, "texts")
     name = "corvane_" + where.rpartition("-")[2]
-    distinct = rows.mapInArrow(_distinct(parts, window), "part int, sha binary, id long, text string")
+    more = [rows.schema["rest"]] if rest else []
+    distinct = rows.mapInArrow(_distinct(parts, window, bool(rest)), _schema("part int, sha binary, id long, text string", more))
     distinct.repartition(buckets, "part").write.bucketBy(buckets, "part").sortBy("part").option("path", where).option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
-    first = texts.groupBy("part").applyInArrow(_first_digits(window, gram), FIRST)
-    of_h = W.partitionBy("h")
-    counted = first.withColumn("all", F.sum("n").over(of_h)).where("all > 1")
+    plain = texts.select("part", "sha", "id", "text")
+    first = plain.groupBy("part").applyInArrow(_first_digits(window, gram), FIRST)
+    counted = first.withColumn("all", F.sum("n").over(W.partitionBy("h"))).where("all > 1")
     counted = counted.select("part", "h", (F.col("all") > hot).alias("hot"), (F.col("all") > F.col("n")).alias("elsewhere"))
-    moved = texts.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_sort_part(window, gram), MOVED)
+    moved = plain.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_sort_part(window, gram), MOVED)
     spans = moved.repartition(F.col("g")).sortWithinPartitions("g").mapInArrow(_sort_moved(window, gram), SPANS)
-    return texts.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_cut_part(with_text), CUT)
+    return texts.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_cut_part(window, bool(rest)), _schema(CUT + ", kept string" * bool(rest), more))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = True, **more) -> DataFrame:
-    """Every row as struct `record`, with n_bytes, n_removed, n_spans, kept_sha256, kept (bytes, where with_text)."""
-    found = repeated_spans(docs, key, text, window, with_text=with_text, **more).withColumnRenamed("id", "first_id")
-    names = [c for c in docs.columns if with_text or c in (key, text)]
-    record = F.struct(*[quoted(c).alias(c) for c in names if with_text or c != text] or [quoted(key).alias(key)])
+def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, **more) -> DataFrame:
+    """Of every row: id, n_bytes, n_removed, n_spans, kept_sha256. Texts stay where they are; digests find each row's result."""
+    found = distinct_texts(docs, key, text, window, **more).withColumnRenamed("id", "first_id")
     body = F.coalesce(quoted(text), F.lit("")).cast("binary")
-    rows = docs.select(record.alias("record"), quoted(key).cast("long").alias("id"), F.unhex(F.sha2(body, 256)).alias("sha"), F.octet_length(body).cast("long").alias("n_bytes"))
-    # of rows equal in id and text one is the first: which one, other columns decide
-    rows = rows.withColumn("copy", F.row_number().over(W.partitionBy("sha", "id").orderBy(F.to_json("record"))))
+    rows = docs.select(quoted(key).cast("long").alias("id"), F.unhex(F.sha2(body, 256)).alias("sha"), F.octet_length(body).cast("long").alias("n_bytes"))
     rows = rows.join(found, "sha", "left")
-    long = F.col("n_bytes") >= window
-    first = (F.col("copy") == 1) & F.col("id").eqNullSafe(F.col("first_id"))
+    short, first = F.col("n_bytes") < window, F.col("id").eqNullSafe(F.col("first_id"))
     return rows.select(
-        "record",
+        "id",
         "n_bytes",
-        F.when(~long, F.lit(0)).when(first, F.col("n_removed")).otherwise(F.col("n_bytes")).cast("long").alias("n_removed"),
-        F.when(~long, F.lit(0)).when(first, F.col("n_spans")).otherwise(F.lit(1)).cast("long").alias("n_spans"),
-        F.when(~long, F.lower(F.hex("sha"))).when(first, F.col("kept_sha256")).otherwise(F.lit(EMPTY_SHA)).alias("kept_sha256"),
-        *([F.when(~long, F.coalesce(F.col(f"record.`{text}`"), F.lit("")).cast("binary")).when(first, F.col("kept")).otherwise(F.lit("").cast("binary")).alias("kept")] if with_text else []),
+        F.when(short, F.lit(0)).when(first, F.col("n_removed")).otherwise(F.col("n_bytes")).cast("long").alias("n_removed"),
+        F.when(short, F.lit(0)).when(first, F.col("n_spans")).otherwise(F.lit(1)).cast("long").alias("n_spans"),
+        F.when(short, F.lower(F.hex("sha"))).when(first, F.col("kept_sha256")).otherwise(F.lit(EMPTY_SHA)).alias("kept_sha256"),
     )
 
 
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, **more) -> DataFrame:
+    """docs' columns, with repeats cut out of the texts; rows of which nothing is left go, such as all later copies."""
+    rest = [c for c in docs.columns if c != text]
+    found = distinct_texts(docs, key, text, window, rest=rest, **more).where("kept <> ''")
+    kept = found.select(*[F.col("kept").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns])
+    # shorter texts can't repeat a window
+    return kept.unionByName(docs.where(F.coalesce(F.octet_length(quoted(text)), F.lit(0)) < window))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
-    return found.select(F.col("record.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return removed(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+
+
+ORACLE_OP10 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+    SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM again)) GROUP BY doc_id, run),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS left_part, max(b) AS last, sum(b - a) AS gone, count(*) AS n_spans
+  FROM (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs) JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(left_part, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
