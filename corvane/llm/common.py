@@ -1,60 +1,17 @@
-"""What the operators of this subpackage share: shared storage, code shipping, text helpers."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from corvane.runtime import cut, new_table, shared_dir, ship
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where that setting is missing and the master is local is a folder of this machine taken.
-    """
-    sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    now = sc._jsc.sc().getCheckpointDir()
-    if not told and now.isDefined():
-        told = now.get()
-    if not told:
-        if not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir is not set; a cluster needs a folder that all its executors share")
-        told = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", told)
-    if not now.isDefined():
-        sc.setCheckpointDir(told)
-    return told
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and stored in the shared folder; its lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def new_table(spark: SparkSession, what: str) -> str:
-    """A path for one table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/corvane/{what}-{uuid.uuid4().hex}"
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once for each context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_corvane_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    to = os.path.join(tempfile.mkdtemp(prefix="corvane-code-"), "corvane_code.zip")
-    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(to)
-    sc._corvane_shipped = True
+__all__ = ["added", "cut", "near_name", "new_table", "quoted", "shared_dir", "ship"]
 
 
 def quoted(name: str) -> Column:
@@ -62,10 +19,39 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns of df, and no others."""
-    return df.select(*[quoted(c).alias(c) for c in columns])
+def near_name(taken: list[str], name: str) -> str:
+    """name, with as many _ after it as it takes to differ from those taken."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
-def empty_like(df: DataFrame) -> bool:
-    return df.isEmpty()
+def added(df: DataFrame, read: str, new: str, *steps: Callable[[pa.Array, list[pa.Array]], list[pa.Array]]) -> tuple[DataFrame, list[str]]:
+    """df with the columns of schema `new`, and the names they got (changed where df has them).
+
+    Each step takes the column `read` and the new columns as the step before left them (at first null), a batch at a time.
+    All other columns travel inside one struct, so their names don't matter.
+    """
+    ship(df.sparkSession)
+    names = list(df.columns)
+    rest = [c for c in names if c != read]
+    fields = T._parse_datatype_string(new).fields
+    packed = df.select(F.struct(*[quoted(c).alias(c) for c in rest] or [F.lit(None).alias("none")]).alias("rest"), quoted(read).alias("text"), *[F.lit(None).cast(f.dataType).alias(f"new{k}") for k, f in enumerate(fields)])
+    schema = packed.schema
+
+    def runner(step):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                got = step(b.column(1), [b.column(2 + k) for k in range(len(fields))])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *got], names=schema.names)
+
+        return run
+
+    for step in steps:
+        packed = packed.mapInArrow(runner(step), schema)
+    got: list[str] = []
+    for f in fields:
+        got.append(near_name(names + got, f.name))
+    own = [F.col("text").alias(c) if c == read else F.col("rest").getField(c).alias(c) for c in names]
+    return packed.select(*own, *[F.col(f"new{k}").alias(n) for k, n in enumerate(got)]), got

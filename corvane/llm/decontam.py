@@ -12,7 +12,7 @@ each block is one more pass over the rows, which carry their hits along; no bloc
 
 Cases: null and empty texts have no words and no hits; an item without words occurs nowhere; repeated
 items with one id count once, null item ids are not named; repeated rows are judged alike; an empty
-benchmark hits nothing; other columns stay as they are (near_name keeps the added ones from clashing).
+benchmark hits nothing; other columns stay as they are, and added ones get names that are free.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import quoted, ship
+from .common import added, quoted, ship
 
 WINDOW, SHINGLE = 10, 3
 #: Bytes of benchmark text in one block; what a worker holds of the benchmark at once is a few times that.
@@ -161,77 +161,61 @@ def _counter(index):
     return count
 
 
-def _search(index, last: bool, n_columns: int):
-    """Adds the block's hits to the carried columns: n_words, hit (bits), items."""
+def _search(index):
+    """Adds a block's hits to n_words, hit (bits) and items of each text."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(column: pa.Array, old: list[pa.Array]) -> list[pa.Array]:
         x: Index = index.value
-        for b in batches:
-            texts = b.column(n_columns).to_pylist()
-            hits, items, counts = b.column(n_columns + 2).to_pylist(), b.column(n_columns + 3).to_pylist(), []
-            for i, j in _groups(texts):
-                lists = [words_of(t) for t in texts[i:j]]
-                sizes = np.array([len(w) for w in lists], np.int64)
-                counts += sizes.tolist()
-                starts = np.cumsum(sizes + 1) - sizes - 1
-                ids = x.ids(lists)
-                edge, owners = np.zeros(len(ids) + 1, np.int64), {}
-                for n, begin in x.occurrences(ids):
-                    np.add.at(edge, begin, 1)
-                    np.add.at(edge, begin + len(x.windows[n]), -1)
-                    for d in np.unique(np.searchsorted(starts, begin, side="right") - 1).tolist():
-                        owners.setdefault(d, set()).update(x.owners[n])
-                covered = np.cumsum(edge)[:-1] > 0
-                for d, own in owners.items():
-                    mine = np.packbits(covered[starts[d] : starts[d] + sizes[d]])
-                    if hits[i + d]:
-                        mine = mine | np.frombuffer(hits[i + d], np.uint8)
-                    hits[i + d] = mine.tobytes()
-                    items[i + d] = sorted({*(items[i + d] or []), *own})
-            columns = [b.column(k) for k in range(n_columns)]
-            yield pa.RecordBatch.from_arrays([*columns, b.column(n_columns), pa.array(counts, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=b.schema.names)
+        texts, hits, items, counts = column.to_pylist(), old[1].to_pylist(), old[2].to_pylist(), []
+        for i, j in _groups(texts):
+            lists = [words_of(t) for t in texts[i:j]]
+            sizes = np.array([len(w) for w in lists], np.int64)
+            counts += sizes.tolist()
+            starts = np.cumsum(sizes + 1) - sizes - 1
+            ids = x.ids(lists)
+            edge, owners = np.zeros(len(ids) + 1, np.int64), {}
+            for n, begin in x.occurrences(ids):
+                np.add.at(edge, begin, 1)
+                np.add.at(edge, begin + len(x.windows[n]), -1)
+                for d in np.unique(np.searchsorted(starts, begin, side="right") - 1).tolist():
+                    owners.setdefault(d, set()).update(x.owners[n])
+            covered = np.cumsum(edge)[:-1] > 0
+            for d, own in owners.items():
+                mine = np.packbits(covered[starts[d] : starts[d] + sizes[d]])
+                if hits[i + d]:
+                    mine = mine | np.frombuffer(hits[i + d], np.uint8)
+                hits[i + d] = mine.tobytes()
+                items[i + d] = sorted({*(items[i + d] or []), *own})
+        return [pa.array(counts, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
 
     return search
 
 
-def near_name(taken: list[str], name: str) -> str:
-    """name, with as many _ after it as it takes to differ from those taken."""
-    low = {t.lower() for t in taken}
-    while name.lower() in low:
-        name += "_"
-    return name
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[str]]:
-    """docs with four more columns, and their names: the text again, n_words, hit (bits of the words hit, null if none), items (sorted ids as strings)."""
+    """docs with three more columns, and their names: n_words, hit (bits of the words hit, null if none), items (sorted ids as strings, null if none)."""
     spark = docs.sparkSession
     ship(spark)
     bench = benchmark.select(quoted(item).cast("string").alias("i"), quoted(item_text).alias("t")).distinct()
     total = bench.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     bench = bench.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
-    names = list(docs.columns)
-    added = []
-    for n in ("text", "n_words", "hit", "items"):
-        added.append(near_name(names + added, n))
-    out = docs.select(*[quoted(c).alias(c) for c in names], quoted(text).alias(added[0]), F.lit(0).cast("long").alias(added[1]), F.lit(None).cast("binary").alias(added[2]), F.lit(None).cast("array<string>").alias(added[3]))
+    steps = []
     for k in range(blocks):
         # one block is bounded by its bytes: it goes to the driver and to every worker
         index = Index([(r["i"], r["t"]) for r in bench.where(F.col("block") == k).select("i", "t").collect()])
-        sent = spark.sparkContext.broadcast(index)
         counts = {q: np.zeros(len(c), np.int64) for q, c in index.codes.items()}
         if index.windows:
-            each = docs.select(quoted(text).alias("t")).mapInArrow(_counter(sent), "q int, k long, n long")
+            each = docs.select(quoted(text).alias("t")).mapInArrow(_counter(spark.sparkContext.broadcast(index)), "q int, k long, n long")
             for r in each.groupBy("q", "k").agg(F.sum("n").alias("n")).collect():  # one row for each shingle of the block at most
                 counts[r["q"]][r["k"]] = r["n"]
         index.prefixes(counts)
-        out = out.mapInArrow(_search(spark.sparkContext.broadcast(index), k == blocks - 1, len(names)), out.schema)
-    return out, added
+        steps.append(_search(spark.sparkContext.broadcast(index)))
+    return added(docs, text, "n_words long, hit binary, items array<string>", *steps)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found, (_, n_words, hit, items) = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found, (n_words, hit, items) = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     names = F.coalesce(F.col(items), F.array().cast("array<string>"))
     return found.select(
         "doc_id",

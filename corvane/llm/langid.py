@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import quoted, ship
+from .common import added, quoted, ship
 
 PER_LANGUAGE, SEED = 400, 5
 #: Buckets for each length of string.
@@ -219,24 +219,19 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return Model(x, [r["lang"] for r in got])
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with two more columns: language and score of each whole text."""
-    spark = docs.sparkSession
-    ship(spark)
-    sent = spark.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
-    out = docs.withColumns({into[0]: F.lit(None).cast("string"), into[1]: F.lit(None).cast("double")})
+def identify(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, list[str]]:
+    """docs with two more columns, and their names: lang_pred and score of each whole text."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, scores = sent.value.predict(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, *into])
+    def judge(column: pa.Array, _: list[pa.Array]) -> list[pa.Array]:
+        langs, scores = sent.value.predict(column.to_pylist())
+        return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
-    return docs.mapInArrow(run, out.schema)
+    return added(docs, text, "lang_pred string, score double", judge)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = identify(docs.select("doc_id", "text"), train(docs))
+    found, _ = identify(docs.select("doc_id", "text"), train(docs))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -12,7 +12,7 @@ from .media_avi import op8_media
 from .piece_dropout import op2_pieces
 from .sharding import op1_shards
 from .simhash import op7_near_dup
-from .suffix_dedup import op10_repeats
+from .suffix_dedup import ORACLE_OP10, op10_repeats
 from .token_store import op4_tokens
 from .toxicity import op9_toxicity
 from .url_filter import op6_urls
@@ -32,4 +32,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op5_decontaminate": ORACLE_OP5,
+    "op10_repeats": ORACLE_OP10,
 }
