@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, quoted, ship
@@ -63,15 +63,19 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp holds the unsigned 64 bits as a long."""
+    """(doc_id, row, fp): row is a hash of all that a row holds, fp the unsigned 64 bits as a long."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(x.as_py()) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "row", "fp"])
 
-    return docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text"), _row(docs).alias("row")).mapInArrow(run, "doc_id long, row long, fp long")
+
+
+def _row(docs: DataFrame) -> Column:
+    return F.xxhash64(F.to_json(F.struct(*[quoted(c).alias(c) for c in docs.columns]), {"ignoreNullFields": "false"}))
 
 
 # ---- Golay keys ----
@@ -234,16 +238,27 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp and component_id (the smallest id reachable by links) of every row."""
+    """doc_id, row, fp and component_id (the smallest id reachable by links) of every row."""
     marks = cut(fingerprints(docs, key, text))
     distinct = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = cut(connected_components(links(distinct)))
     of = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = of.join(ids, "root").select("fp", "component_id")
-    return marks.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = of.join(ids, "root").select("fp", "root", "component_id")
+    return marks.join(of, "fp").select("doc_id", "row", "fp", "root", "component_id")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs, one row of each component: the one with the smallest id, null ids last, the smallest hash of the row among equal ids.
+
+    The rows of equal hash are reduced to one where they have met, so texts are exchanged once.
+    """
+    best = near_duplicates(docs, key, text).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("r")).select(F.col("r.row").alias("row"))
+    packed = docs.select(_row(docs).alias("row"), F.struct(*[quoted(c).alias(c) for c in docs.columns]).alias("record"))
+    one = packed.join(best, "row", "left_semi").groupBy("row").agg(F.first("record").alias("record"))
+    return one.select(*[F.col("record").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
