@@ -18,49 +18,25 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: lang becomes what the text is found to be in; texts without a letter go."""
-    found = langid.identify(docs.select(*docs.columns), langid.train(docs), into=("_lang", "_score"))
-    kept = found.where(F.col("_lang") != langid.UNKNOWN)
-    return kept.withColumn("lang", F.col("_lang")).select(*docs.columns)
+    found, (lang, _) = langid.identify(docs, langid.train(docs))
+    kept = found.where(F.col(lang) != langid.UNKNOWN)
+    return kept.withColumn("lang", F.col(lang)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each component the document with the smallest id stays; of rows equal in id, one."""
-    found = simhash.near_duplicates(docs)
-    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # ids are unique as a rule; of rows that share one the first in order of content stays
-    rest = [c for c in docs.columns if c != "doc_id"]
-    again = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"))
-    single = kept.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    several = kept.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r"))
-    return single.unionByName(several.select("doc_id", *[F.col(f"r.{c}").alias(c) for c in rest])).select(*docs.columns)
-
-
-def _text(spark: SparkSession) -> Callable:
-    from pyspark.sql.functions import pandas_udf
-
-    common.ship(spark)
-
-    @pandas_udf("string")
-    def decode(parts):
-        return parts.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    return decode
+    """SimHash near-dedup: of each component the document with the smallest id stays."""
+    return simhash.representatives(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Suffix-array dedup: repeated windows of 100 bytes leave the texts; broken characters at the cuts go, and texts of which nothing is left."""
-    found = suffix_dedup.remove_repeats(docs, with_text=True)
-    whole = F.col("n_removed") == 0
-    text = F.when(whole, F.col("record.text")).otherwise(_text(spark)(F.when(~whole, F.col("kept"))))
-    out = found.select(*[F.col(f"record.{c}").alias(c) for c in docs.columns if c != "text"], text.alias("text"), whole.alias("_whole"))
-    out = out.where(F.col("_whole") | (F.col("text") != ""))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Suffix-array dedup: repeated windows of 100 bytes leave the texts; texts of which nothing is left go."""
+    kept = suffix_dedup.without_repeats(docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a window of a benchmark item go."""
-    found, (_, _, hit, _) = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found, (_, hit, _) = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(F.col(hit).isNull()).select(*docs.columns)
 
 
