@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import lexicon as X
 from corvane.functions import text as T
+from corvane.runtime import cut
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, k: int, keys: list[str]) -> DataFrame:
@@ -31,8 +32,10 @@ def hybrid(questions: DataFrame, lexical: DataFrame, vector: DataFrame | None, k
 
     Returns decisions (q, confidence, retrieval_score, mode, answered) and results (q, key, score, rank).
     """
+    # the lists hold k rows a question and are used in several places: they are made once
+    lexical, vector = cut(lexical), None if vector is None or failed else cut(vector)
     best = lexical.where("rank = 1").select("q", F.col("score").alias("best"))
-    if vector is None or failed:
+    if vector is None:
         mode = "bm25-vector-fallback" if failed else "bm25"
         facts = questions.select("q").join(best, "q", "left").withColumn("top", F.lit(None).cast("double")).withColumn("fused", F.lit(False)).withColumn("mode", F.lit(mode))
     else:
@@ -45,7 +48,7 @@ def hybrid(questions: DataFrame, lexical: DataFrame, vector: DataFrame | None, k
     facts = facts.withColumn("retrieval_score", F.round(F.when(F.col("fused"), F.col("top")).otherwise(score), 4)).withColumn("answered", F.col("confidence") >= threshold)
     kept = facts.where("answered").select("q", "fused")
     plain = lexical.join(kept.where("not fused").select("q"), "q", "left_semi").where(F.col("rank") <= k).select("q", "key", "score", "rank")
-    if vector is None or failed:
+    if vector is None:
         return facts.select("q", "confidence", "retrieval_score", "mode", "answered"), plain
     own = kept.where("fused").select("q")
     fused = fuse(vector.join(own, "q", "left_semi"), lexical.join(own, "q", "left_semi"), k, ["key"])

@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not told and now.isDefined():
         told = now.get()
     if not told:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set; a cluster needs a folder that all its executors share")
         told = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", told)
