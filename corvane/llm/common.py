@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from corvane.runtime import cut, new_table, shared_dir, ship
 
-__all__ = ["added", "cut", "near_name", "new_table", "quoted", "shared_dir", "ship"]
+__all__ = ["added", "cut", "hashable", "near_name", "new_table", "quoted", "row_hash", "shared_dir", "ship"]
 
 
 def quoted(name: str) -> Column:
@@ -19,6 +19,21 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def hashable(kind: T.DataType) -> bool:
+    """Whether Spark can hash and order values of this type."""
+    if isinstance(kind, T.ArrayType):
+        return hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all that a row holds; where nulls stand counts too."""
+    parts = [quoted(f.name) if hashable(f.dataType) else F.to_json(F.struct(quoted(f.name))) for f in df.schema.fields]
+    return F.xxhash64(*parts, *[p.isNull() for p in parts])
+
+
 def near_name(taken: list[str], name: str) -> str:
     """name, with as many _ after it as it takes to differ from those taken."""
     low = {t.lower() for t in taken}

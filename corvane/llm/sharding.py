@@ -19,9 +19,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import quoted
+from .common import hashable, quoted
 
 #: Bytes that one bucket may hold in a task's memory.
 BUCKET_BYTES = 16 << 20
@@ -30,17 +29,9 @@ OVERHEAD = 16
 FAN = 1024
 
 
-def _hashable(kind: T.DataType) -> bool:
-    if isinstance(kind, T.ArrayType):
-        return _hashable(kind.elementType)
-    if isinstance(kind, T.StructType):
-        return all(_hashable(f.dataType) for f in kind.fields)
-    return not isinstance(kind, (T.MapType, T.VariantType))
-
-
 def shuffle_shards(docs: DataFrame, shards: int = 40, seed: int = 17, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All rows of docs as struct `record`, with `size`, `shard` and `slot`, in seeded random order."""
-    keys = [quoted(f.name) for f in docs.schema.fields if _hashable(f.dataType)]
+    keys = [quoted(f.name) for f in docs.schema.fields if hashable(f.dataType)]
     rows = docs.select(
         F.xxhash64(F.lit(seed), *keys).alias("h"),
         (F.coalesce(F.octet_length(quoted(text)), F.lit(0)).cast("long") + F.lit(OVERHEAD)).alias("size"),
@@ -54,7 +45,7 @@ def shuffle_shards(docs: DataFrame, shards: int = 40, seed: int = 17, text: str
     parts = counts.groupBy("part").agg(F.sum("n").alias("n"))
     parts = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
     starts = counts.join(parts, "part").select("bucket", (F.col("before") + F.sum("n").over(W.partitionBy("part").orderBy("bucket")) - F.col("n")).alias("start"))
-    ordered = all(_hashable(f.dataType) for f in docs.schema.fields)
+    ordered = all(hashable(f.dataType) for f in docs.schema.fields)
     item = F.struct("h", "size", "record") if ordered else F.struct("h", "size", F.to_json("record").alias("tie"), "record")
     held = rows.repartition(buckets, "bucket").groupBy("bucket").agg(F.collect_list(item).alias("items"))
     if not ordered:

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, quoted, ship
+from .common import cut, quoted, row_hash, ship
 from .components import connected_components
 
 SEED, SHINGLE, BITS = 42, 3, 3
@@ -71,11 +71,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             fps = np.fromiter((fingerprint(x.as_py()) for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "row", "fp"])
 
-    return docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text"), _row(docs).alias("row")).mapInArrow(run, "doc_id long, row long, fp long")
-
-
-def _row(docs: DataFrame) -> Column:
-    return F.xxhash64(F.to_json(F.struct(*[quoted(c).alias(c) for c in docs.columns]), {"ignoreNullFields": "false"}))
+    return docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text"), row_hash(docs).alias("row")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 # ---- Golay keys ----
@@ -254,7 +250,7 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     The rows of equal hash are reduced to one where they have met, so texts are exchanged once.
     """
     best = near_duplicates(docs, key, text).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("r")).select(F.col("r.row").alias("row"))
-    packed = docs.select(_row(docs).alias("row"), F.struct(*[quoted(c).alias(c) for c in docs.columns]).alias("record"))
+    packed = docs.select(row_hash(docs).alias("row"), F.struct(*[quoted(c).alias(c) for c in docs.columns]).alias("record"))
     one = packed.join(best, "row", "left_semi").groupBy("row").agg(F.first("record").alias("record"))
     return one.select(*[F.col("record").getField(c).alias(c) for c in docs.columns])
 
