@@ -66,7 +66,7 @@ def shuffle_shards(docs: DataFrame, shards: int = 40, seed: int = 17, text: str
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder for each shard, its records in the order of their slots."""
+    """One folder for each shard; every file of it holds rising slots, as many files as tasks that held buckets of the shard."""
     flat = sharded.select("record", "size", "slot", "shard")
     flat.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
