@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corvane.functions import lexicon as X
 from corvane.functions import text as T
 from corvane.operators import bm25, fusion, vector
+from corvane.runtime import widen
 
 from . import oracle as O
 
@@ -23,11 +24,11 @@ EVERY = 50
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return widen(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 def embeddings(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/embeddings.parquet")
+    return widen(spark.read.parquet(f"{d}/embeddings.parquet"))
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:

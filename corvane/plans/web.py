@@ -14,6 +14,7 @@ from corvane.functions import lexicon as X
 from corvane.functions import text as T
 from corvane.functions import urls as U
 from corvane.operators import chunk, clean, crawl, state
+from corvane.runtime import widen
 from corvane.sources import readers, sinks
 
 from . import oracle as O
@@ -29,7 +30,7 @@ WIDGET = "start pierwszego zarezerwuj liczba miejsc start 1 : 2 : 3 : 4 studiów
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/pages.parquet")
+    return widen(spark.read.parquet(f"{d}/pages.parquet"))
 
 
 def _given(key: str = "page_id") -> Column:

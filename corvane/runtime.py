@@ -60,3 +60,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(p.relative_to(root.parent)))
     sc.addPyFile(to)
     sc._corvane_shipped = True
+
+
+def widen(scan: DataFrame) -> DataFrame:
+    """A plain scan, dealt out over all cores where it has fewer parts than these, as a small file of one row group has."""
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= n else scan.repartition(n)
