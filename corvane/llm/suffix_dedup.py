@@ -14,8 +14,8 @@ at the same offset, so windows are compared through their anchors' suffixes.
    equal on both sides are exactly the repeated windows; all but the earliest are marked. Windows that
    are first within their part go on, with the bytes around their anchor.
 4. What parts send is sorted again in the same way, grouped by first digit. A first digit with more than
-   HOT occurrences is not gathered: its windows go one by one, under a 128-bit hash of their bytes, so a group
-   has one row for each part at most.
+   HOT occurrences is not gathered: its windows go one by one with their bytes, dealt by a hash of them and compared
+   byte by byte, so equal windows have one row for each part at most.
 5. The marked ranges return to their part, where they are merged and cut.
 
 Cases: null texts count as empty; texts shorter than the window lose nothing; null ids come after all
@@ -46,7 +46,7 @@ CHUNK = 1 << 19
 NO_ID = (1 << 63) - 1
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
-_C = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_C = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x27BB2EE687B0B0FD)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,17 +59,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _hash(data: np.ndarray, length: int, salt: int) -> np.ndarray:
-    """A 64-bit hash of each run of `length` bytes, put together from runs of powers of two."""
+    """A 64-bit hash of each run of `length` bytes, put together from runs of powers of two, each level with a constant of its own."""
     runs = {1: _mix(data.astype(np.uint64) + np.uint64(salt))}
     n = 1
     while 2 * n <= length:
         h = runs[n]
-        runs[2 * n] = h[:-n] * _C[(n.bit_length() + salt) % 5] + h[n:]
+        runs[2 * n] = h[:-n] * _C[(n.bit_length() + salt) % len(_C)] + h[n:]
         n *= 2
     out, done = runs[n], n
     if done < length:  # the last run overlaps
         shift = length - done
-        out = out[: len(out) - shift] * _C[(7 + salt) % 5] + out[shift:]
+        out = out[: len(out) - shift] * _C[salt % len(_C)] + out[shift:]
     return _mix(out)
 
 
@@ -205,8 +205,8 @@ def _batch(columns: dict, schema: pa.Schema) -> pa.Table:
 
 
 FIRST = "part int, h long, n long"
-MOVED = "g long, part int, doc int, start long, stop long, id long, tie long, second long, mask binary, context binary"
-_MOVED = pa.schema([("g", pa.int64()), ("part", pa.int32()), ("doc", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("id", pa.int64()), ("tie", pa.int64()), ("second", pa.int64()), ("mask", pa.binary()), ("context", pa.binary())])
+MOVED = "g long, part int, doc int, start long, stop long, id long, tie long, window binary, mask binary, context binary"
+_MOVED = pa.schema([("g", pa.int64()), ("part", pa.int32()), ("doc", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("id", pa.int64()), ("tie", pa.int64()), ("window", pa.binary()), ("mask", pa.binary()), ("context", pa.binary())])
 SPANS = "part int, doc int, start long, stop long"
 
 
@@ -259,8 +259,8 @@ def _sort_part(window: int, gram: int):
         if len(row):
             r, i = np.nonzero(left[row])
             at, d = a[row][r] - i, doc[row][r]
-            one, two = (np.concatenate([_hash(p.data[c : c + CHUNK + window - 1], window, salt) for c in range(0, max(1, len(p.data) - window + 1), CHUNK)]) for salt in (1, 2))
-            out.append(_batch({"g": one[at].view(np.int64), "part": np.full(len(at), part), "doc": d, "start": at - p.starts[d], "id": p.ids[d], "tie": p.ties[d], "second": two[at].view(np.int64)}, _MOVED))
+            one = np.concatenate([_hash(p.data[c : c + CHUNK + window - 1], window, 1) for c in range(0, max(1, len(p.data) - window + 1), CHUNK)])
+            out.append(_batch({"g": one[at].view(np.int64), "part": np.full(len(at), part), "doc": d, "start": at - p.starts[d], "id": p.ids[d], "tie": p.ties[d], "window": _fixed(np.lib.stride_tricks.sliding_window_view(p.data, window)[at])}, _MOVED))
         return pa.concat_tables(out)
 
     return run
@@ -271,7 +271,7 @@ def _sort_moved(window: int, gram: int):
     before = window - gram
 
     def judge(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        kinds = (t["context"].is_null().to_numpy(), t["second"].is_null().to_numpy())
+        kinds = (t["context"].is_null().to_numpy(), t["window"].is_null().to_numpy())
 
         def out(part, doc, start, stop):
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(doc, pa.int32()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["part", "doc", "start", "stop"])
@@ -290,11 +290,11 @@ def _sort_moved(window: int, gram: int):
             yield out(part[row], doc[row], start, stop)
         single = t.filter(pa.array(~kinds[1]))
         if single.num_rows > 1:
-            g, two, ident, tie, at = (single[c].to_numpy() for c in ("g", "second", "id", "tie", "start"))
-            order = np.lexsort((at, tie, ident, two, g))
-            g, two, at = g[order], two[order], at[order]
-            again = np.flatnonzero((g[1:] == g[:-1]) & (two[1:] == two[:-1])) + 1
-            yield out(single["part"].to_numpy()[order][again], single["doc"].to_numpy()[order][again], at[again], at[again] + window)
+            ident, tie, at = (single[c].to_numpy() for c in ("id", "tie", "start"))
+            order = np.lexsort((at, tie, ident))
+            place, shared = radix(np.frombuffer(b"".join(single["window"].to_pylist()), np.uint8).reshape(-1, window)[order])
+            again = order[place[shared == window]]
+            yield out(single["part"].to_numpy()[again], single["doc"].to_numpy()[again], at[again], at[again] + window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []

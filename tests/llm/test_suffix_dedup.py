@@ -74,3 +74,23 @@ def test_radix():
 def test_wide_rows(spark):
     docs = make_docs(spark, [(1, "z" * 150)]).withColumn("part", F.lit("clash")).withColumn("text_", F.lit(1))
     assert S.without_repeats(docs).first()["part"] == "clash"
+
+
+def test_hot_windows_are_compared_by_their_bytes(spark):
+    rng = random.Random(8)
+    tail = "".join(rng.choice("xyz") for _ in range(67))
+    rows = [(k, f"{a}{b}{'x' * 30}{c}{tail}") for k, (a, b, c) in enumerate((a, b, c) for a in "ab" for b in "0123456789" for c in "0123456789")]
+    rows += [(500 + i, t) for i, t in rows[::7]]
+    rows += [(1000 + k, "w" * 30 + t) for k, t in rows[:20]]
+    assert plain(S.removed(make_docs(spark, rows), hot=2, part_bytes=256).collect()) == brute(rows, 100)
+
+
+def test_hash_gives_swapped_bytes_another_value():
+    base = np.frombuffer(bytes(range(100, 200)), np.uint8)
+    found = []
+    for i in range(100):
+        for j in range(i):
+            w = base.copy()
+            w[[i, j]] = w[[j, i]]
+            found.append(int(S._hash(w, 100, 1)[0]))
+    assert len(set(found)) == len(found) == 4950
