@@ -21,7 +21,7 @@ rows share a component; an empty table gives no rows; only the id and the text a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,19 +43,25 @@ SMALL = 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """SimHash of the lower-cased text's word shingles, repeats included; 0 where there is no word."""
+def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """A hash of each of the lower-cased text's word shingles, repeats included; none where there is no word."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     n = max(1, len(words) - width + 1)
     if n == 1:
-        return xxhash.xxh64_intdigest(line, SEED)
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """SimHash of the lower-cased text's word shingles, repeats included; 0 where there is no word."""
+    hashes = shingle_hashes(text, width)
+    n = len(hashes)
     counts = np.zeros(64, np.int64)
     for i in range(0, n, 4096):
         counts += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -233,23 +239,31 @@ def links(distinct: DataFrame) -> DataFrame:
     return keyed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_match, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row, fp and component_id (the smallest id reachable by links) of every row."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", more: Callable | None = None) -> DataFrame:
+    """doc_id, row, fp and component_id (the smallest id reachable by links) of every row.
+
+    more: gives further links (a, b), from docs and a function that finds (node, root) of such links with the fingerprints' own.
+    """
     marks = cut(fingerprints(docs, key, text))
     distinct = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = cut(connected_components(links(distinct)))
+    near = links(distinct)
+    if more is not None:
+        near = cut(near)
+        own = near
+        near = own.unionByName(more(docs, lambda found: cut(connected_components(own.unionByName(found))), text))
+    roots = cut(connected_components(near))
     of = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
     of = of.join(ids, "root").select("fp", "root", "component_id")
     return marks.join(of, "fp").select("doc_id", "row", "fp", "root", "component_id")
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", more: Callable | None = None) -> DataFrame:
     """docs, one row of each component: the one with the smallest id, null ids last, the smallest hash of the row among equal ids.
 
     The rows of equal hash are reduced to one where they have met, so texts are exchanged once.
     """
-    best = near_duplicates(docs, key, text).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("r")).select(F.col("r.row").alias("row"))
+    best = near_duplicates(docs, key, text, more).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("r")).select(F.col("r.row").alias("row"))
     packed = docs.select(row_hash(docs).alias("row"), F.struct(*[quoted(c).alias(c) for c in docs.columns]).alias("record"))
     one = packed.join(best, "row", "left_semi").groupBy("row").agg(F.first("record").alias("record"))
     return one.select(*[F.col("record").getField(c).alias(c) for c in docs.columns])

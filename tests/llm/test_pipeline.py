@@ -75,3 +75,28 @@ def test_near_dedup_ties(spark):
     data = [(1, "same words here", "en", "b", 3), (1, "same words here", "en", "a", 3), (None, "other words at all", "en", "s", 1), (None, "other words at all", "en", "s", 1), (None, "a third text", "en", "s", 1)]
     out = C.near_duplicates(spark, spark.createDataFrame(data, SCHEMA), "").collect()
     assert sorted((r["doc_id"] or -1, r["text"]) for r in out) == [(-1, "a third text"), (-1, "other words at all"), (1, "same words here")]
+
+
+def test_near_dedup_by_shingles(spark, words):
+    rng = random.Random(33)
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    line, texts = say(12), []
+    for _ in range(12):
+        base = say(rng.randint(20, 250))
+        texts += [" ".join(base), " ".join(line + base)]
+        for share in (0.005, 0.01, 0.02, 0.04):
+            texts.append(" ".join(rng.choice(words) if rng.random() < share else w for w in base))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    fps, part = [brute_fp(t) for t in texts], list(range(len(texts)))
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            near = 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared)
+            far += near and (fps[i] ^ fps[j]).bit_count() > 3
+            if near or (fps[i] ^ fps[j]).bit_count() <= 3:
+                part = [min(part[i], part[j]) if p in (part[i], part[j]) else p for p in part]
+    assert far > 5
+    out = C.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(set(part))
