@@ -29,34 +29,41 @@ class Crawl:
     errors: DataFrame
 
 
-def crawl_site(start: DataFrame, fetch: Fetch, domains: list[str], most: int, rules: DataFrame | None = None, rounds: int = 50) -> Crawl:
+def crawl_site(start: DataFrame, fetch: Fetch, domains: list[str], most: int, rules: DataFrame | None = None, rounds: int | None = None) -> Crawl:
     """Breadth-first over the links of fetched pages, level by level, up to `most` pages that came.
 
     start: url. URLs are normalised; those that rules forbid, that were tried in an earlier level, that are foreign or skipped, aren't
-    fetched. A failed URL may be tried again when a later page links to it. Within a level the order of URLs decides who fits the budget.
+    fetched. A failed URL may be tried again when a later page links to it. Within a level the order of URLs decides who fits the budget;
+    the others stay queued before the links that are found meanwhile, so what failures leave of the budget goes to them. A page's level
+    is the number of links that lead to it. The crawl ends with the budget or the queue; given `rounds` that don't suffice are an error.
     """
     spark = start.sparkSession
-    todo = cut(start.select(U.normalize(F.col("url")).alias("url")).distinct())
+    todo = cut(start.select(U.normalize(F.col("url")).alias("url"), F.lit(0).alias("level")).distinct())
     done = spark.createDataFrame([], "url string, title string, language string, markdown string, level int")
     pdfs, errors = spark.createDataFrame([], "url string"), spark.createDataFrame([], "url string, error string")
     have = 0
-    for level in range(rounds):
-        if have >= most or todo.isEmpty():
-            break
+    turn = 0
+    while have < most and not todo.isEmpty():
+        if turn == rounds:
+            raise RuntimeError(f"after {rounds} rounds the crawl has budget and URLs left")
+        turn += 1
         if rules is not None:
-            todo = crawl.allowed_by_rules(todo, "url", rules).where("allowed").select("url")
+            todo = crawl.allowed_by_rules(todo, "url", rules).where("allowed").select("url", "level")
         # one request at most for each page that the budget still has
-        got = cut(fetch(todo.orderBy("url").limit(most - have)))
+        asked = cut(todo.orderBy("level", "url").limit(most - have))
+        rest = todo.join(asked.select("url"), "url", "left_anti")
+        got = cut(fetch(asked.select("url")).join(asked, "url"))
         errors = errors.unionByName(got.where("error is not null").select("url", "error"))
         came = got.where("error is null")
-        made = clean.clean_html(came.select("url", H.title(F.col("html")).alias("title"), U.language(F.col("url")).alias("language"), "html"), "html", "markdown")
-        new = cut(made.select("url", "title", "language", "markdown", F.lit(level).alias("level")))
-        links = came.select(F.col("url").alias("base"), F.explode(H.links(F.col("html"))).alias("href")).select(U.resolve(F.col("base"), F.col("href")).alias("link")).distinct()
-        routed = cut(crawl.route(links, "link", domains).where("route in ('pdf', 'page')").select("route", "target").distinct())
+        made = clean.clean_html(came.select("url", "level", H.title(F.col("html")).alias("title"), U.language(F.col("url")).alias("language"), "html"), "html", "markdown")
+        new = cut(made.select("url", "title", "language", "markdown", "level"))
+        links = came.select(F.col("url").alias("base"), (F.col("level") + 1).alias("level"), F.explode(H.links(F.col("html"))).alias("href")).select(U.resolve(F.col("base"), F.col("href")).alias("link"), "level").distinct()
+        routed = cut(crawl.route(links, "link", domains).where("route in ('pdf', 'page')").groupBy("route", "target").agg(F.min("level").alias("level")))
         pdfs = pdfs.unionByName(routed.where("route = 'pdf'").select(F.col("target").alias("url")))
         done = cut(done.unionByName(new))
         have = done.count()
-        todo = cut(routed.where("route = 'page'").select(F.col("target").alias("url")).join(done.select("url"), "url", "left_anti"))
+        linked = routed.where("route = 'page'").select(F.col("target").alias("url"), "level")
+        todo = cut(rest.unionByName(linked).groupBy("url").agg(F.min("level").alias("level")).join(done.select("url"), "url", "left_anti"))
     return Crawl(done, pdfs.distinct(), errors)
 
 

@@ -1,5 +1,6 @@
 """Whole jobs on a small site."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import jobs, vector
@@ -55,3 +56,27 @@ def test_build_index_and_ask(spark, tmp_path):
         got = {r["q"]: r for r in service.ask(asked).collect()}
         assert got[1]["answered"] and "tuition fee" in got[1]["text"] and got[1]["sources"][0]["url"] == "https://h.org/en/a/"
         assert not got[2]["answered"] and got[2]["sources"] == [] and got[2]["text"].startswith("I could not find")
+
+
+def site(pages):
+    def get(urls):
+        known = urls.sparkSession.createDataFrame([(f"https://h.org{u}", "<body><p>A page of this site.</p>" + "".join(f'<a href="{x}">x</a>' for x in to) + "</body>") for u, to in pages.items()], "url string, html string")
+        return urls.join(known, "url", "left").withColumn("error", F.when(F.col("html").isNull(), "404"))
+
+    return get
+
+
+def test_failures_leave_the_rest_of_a_level_queued(spark):
+    pages = {"/": [f"/p{k}/" for k in range(9)]} | {f"/p{k}/": ["/a/"] for k in range(3, 9)} | {"/a/": []}
+    start = spark.createDataFrame([("https://h.org/",)], "url string")
+    got = jobs.crawl_site(start, site(pages), ["h.org"], 5)
+    assert {(r["url"], r["level"]) for r in got.pages.collect()} == {("https://h.org/", 0)} | {(f"https://h.org/p{k}/", 1) for k in range(3, 7)}
+    assert {r["url"] for r in got.errors.collect()} == {f"https://h.org/p{k}/" for k in range(3)}
+
+
+def test_rounds_that_do_not_suffice(spark):
+    start = spark.createDataFrame([("https://h.org/",)], "url string")
+    chain = {"/": ["/c1/"], "/c1/": ["/c2/"], "/c2/": ["/c3/"], "/c3/": []}
+    with pytest.raises(RuntimeError):
+        jobs.crawl_site(start, site(chain), ["h.org"], 9, rounds=2)
+    assert jobs.crawl_site(start, site(chain), ["h.org"], 9).pages.count() == 4
