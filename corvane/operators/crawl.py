@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,14 +40,14 @@ def route(links: DataFrame, url: str, domains: list[str]) -> DataFrame:
     return links.withColumn("route", kind).withColumn("target", F.when(F.col("route") == "pdf", U.without_fragment(u)).when(F.col("route") == "page", U.normalize(u)))
 
 
-def frontier(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """Breadth-first levels: node, level of all nodes that `start` (node) reaches within `depth` steps over edges (src, dst).
+def frontier(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """Breadth-first levels: node, level of all nodes that `start` (node) reaches over edges (src, dst), within `depth` steps if that is given.
 
     Each round joins the last level only and drops what was visited; its result is stored, so rounds don't compute each other again.
     """
     last = cut(start.select("node").distinct().withColumn("level", F.lit(0).cast("long")))
     seen = last
-    for n in range(1, depth + 1):
+    for n in count(1) if depth is None else range(1, depth + 1):
         step = last.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         last = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(n).cast("long")))
         if last.isEmpty():

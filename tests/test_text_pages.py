@@ -92,6 +92,17 @@ def test_frontier(spark):
     assert {(r["node"], r["level"]) for r in got.collect()} == {(0, 0), (1, 1), (2, 1), (3, 2)}
 
 
+def test_frontier_without_a_depth(spark):
+    links = [(x, y) for x in range(60) for y in ((x + 1) % 60, x * 2 % 60)]
+    want, last = {0: 0}, [0]
+    while last:
+        last = sorted({y for x, y in links if x in last} - set(want))
+        want |= dict.fromkeys(last, max(want.values()) + 1)
+    assert max(want.values()) > 5
+    got = crawl.frontier(spark.createDataFrame(links, "src long, dst long"), spark.createDataFrame([(0,)], "node long"))
+    assert {(r["node"], r["level"]) for r in got.collect()} == set(want.items())
+
+
 def test_merge_and_ladder(spark):
     rows = spark.createDataFrame([("u", 1, "a"), ("u", 3, "b"), ("v", 2, "c")], "url string, ord long, title string")
     assert {tuple(r) for r in crawl.merge_crawls(rows, "url", "ord", "title").collect()} == {("u", "b", 1), ("v", "c", 2)}
