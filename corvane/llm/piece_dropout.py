@@ -2,18 +2,18 @@
 
 The pieces and scores of a SentencePiece BPE model are read; no tokenizer is trained. An agenda merges
 the best-scored pair of neighbours first, the leftmost among equals. Each candidate merge is skipped for
-good if a keyed hash of its unit and span falls below the dropout, so a segmentation is random but
-repeatable: the key is the seed with the document's variant (a hash of its id modulo VARIANTS). With dropout 0
-the ids are the library's own.
+good if a keyed hash of its span falls below the dropout, so a segmentation is random but repeatable: the key is
+made of the seed, the document's id and the unit's place in the text. With dropout 0 the ids are the library's own.
 
 No piece of the model goes on from another character into a space, so texts are cut before spaces
-into units which are encoded on their own; a worker remembers units. Short units are merged many at a time,
-as rows of an array; long ones by a heap.
+into units which are encoded on their own. Of units that come again a worker remembers the ids without dropout and
+the merges that lead there: where a key skips none of these, the ids are the remembered ones. All others are merged
+under their own keys, short ones many at a time, as rows of an array; long ones by a heap.
 
 Characters that are in no piece become byte pieces. So does U+2581, which the library would turn into
 a space; hence decoding gives back every text.
 
-Cases: null and empty texts have no ids; a null id has variant 0; repeated rows have equal ids; texts that
+Cases: null and empty texts have no ids; null ids share a key; repeated rows have equal ids; texts that
 are one long unit take n log n steps; an empty table gives no rows; other columns stay as they are or aren't read.
 """
 
@@ -23,6 +23,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import quoted, ship
 
-DROPOUT, SEED, VARIANTS = 0.1, 7, 4
+DROPOUT, SEED = 0.1, 7
+#: Keys that documents may have: a hash of the id, of 64 bits.
+VARIANTS = 1 << 64
 #: Units that a worker remembers; characters up to which a unit is merged in an array.
-REMEMBERED, SHORT = 400_000, 24
+REMEMBERED, SHORT = 100_000, 24
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -51,7 +54,7 @@ def _skips(unit: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, limit:
 class Coder:
     """Encodes and decodes with one model."""
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -60,7 +63,7 @@ class Coder:
         spec, kinds = model.normalizer_spec, [p.type for p in model.pieces]
         if model.trainer_spec.model_type != 2 or not model.trainer_spec.byte_fallback or len(spec.precompiled_charsmap) or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or 4 in kinds:
             raise ValueError("the model must be BPE with byte fallback and leave texts as they are")
-        self.dropout, self.seed, self.variants = dropout, seed, variants
+        self.dropout, self.seed = dropout, seed
         self.limit = int(dropout * 2**53)
         pieces = {p.piece.replace(SPACE, " "): i for i, p in enumerate(model.pieces) if p.type == 1}
         if any(re.search("[^ ] ", s) for s in pieces):
@@ -87,7 +90,7 @@ class Coder:
         self.place = {c: n for n, (c, _) in enumerate(pairs)}
         # where no piece holds a line's end, it parts units too
         self.cut = re.compile(r" *[^ \n]+| +|\n" if not any("\n" in s and len(s) > 1 for s in pieces) else r" *[^ ]+| +")
-        self.memory: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.forget()
         self.n_pieces = len(self.bytes_of)
 
     # ---- merging ----
@@ -99,15 +102,12 @@ class Coder:
         ok = (self.codes[at] == code) & (left >= 0) & (right >= 0)
         return np.where(ok, self.rank[at], NONE), self.merged[at]
 
-    def _key(self, unit: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), (self.seed * 1_000_003 + variant) & (2**64 - 1))
-
-    def _rows(self, units: list[str], variant: int, n: int) -> list[bytes]:
-        """Ids of units of n characters each."""
+    def _rows(self, units: list[str], keys: np.ndarray | int, n: int) -> list[bytes]:
+        """Ids of units of n characters each, each under its key."""
         m = len(units)
         sym = self.by_point[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")].reshape(m, n)
         start = np.tile(np.arange(n + 1, dtype=np.int16), (m, 1))  # where each symbol starts; the last column is the end
-        keys = np.array([self._key(u, variant) for u in units], np.uint64)
+        keys = np.broadcast_to(np.asarray(keys, np.uint64), m)
         row = np.arange(m)
         out: list[bytes | None] = [None] * m
         rank, merged = self._lookup(sym[:, :-1], sym[:, 1:]) if n > 1 else (np.empty((m, 0), np.int32),) * 2
@@ -143,19 +143,19 @@ class Coder:
                 rank[ok, p], merged[ok, p] = r, g
         return out
 
-    def _heap(self, unit: str, variant: int) -> bytes:
-        """Ids of one unit of any length, by an agenda."""
+    def _heap(self, unit: str, key: int, path: list | None = None) -> bytes:
+        """Ids of one unit of any length, by an agenda. With a path nothing is skipped, and it gets the merges (start, middle, end)."""
         n = len(unit)
         sym = [self.char.get(c, -1) for c in unit]
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        key = np.array([self._key(unit, variant)], np.uint64)
+        key, limit = np.array([key], np.uint64), self.limit if path is None else 0
         agenda: list[tuple[int, int, int, int]] = []
 
         def add(spots: list[tuple[int, int]]) -> None:
             found = [(a, b, at) for a, b in spots if a >= 0 and b < n and sym[a] >= 0 and sym[b] >= 0 and (at := self.place.get(sym[a] * self.base + sym[b])) is not None]
             if not found:
                 return
-            skip = _skips(key, np.array([a for a, _, _ in found]), np.array([b for _, b, _ in found]), np.array([end[b] for _, b, _ in found]), self.limit) if self.limit else [False] * len(found)
+            skip = _skips(key, np.array([a for a, _, _ in found]), np.array([b for _, b, _ in found]), np.array([end[b] for _, b, _ in found]), limit) if limit else [False] * len(found)
             for (a, b, at), s in zip(found, skip, strict=True):
                 if not s:
                     heapq.heappush(agenda, (int(self.rank[at]), a, end[b], at))
@@ -167,6 +167,8 @@ class Coder:
             b = after[a]
             if gone[a] or b >= n or end[b] != stop or self.place.get(sym[a] * self.base + sym[b]) != at:
                 continue
+            if path is not None:
+                path.append((a, b, end[b]))
             sym[a], end[a], gone[b] = int(self.merged[at]), end[b], True
             after[a] = after[b]
             if after[b] < n:
@@ -187,33 +189,81 @@ class Coder:
     # ---- texts ----
 
     def variant(self, key) -> int:
-        return 0 if key is None else xxhash.xxh64_intdigest(str(key).encode(), self.seed) % self.variants
+        return xxhash.xxh64_intdigest(b"" if key is None else str(key).encode(), self.seed) % VARIANTS
+
+    def _keys(self, counts: list[int], keys: list) -> np.ndarray:
+        """A key for each unit of each text, of the seed, the document's id and the unit's place."""
+        of = np.repeat(np.array([self.variant(k) for k in keys], np.uint64), counts)
+        ends = np.cumsum(counts)
+        place = np.arange(len(of)) - np.repeat(ends - counts, counts)
+        x = of + (place.astype(np.uint64) + np.uint64(1)) * _M2
+        x = (x ^ (x >> np.uint64(32))) * _M1
+        return x ^ (x >> np.uint64(29))
+
+    def _learn(self, units: list[str]) -> None:
+        """Remembers short units that come more than once here, up to REMEMBERED."""
+        counts = Counter(u for u in units if len(u) <= SHORT)
+        for u, n in counts.items():
+            if u in self.known or n < 2 and self.limit or len(self.known) >= REMEMBERED:
+                continue
+            path: list[tuple[int, int, int]] = []
+            self.plain.append(self._heap(u, 0, path))
+            self.known[u] = len(self.known)
+            self.spans.append(path)
+
+    def _under_keys(self, units: list[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of units, each under its key and without what is remembered."""
+        out: list[bytes] = [b""] * len(units)
+        by_length: dict[int, list[int]] = {}
+        for i, u in enumerate(units):
+            if len(u) <= SHORT:
+                by_length.setdefault(len(u), []).append(i)
+            else:
+                out[i] = self._heap(u, int(keys[i]))
+        for n, at in by_length.items():
+            for k in range(0, len(at), 20_000):
+                some = at[k : k + 20_000]
+                for i, ids in zip(some, self._rows([units[i] for i in some], keys[some], n), strict=True):
+                    out[i] = ids
+        return out
+
+    def _skipped(self, node: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Whether a key skips any merge on the way to the remembered ids."""
+        hit = np.zeros(len(node), bool)
+        if not self.limit or not len(self.spans):
+            return hit
+        sizes = np.array([len(p) for p in self.spans], np.int64)
+        flat = np.array([s for p in self.spans for s in p], np.int64).reshape(-1, 3)
+        first = np.cumsum(sizes) - sizes
+        for d in range(int(sizes.max())):
+            at = np.flatnonzero((sizes[node] > d) & ~hit)
+            a, b, c = flat[first[node[at]] + d].T
+            hit[at] = _skips(keys[at], a, b, c, self.limit)
+        return hit
 
     def encode(self, texts: list[str | None], keys: list) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        units = [self.cut.findall(" " + t) if t else [] for t in texts]
-        of = [self.variant(k) for k in keys]
-        for v in set(of):
-            known = self.memory[v]
-            new = set().union(*(u for u, w in zip(units, of, strict=True) if w == v)).difference(known)
-            if len(known) + len(new) > REMEMBERED // self.variants and known:
-                known.clear()
-                new = set().union(*(u for u, w in zip(units, of, strict=True) if w == v))
-            by_length: dict[int, list[str]] = {}
-            for u in new:
-                if len(u) <= SHORT:
-                    by_length.setdefault(len(u), []).append(u)
-                else:
-                    known[u] = self._heap(u, v)
-            for n, some in by_length.items():
-                for i in range(0, len(some), 20_000):
-                    known.update(zip(some[i : i + 20_000], self._rows(some[i : i + 20_000], v, n), strict=True))
-        return [b"".join(map(self.memory[v].__getitem__, u)) for u, v in zip(units, of, strict=True)]
+        parts = [self.cut.findall(" " + t) if t else [] for t in texts]
+        counts = [len(p) for p in parts]
+        units = [u for p in parts for u in p]
+        own = self._keys(counts, keys)
+        self._learn(units)
+        node = np.fromiter((self.known.get(u, -1) for u in units), np.int64, len(units))
+        fresh = node < 0
+        there = np.flatnonzero(~fresh)
+        fresh[there] = self._skipped(node[there], own[there])
+        ids = [self.plain[k] if k >= 0 else b"" for k in node.tolist()]
+        todo = np.flatnonzero(fresh)
+        for i, x in zip(todo.tolist(), self._under_keys([units[i] for i in todo.tolist()], own[todo]), strict=True):
+            ids[i] = x
+        ends = np.cumsum([0, *counts]).tolist()
+        return [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
 
     def forget(self) -> None:
         """Drops the remembered units, so that a worker's memory serves what it runs next."""
-        for known in self.memory:
-            known.clear()
+        self.known: dict[str, int] = {}
+        self.plain: list[bytes] = []
+        self.spans: list[list[tuple[int, int, int]]] = []
 
     def decode(self, ids: bytes) -> str:
         """The text that has these ids."""
@@ -242,13 +292,13 @@ def _ranges(texts: list[str | None], most: int = 2 << 20) -> Iterator[tuple[int,
         i = j
 
 
-def encode_texts(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids, ids_crc32, text_sha256 (of what the ids decode to; null for a null text) and lossless."""
     ship(docs.sparkSession)
     names = ("doc_id", "n_tokens", "ids", "ids_crc32", "text_sha256", "lossless")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path, dropout, seed, variants)
+        c = coder(path, dropout, seed)
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in _ranges(texts):
@@ -269,7 +319,7 @@ def decode_ids(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "id
     ship(tokens.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path, DROPOUT, SEED, VARIANTS)
+        c = coder(path, DROPOUT, SEED)
         for b in batches:
             texts = [None if x is None else c.decode(np.array(x, "<i4").tobytes()) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -68,3 +68,22 @@ def test_decode_rows_and_empty(spark, odd_rows, written):
     back = P.decode_ids(P.encode_texts(docs, PATH), PATH).collect()
     assert sorted(r["text"] for r in back) == sorted(t or "" for _, t in odd_rows)
     assert P.op2_pieces(spark, written([])).collect() == []
+
+
+def test_varied_by_document_and_place(words):
+    unit = max(words, key=len)
+    (raw,) = DROPPED.encode([" ".join([unit] * 400)], [3])
+    assert DROPPED.decode(raw) == " ".join([unit] * 400)
+    cuts = {tuple(ids(x)) for x in DROPPED.encode([unit] * 300, list(range(300)))}
+    assert len(cuts) > 4
+    (many,) = DROPPED.encode([" ".join([unit] * 400)], [3])
+    alone = [tuple(ids(x)) for x in DROPPED._under_keys([" " + unit] * 400, DROPPED._keys([400], [3]))]
+    assert len(set(alone)) > 4 and [i for x in alone for i in x] == ids(many)
+
+
+def test_remembered_as_merged_anew(words):
+    texts = [" ".join(words[k:] + words[:k] * 2) + " " + "x" * 60 for k in range(0, 40, 7)]
+    for c in (P.Coder(PATH, 0.1), P.Coder(PATH, 0.0)):
+        for t, raw in zip(texts, c.encode(texts, list(range(len(texts)))), strict=True):
+            units = c.cut.findall(" " + t)
+            assert b"".join(c._under_keys(units, c._keys([len(units)], [texts.index(t)]))) == raw
