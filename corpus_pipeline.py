@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import common, decontam, langid, piece_dropout, shingle_links, simhash, suffix_dedup
+from corvane.llm import common, decontam, langid, piece_dropout, shingle_links, suffix_dedup
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-dedup: of each component the document with the smallest id stays. SimHash links, and 5-word shingles at a Jaccard similarity of 0.8."""
-    return simhash.representatives(docs, more=shingle_links.links)
+    return shingle_links.representatives(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

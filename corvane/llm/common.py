@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from corvane.runtime import cut, new_table, shared_dir, ship
 
-__all__ = ["added", "cut", "hashable", "near_name", "new_table", "quoted", "row_hash", "shared_dir", "ship"]
+__all__ = ["ROW_KEY", "added", "cut", "few", "hashable", "near_name", "new_table", "quoted", "row_hash", "row_key", "shared_dir", "ship"]
 
 
 def quoted(name: str) -> Column:
@@ -28,10 +28,29 @@ def hashable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.VariantType))
 
 
-def row_hash(df: DataFrame) -> Column:
+def row_hash(df: DataFrame, *salt: Column) -> Column:
     """A hash of all that a row holds; where nulls stand counts too."""
     parts = [quoted(f.name) if hashable(f.dataType) else F.to_json(F.struct(quoted(f.name))) for f in df.schema.fields]
-    return F.xxhash64(*parts, *[p.isNull() for p in parts])
+    return F.xxhash64(*salt, *parts, *[p.isNull() for p in parts])
+
+
+#: The type of row_key().
+ROW_KEY = "struct<one:bigint,two:bigint>"
+
+
+def row_key(df: DataFrame) -> Column:
+    """128 bits that stand for all that a row holds: two hashes of different seeds, so rows that share one still differ."""
+    return F.struct(row_hash(df).alias("one"), row_hash(df, F.lit("two")).alias("two"))
+
+
+#: Rows of keys up to which a side is broadcast, some 40 bytes each.
+FEW = 1_000_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """Narrow rows, stored and counted, to be broadcast if they are few; else the join exchanges both sides."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= FEW else keys
 
 
 def near_name(taken: list[str], name: str) -> str:

@@ -1,124 +1,313 @@
-"""Links between texts whose sets of word shingles have a Jaccard similarity of LEAST or more; no such pair is left unconnected.
+"""Near-duplicates by SimHash links and, besides, by a Jaccard similarity of LEAST or more between sets of word shingles.
 
-Prefix filter: if all sets are put in one order, two sets that are similar enough share one of their first
-n - ceil(LEAST * n) + 1 shingles, so only these are exchanged. Any order is right; shingles that are common in a sample
-come last, so that few sets meet at them. Sets that meet are kept if their sizes and the places of the shared shingle
-leave enough room, and are then compared on all their shingles.
+No pair of that similarity is left unconnected. Prefix filter: if all sets are put in one order, two sets that are similar
+enough share one of their first n - ceil(LEAST * n) + 1 shingles, so only these are exchanged. Any order is right; this one
+is by hash, but shingles that are often among the first of a set by hash, counted over all texts, come last, the commonest at
+the very end. Sets that meet at a shingle are kept if their sizes and the places of the shared shingle leave enough room, and are
+then compared on all their shingles, which are made anew from their texts.
 
-Only connections matter. At first each set is compared with the first one that it meets at a shingle; then all pairs
-that meet and aren't connected yet. So a large group of near copies doesn't give all its pairs.
+Only connections matter. At first each set is compared with one of those that it meets at a shingle, and the pairs of the
+fingerprints' links count as connected; then all pairs that meet and aren't connected yet. So a large group of near copies doesn't
+give all its pairs. Groups of one shingle are cut into blocks of BLOCK rows, and a task takes two blocks at a time.
 
-Cases: texts of fewer words than a shingle are one shingle; texts without a word have no set and no link.
+A set's id (sid) is a hash of 64 bits and no more than a key: what is compared and linked are the texts of all fingerprints
+that have it, so two sets with one id are not taken for one.
+
+Cases: texts of fewer words than a shingle are one shingle; texts without a word have no set, and only the fingerprints' links;
+nulls, ties, repeated rows and clashing names are as in simhash; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, quoted, ship
+from .common import ROW_KEY, cut, few, quoted, row_key, ship
+from .components import connected_components
 
 WIDTH, LEAST = 5, 0.8
-#: About so many texts tell which shingles are common, and at most so many of these come last.
-SAMPLE, COMMON = 5_000, 100_000
+#: A shingle is common above so many sets; of these as many as a power of two of counts lets through, MOST at most, come last.
+OFTEN, MOST = 64, 1 << 20
+#: Rows of a block of a group, rows of groups that are paired by shifting; words hashed at once, bytes from which a word's digest stands for it.
+BLOCK, SMALL, WORDS, LONG = 20_000, 16, 100_000, 64
+BASE = 0x9E3779B97F4A7C15
+
+
+class Shingles:
+    """Sets of shingles by polynomial hashes of their bytes, read off running sums. One for each task."""
+
+    def __init__(self, width: int = WIDTH):
+        self.width = width
+        #: A value for each byte, powers of the base and of its inverse.
+        self.value = np.random.default_rng(simhash.SEED).integers(0, 1 << 64, 256, np.uint64)
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+                setattr(self, name, np.concatenate([np.ones(1, np.uint64), np.full(n * 5 // 4, base, np.uint64)]).cumprod(dtype=np.uint64))
+
+    def _hashes(self, words: list[bytes]) -> np.ndarray:
+        line = b" ".join(words)
+        data = np.frombuffer(line, np.uint8)
+        gaps = np.flatnonzero(data == 32)
+        starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(data)]])
+        if (ends - starts).max() > LONG:
+            return self._hashes([w if len(w) <= LONG else xxhash.xxh3_128_hexdigest(w).encode() for w in words])
+        self._powers(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.value.take(data) * self.up[: len(data)], out=sums[1:])
+        n = max(1, len(words) - self.width + 1)
+        x = (sums[ends[-n:]] - sums[starts[:n]]) * self.down[starts[:n]]
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(BASE)
+        return x ^ (x >> np.uint64(29))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The distinct shingles in order of their hashes; none where there is no word."""
+        if not words:
+            return np.empty(0, np.uint64)
+        # shingles lie within one piece of words, and each piece begins width - 1 words before the last one's end
+        step = WORDS - self.width + 1
+        parts = [self._hashes(words[i : i + WORDS]) for i in range(0, max(1, len(words) - self.width + 1), step)]
+        x = np.sort(parts[0] if len(parts) == 1 else np.concatenate(parts))
+        return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
-def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
-    return np.unique(simhash.shingle_hashes(text, width))
+def set_id(found: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64))
+
+
+def needed(n: np.ndarray | int, least: float) -> np.ndarray | int:
+    """The least number of shingles that make up this share of n."""
+    return np.ceil(np.round(n * least, 6)).astype(np.int64)
 
 
 def in_order(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Sorted shingles in the order of all sets; common is sorted, rank is the place of each."""
-    if not len(common) or not len(found):
+    """Sorted shingles in the order of all sets; common is sorted, rank is the place of each behind all that aren't common."""
+    if not len(common):
         return found
     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-    return found[np.lexsort((found, np.where(common[at] == found, rank[at] + 1, 0)))]
+    late = common[at] == found
+    return np.concatenate([found[~late], found[late][np.argsort(rank[at[late]])]]) if late.any() else found
+
 
+def _marks(docs: DataFrame, key: str, text: str, width: int, least: float) -> DataFrame:
+    """doc_id, row, fp, sid, and once for each set of a task its first shingles by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, seen = Shingles(width), set()
+        for b in batches:
+            fps, sids, first = [], [], []
+            for x in b.column(1):
+                words = simhash.words_of(x.as_py())
+                fps.append(simhash.fingerprint_of(simhash.shingle_hashes(words)))
+                found = shingles.of(words)
+                sids.append(set_id(found) if len(found) else None)
+                new = len(found) > 0 and sids[-1] not in seen
+                if new:
+                    seen.add(sids[-1])
+                first.append(found[: len(found) - int(needed(len(found), least)) + 1] if new else found[:0])
+            offsets = np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)
+            values = np.concatenate([*first, np.empty(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "row", "fp", "sid", "first"])
 
-def _least(n: Column, least: float) -> Column:
-    return F.ceil(F.round(n * F.lit(least), 6))
+    return docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text"), row_key(docs).alias("row")).mapInArrow(run, f"doc_id long, row {ROW_KEY}, fp long, sid long, first array<long>")
 
 
-def _sets(docs: DataFrame, text: str, width: int, make: Callable, schema: str) -> DataFrame:
-    """make(set, its id, fingerprint) gives the columns of rows; sets that a task has seen with the same fingerprint are left out."""
+def _common(marks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles in order of their hashes, and the place of each by its count."""
+    counts = cut(marks.select(F.explode("first").alias("h")).groupBy("h").count().where(F.col("count") > OFTEN))
+    held = counts.groupBy(F.floor(F.log2("count")).alias("power")).count().orderBy(F.desc("power")).collect()
+    total, floor = 0, 64
+    for r in held:
+        total += r["count"]
+        if total > MOST:
+            break
+        floor = r["power"]
+    told = counts.where(F.floor(F.log2("count")) >= floor).toArrow()
+    h, n = told["h"].to_numpy().view(np.uint64), told["count"].to_numpy()
+    order = np.argsort(h)
+    rank = np.empty(len(h), np.int64)
+    rank[np.lexsort((h, n))] = np.arange(len(h))
+    return h[order], rank[order]
+
+
+def _prefixes(docs: DataFrame, text: str, width: int, least: float, common: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """(h, sid, at) of each set's first shingles; at is the set's size above 32 bits, and the shingle's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        shingles, seen = Shingles(width), set()
         for b in batches:
-            parts = []
+            parts, sids, sizes = [np.empty(0, np.uint64)], [], []
             for x in b.column(0):
-                raw = x.as_py()
-                found = shingle_set(raw, width)
-                if not len(found):
-                    continue
-                sid, fp = int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64)), int(np.uint64(simhash.fingerprint(raw)).view(np.int64))
-                if (sid, fp) not in seen:
-                    seen.add((sid, fp))
-                    parts.append(make(found, sid, fp))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
-
-    return docs.select(quoted(text).alias("text")).mapInArrow(run, schema)
-
-
-def _same(n: int, value: int) -> pa.Array:
-    return pa.array(np.full(n, value, np.int64))
-
-
-def links(docs: DataFrame, roots: Callable[[DataFrame], DataFrame], text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """Links (a, b) of fingerprints. roots: from links to (node, root), of these and of the links that are known otherwise."""
-    spark = docs.sparkSession
-    ship(spark)
-    step = max(1, docs.count() // SAMPLE)
-    some = _sets(docs.where(F.pmod(F.xxhash64(quoted(text)), F.lit(step)) == 0), text, width, lambda s, sid, fp: [pa.array(s.view(np.int64))], "h long")
-    told = [r["h"] for r in some.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()]
-    common = np.array(told, np.int64).view(np.uint64)
-    by = np.argsort(common)
-    common, rank = common[by], len(told) - by
-
-    def prefix(s, sid, fp):
-        first = in_order(s, common, rank)[: len(s) - int(np.ceil(round(least * len(s), 6))) + 1]
-        n = len(first)
-        return [pa.array(first.view(np.int64)), _same(n, sid), _same(n, fp), _same(n, len(s)), pa.array(np.arange(n))]
-
-    rows = _sets(docs, text, width, prefix, "h long, sid long, fp long, n long, pos long").repartition(F.col("h"))
-    rows = rows.groupBy("h", "sid").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("pos").alias("pos"))
-    twins = cut(_sets(docs, text, width, lambda s, sid, fp: [_same(1, sid), _same(1, fp)], "sid long, fp long").distinct())
-    same = twins.join(twins.groupBy("sid").agg(F.min("fp").alias("a")), "sid").where("a <> fp").select("a", F.col("fp").alias("b"))
-    meet = cut(rows.withColumn("here", F.count(F.lit(1)).over(W.partitionBy("h"))).where("here > 1").select("h", F.struct("sid", "fp", "n", "pos").alias("x")))
-
-    def room(x: Column, y: Column) -> Column:
-        shared = F.ceil(F.round((x["n"] + y["n"]) * F.lit(least / (1 + least)), 6))
-        return (x["n"] >= _least(y["n"], least)) & (y["n"] >= _least(x["n"], least)) & (F.least(x["n"] - x["pos"], y["n"] - y["pos"]) + F.least(x["pos"], y["pos"]) >= shared)
+                found = shingles.of(simhash.words_of(x.as_py()))
+                sid = set_id(found)
+                if len(found) and sid not in seen:
+                    seen.add(sid)
+                    sids.append(sid)
+                    sizes.append(len(found))
+                    parts.append(in_order(found, common, rank)[: len(found) - int(needed(len(found), least)) + 1])
+            many = [len(p) for p in parts[1:]]
+            ends = np.cumsum(many, dtype=np.int64)
+            place = np.arange(ends[-1] if many else 0) - np.repeat(ends - many, many)
+            at = np.repeat(np.array(sizes, np.int64), many) << 32 | place
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(sids, np.int64), many)), pa.array(at)], names=["h", "sid", "at"])
+
+    return docs.select(quoted(text).alias("text")).mapInArrow(run, "h long, sid long, at long")
+
+
+def room(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of sizes n and m that share a shingle at their places p and q can be similar enough."""
+    shared = needed((n + m) * (least / (1 + least)), 1.0)
+    return (np.minimum(n, m) >= needed(np.maximum(n, m), least)) & (np.minimum(p, q) + np.minimum(n - p, m - q) >= shared)
+
+
+def _first_pairs(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s, x, t, y = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            ok = room(x >> 32, x & 0xFFFFFFFF, y >> 32, y & 0xFFFFFFFF, least) & (s != t)
+            if ok.any():
+                got = np.unique(np.sort(np.stack([s[ok], t[ok]], axis=1), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["s", "t"])
+
+    return run
+
+
+def pairs_in_sorted(group: np.ndarray, sid: np.ndarray, root: np.ndarray, at: np.ndarray, side: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """Pairs (n, 2) of sets of one group and different roots that can be similar; rows stand in order of (group, size).
+
+    side: 0 in a block that is paired within itself; 1 and 2 where two blocks are paired with each other.
+    """
+    n, p = at >> 32, at & 0xFFFFFFFF
+
+    def good(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (root[i] != root[j]) & (sid[i] != sid[j]) & ((side[i] == 0) | (side[i] != side[j])) & room(n[i], p[i], n[j], p[j], least)
+
+    cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+    length = np.diff(cuts)
+    big = length > SMALL
+    within = np.repeat(~big, length)
+    for d in range(1, SMALL):
+        i = np.flatnonzero((group[d:] == group[:-d]) & within[d:])
+        i = i[good(i, i + d)]
+        if len(i):
+            yield np.stack([sid[i], sid[i + d]], axis=1)
+    for a, k in zip(cuts[:-1][big].tolist(), length[big].tolist(), strict=True):
+        ends = a + np.searchsorted(n[a : a + k], np.floor(np.round(n[a : a + k] / least, 6)), side="right")
+        for i in range(a, a + k, 64):
+            left = np.arange(i, min(i + 64, a + k))
+            right = np.arange(i + 1, ends[left[-1] - a])
+            x, y = (v.ravel() for v in np.meshgrid(left, right, indexing="ij"))
+            x, y = x[y > x], y[y > x]
+            ok = good(x, y)
+            if ok.any():
+                yield np.stack([sid[x[ok]], sid[y[ok]]], axis=1)
+
+
+def _other_pairs(least: float):
+    """Rows come sorted by (h, lo, hi, at); a group that a batch cuts is carried on into the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out(parts):
+            h, lo, hi, sid, root, at, block = (np.concatenate(c) for c in zip(*parts, strict=True))
+            new = (h[1:] != h[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+            side = np.where(lo == hi, 0, np.where(block == lo, 1, 2))
+            for got in pairs_in_sorted(np.concatenate([[0], np.cumsum(new)]), sid, root, at, side, least):
+                got = np.unique(np.sort(got, axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["s", "t"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            same = (c[0] == c[0][-1]) & (c[1] == c[1][-1]) & (c[2] == c[2][-1])
+            last = int(same.argmax())
+            if last or held and any(held[0][k][0] != c[k][0] for k in range(3)):
+                yield from out([*held, tuple(x[:last] for x in c)])
+                held = []
+            held.append(tuple(x[last:] for x in c))
+        if held:
+            yield from out(held)
+
+    return run
+
+
+def _similar(width: int, least: float):
+    """Rows (s, a, one, t, b, two): sets' ids, fingerprints and texts; gives the links (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(width)
+        for r in batches:
+            made: dict[tuple, np.ndarray] = {}
+
+            def of(ids, texts, k):
+                if ids[k] not in made:
+                    made[ids[k]] = shingles.of(simhash.words_of(texts[k].as_py()))
+                return made[ids[k]]
+
+            s, a, t, b = (r.column(k).to_pylist() for k in (0, 1, 3, 4))
+            left, right, ok = list(zip(s, a, strict=True)), list(zip(t, b, strict=True)), []
+            for k in range(r.num_rows):
+                x, y = of(left, r.column(2), k), of(right, r.column(5), k)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(shared >= round(least * (len(x) + len(y) - shared), 6))
+            yield pa.RecordBatch.from_arrays([r.column(1), r.column(4)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _links(docs: DataFrame, marks: DataFrame, near: DataFrame, text: str, width: int, least: float) -> DataFrame:
+    """The links (a, b) of fingerprints between similar sets; near: the fingerprints' own."""
+    rows = _prefixes(docs, text, width, least, *_common(marks))
+    often = rows.groupBy("h").count().where("count > 1")
+    meet = cut(rows.join(often, "h"))
+    sets = cut(marks.where("sid is not null").groupBy("sid", "fp").agg(F.min("row").alias("row")))
+    keyed = docs.select(quoted(text).alias("text"), row_key(docs).alias("row"))
 
     def similar(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.where(room(F.col("x"), F.col("y"))).select(F.col("x.sid").alias("s"), F.col("y.sid").alias("t"), F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).where("s <> t").distinct())
-        wanted = pairs.select(F.col("s").alias("sid")).union(pairs.select("t")).distinct()
-        full = _sets(docs, text, width, lambda s, sid, fp: [_same(1, sid), pa.array([s.tobytes()], pa.binary())], "sid long, found binary")
-        full = cut(full.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("found").alias("found")))
-        both = pairs.join(full.select(F.col("sid").alias("s"), F.col("found").alias("one")), "s").join(full.select(F.col("sid").alias("t"), F.col("found").alias("two")), "t")
-
-        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ok = []
-                for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(shared >= round(least * (len(x) + len(y) - shared), 6))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-        return cut(both.select("a", "b", "one", "two").mapInArrow(verify, "a long, b long"))
-
-    first = F.first("x").over(W.partitionBy("h").orderBy("x.sid").rowsBetween(W.unboundedPreceding, W.currentRow))
-    found = same.unionByName(similar(meet.withColumn("y", first)))
-    of = roots(found).withColumnRenamed("node", "fp")
-    rooted = cut(meet.withColumn("fp", F.col("x.fp")).join(of, "fp", "left").select("h", "x", F.coalesce("root", "fp").alias("root")))
-    left = rooted.join(rooted.select("h", F.col("x").alias("y"), F.col("root").alias("other")), "h").where("root <> other and x.sid < y.sid")
-    return found.unionByName(similar(left.select("x", "y")))
+        wanted = sets.join(pairs.select(F.col("s").alias("sid")).union(pairs.select("t")).distinct(), "sid")
+        texts = cut(keyed.join(few(wanted), "row").groupBy("sid", "fp").agg(F.first("text").alias("text")))
+        one, two = texts.toDF("s", "a", "one"), texts.toDF("t", "b", "two")
+        both = pairs.join(one, "s").join(two, "t").where("a <> b").select("s", "a", "one", "t", "b", "two")
+        return cut(both.mapInArrow(_similar(width, least), "a long, b long").distinct())
+
+    # pairs with one of each group, and different fingerprints of one set
+    first = meet.groupBy("h").agg(F.min(F.struct("sid", "at")).alias("y"), F.max("sid").alias("z")).where("y.sid <> z").select("h", F.col("y.sid").alias("t"), F.col("y.at").alias("y"))
+    pairs = meet.join(first, "h").select(F.col("sid").alias("s"), F.col("at").alias("x"), "t", "y").mapInArrow(_first_pairs(least), "s long, t long")
+    twins = sets.groupBy("sid").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select(F.col("sid").alias("s"), F.col("sid").alias("t"))
+    tried = cut(pairs.unionByName(twins).distinct())
+    found = similar(tried)
+    # all others that meet and aren't connected yet
+    roots = cut(connected_components(near.unionByName(found))).withColumnRenamed("node", "fp")
+    roots = sets.join(roots, "fp", "left").select("sid", F.coalesce("root", "fp").alias("root"))
+    rooted = cut(meet.drop("count").join(roots, "sid"))
+    parted = rooted.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("h", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    blocks = rooted.join(parted, "h").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = blocks.select("h", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "sid", "root", "at", "block")
+    pairs = blocks.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi", "at").mapInArrow(_other_pairs(least), "s long, t long")
+    left = cut(pairs.distinct().join(tried, ["s", "t"], "left_anti"))
+    return found.unionByName(similar(left))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """doc_id, row, fp, root and component_id (the smallest id reachable by links of either kind) of every row."""
+    ship(docs.sparkSession)
+    marks = cut(_marks(docs, key, text, width, least))
+    distinct = simhash.distinct_of(marks)
+    near = cut(simhash.links(distinct))
+    return simhash.grouped(marks, distinct, near.unionByName(_links(docs, marks, near, text, width, least)))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """docs, one row of each component: see simhash.keep_one."""
+    return simhash.keep_one(docs, near_duplicates(docs, key, text, width, least))

@@ -21,7 +21,8 @@ rows share a component; an empty table gives no rows; only the id and the text a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,38 +30,38 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, quoted, row_hash, ship
+from .common import ROW_KEY, cut, few, near_name, quoted, row_key, ship
 from .components import connected_components
 
 SEED, SHINGLE, BITS = 42, 3, 3
 #: Generator polynomial of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 POLYNOMIAL = 0b110001110101
-#: Within a key, groups up to this many give all their links; larger ones a spanning forest.
-SMALL = 16
+#: Within a key, groups up to this many give all their links; larger ones a spanning forest. Above WHOLE they are split by further keys.
+SMALL, WHOLE = 16, 2_000
+#: Fingerprints that one task gives their keys, some 60 each.
+A_TASK = 50_000
 
 # ---- fingerprints ----
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
-    """A hash of each of the lower-cased text's word shingles, repeats included; none where there is no word."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    line = b" ".join(words)
-    n = max(1, len(words) - width + 1)
-    if n == 1:
-        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, n)
+def words_of(text: str | None) -> list[bytes]:
+    """The lower-cased text's words."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """SimHash of the lower-cased text's word shingles, repeats included; 0 where there is no word."""
-    hashes = shingle_hashes(text, width)
+def shingle_hashes(words: list[bytes], width: int = SHINGLE) -> np.ndarray:
+    """A hash of each of the word shingles, repeats included; none where there is no word."""
+    n = len(words) - width + 1
+    if n <= 1:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
     n = len(hashes)
     counts = np.zeros(64, np.int64)
     for i in range(0, n, 4096):
@@ -68,8 +69,13 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """SimHash of the lower-cased text's word shingles, repeats included; 0 where there is no word."""
+    return fingerprint_of(shingle_hashes(words_of(text), width))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row, fp): row is a hash of all that a row holds, fp the unsigned 64 bits as a long."""
+    """(doc_id, row, fp): row stands for all that a row holds, fp the unsigned 64 bits as a long."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +83,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             fps = np.fromiter((fingerprint(x.as_py()) for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "row", "fp"])
 
-    return docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text"), row_hash(docs).alias("row")).mapInArrow(run, "doc_id long, row long, fp long")
+    return docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text"), row_key(docs).alias("row")).mapInArrow(run, f"doc_id long, row {ROW_KEY}, fp long")
 
 
 # ---- Golay keys ----
@@ -97,8 +103,6 @@ def _patterns() -> np.ndarray:
     bit = _syndrome(ones)
     table = np.full((2048, 6), -1, np.int64)
     filled = np.zeros(2048, np.int64)
-    from itertools import combinations
-
     for weight in range(5):
         for at in combinations(range(23), weight):
             s = int(np.bitwise_xor.reduce(bit[list(at)])) if at else 0
@@ -179,6 +183,29 @@ def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _split_forest(fps: np.ndarray) -> list[tuple[int, int]]:
+    """As _forest(), for groups of any size.
+
+    The bits in which the group differs at all are cut into one piece more than bits may differ, so linked ones agree in a piece.
+    """
+    if len(fps) <= WHOLE:
+        return _forest(fps)
+    differ = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    bits = [b for b in range(64) if differ >> b & 1]
+    if len(bits) <= BITS:
+        return [(int(fps[0]), int(y)) for y in fps[1:]]
+    out = []
+    for k in range(BITS + 1):
+        piece = np.zeros(len(fps), np.uint64)
+        for b in bits[k :: BITS + 1]:
+            piece = piece << np.uint64(1) | fps >> np.uint64(b) & np.uint64(1)
+        order = np.argsort(piece, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(piece[order])) + 1):
+            if len(at) > 1:
+                out += _split_forest(fps[at])
+    return out
+
+
 def links_in_sorted(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
     """Links (n, 2) of uint64 among rows sorted by key, within equal keys."""
     found = []
@@ -194,7 +221,7 @@ def links_in_sorted(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
         ok = (np.bitwise_count(x ^ y) <= BITS) & (x != y)
         found.append(np.stack([x[ok], y[ok]], axis=1))
     for a, n in zip(cuts[:-1][big].tolist(), length[big].tolist(), strict=True):
-        got = _forest(np.unique(fps[a : a + n]))
+        got = _split_forest(np.unique(fps[a : a + n]))
         if got:
             found.append(np.array(got, dtype=np.uint64))
     if not found:
@@ -213,44 +240,41 @@ def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key; a group that a batch cuts is carried on into the next."""
-    held_k, held_f = np.empty(0, np.int64), np.empty(0, np.uint64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of one key
 
-    def out(k, f):
-        got = links_in_sorted(k, f)
+    def out(parts):
+        got = links_in_sorted(np.concatenate([k for k, _ in parts]), np.concatenate([f for _, f in parts]))
         return pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy().view(np.int64)), pa.array(got[:, 1].copy().view(np.int64))], names=["a", "b"])
 
     for b in batches:
         k, f = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-        k, f = np.concatenate([held_k, k]), np.concatenate([held_f, f])
         if not len(k):
             continue
         last = int(np.searchsorted(k, k[-1]))
-        held_k, held_f = k[last:], f[last:]
-        if last:
-            yield out(k[:last], f[:last])
-    if len(held_k):
-        yield out(held_k, held_f)
+        if last or held and held[0][0][0] != k[0]:
+            if held or last:
+                yield out([*held, (k[:last], f[:last])])
+            held = []
+        held.append((k[last:], f[last:]))
+    if held:
+        yield out(held)
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """distinct (fp) to links (a, b): enough of the pairs at 3 or fewer differing bits to connect all of them."""
     ship(distinct.sparkSession)
-    keyed = distinct.select("fp").mapInArrow(_emit_keys, "key long, fp long")
+    dealt = distinct.select("fp").repartition(max(1, -(-distinct.count() // A_TASK)), "fp")
+    keyed = dealt.mapInArrow(_emit_keys, "key long, fp long")
     return keyed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_match, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", more: Callable | None = None) -> DataFrame:
-    """doc_id, row, fp and component_id (the smallest id reachable by links) of every row.
+def distinct_of(marks: DataFrame) -> DataFrame:
+    """(fp, least): each fingerprint with its smallest id."""
+    return cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
 
-    more: gives further links (a, b), from docs and a function that finds (node, root) of such links with the fingerprints' own.
-    """
-    marks = cut(fingerprints(docs, key, text))
-    distinct = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    near = links(distinct)
-    if more is not None:
-        near = cut(near)
-        own = near
-        near = own.unionByName(more(docs, lambda found: cut(connected_components(own.unionByName(found))), text))
+
+def grouped(marks: DataFrame, distinct: DataFrame, near: DataFrame) -> DataFrame:
+    """doc_id, row, fp, root and component_id (the smallest id reachable by the links near (a, b)) of every row of marks."""
     roots = cut(connected_components(near))
     of = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -258,15 +282,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
     return marks.join(of, "fp").select("doc_id", "row", "fp", "root", "component_id")
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", more: Callable | None = None) -> DataFrame:
-    """docs, one row of each component: the one with the smallest id, null ids last, the smallest hash of the row among equal ids.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, row, fp, root and component_id of every row, by the fingerprints' links."""
+    marks = cut(fingerprints(docs, key, text))
+    distinct = distinct_of(marks)
+    return grouped(marks, distinct, links(distinct))
+
+
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs, one row of each component of found: the one with the smallest id, null ids last, the smallest row key among equal ids.
 
-    The rows of equal hash are reduced to one where they have met, so texts are exchanged once.
+    Rows that go are told by their keys, so the texts of the others aren't exchanged; rows that come more than once
+    in docs are taken out with them, and those that stay are put back once.
     """
-    best = near_duplicates(docs, key, text, more).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("r")).select(F.col("r.row").alias("row"))
-    packed = docs.select(row_hash(docs).alias("row"), F.struct(*[quoted(c).alias(c) for c in docs.columns]).alias("record"))
-    one = packed.join(best, "row", "left_semi").groupBy("row").agg(F.first("record").alias("record"))
-    return one.select(*[F.col("record").getField(c).alias(c) for c in docs.columns])
+    found = cut(found.select("doc_id", "row", "root"))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("r")).select("root", F.col("r.row").alias("best"))
+    twice = cut(found.groupBy("row").count().where("count > 1").select("row"))
+    out = found.join(best, "root").where("row <> best").select("row").union(twice).distinct()
+    back = best.select(F.col("best").alias("row")).join(twice, "row", "left_semi")
+    name = near_name(docs.columns, "row")
+    keyed = docs.select(*[quoted(c) for c in docs.columns], row_key(docs).alias(name))
+    stay = keyed.join(few(out).withColumnRenamed("row", name), name, "left_anti")
+    packed = keyed.join(few(back).withColumnRenamed("row", name), name, "left_semi").groupBy(name).agg(F.first(F.struct(*[quoted(c).alias(c) for c in docs.columns])).alias("record"))
+    return stay.select(*[quoted(c) for c in docs.columns]).unionByName(packed.select(*[F.col("record").getField(c).alias(c) for c in docs.columns]))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs, one row of each component of the fingerprints' links."""
+    return keep_one(docs, near_duplicates(docs, key, text))
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
