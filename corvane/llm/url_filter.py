@@ -23,18 +23,43 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BUCKETS = 2048
 #: (host, path, verdict) of the contract's rules.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-#: Names of hosts for the small labelled table: what to block, what to let through.
-BAD_NAMES = ["casino-win", "free-bets", "ads-track", "spam-farm", "adult-x", "cheap-pills", "bet-casino", "win-pills", "xxx-adult", "track-ads", "farm-spam", "cheap-bets"]
-GOOD_NAMES = ["tionsh", "tionble", "therer", "thand", "reading", "gardens", "history", "library", "sciences", "university", "recipes", "weather", "museum", "journal", "mountain", "orchestra", "thesis", "northern", "handbook", "stories", "inlandth", "eronthe", "ofting", "onstre"]
-
-
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table (url, label; 1 is to be blocked): each name under a few prefixes, domains and paths."""
+#: Words of hosts for the small labelled table, by what such hosts offer. None is taken from a table that is judged.
+#: Twice as many are wanted, so that a name is blocked for what it holds and not for being unknown.
+UNWANTED = {
+    "gambling": "casino poker slots jackpot roulette betting bets bingo",
+    "pharmacy": "pills viagra pharmacy meds cialis cheap diet tablets",
+    "adult": "adult porn xxx sex cams escorts nude dating",
+    "advertising": "ads adserver tracker banner popup clicks pixel affiliate",
+    "spam": "spam linkfarm free prizes winner loans crypto replica",
+}
+WANTED = {
+    "learning": "university college school academy lectures students thesis science",
+    "reading": "library journal stories handbook archive letters poems reading",
+    "news": "weather herald times northern radio gazette evening weekly",
+    "culture": "museum orchestra theatre gallery heritage history concert festival",
+    "leisure": "gardens mountain recipes cycling kitchen travel harbour forest",
+    "public": "council parliament ministry hospital police transport elections citizens",
+    "business": "accounting engineering insurance logistics printing consulting furniture bakery",
+    "computing": "software compiler database network documentation kernel packages tutorials",
+    "places": "london edinburgh toronto brighton netherlands northland riverside westend",
+    "people": "family children mothers brothers neighbours wedding gathering together",
+}
+
+
+def names_of(words: str) -> list[str]:
+    """Names of hosts: each word by itself, with the next one and with the one after that, by turns with and without a hyphen."""
+    each = words.split()
+    pairs = [(w, each[(i + step) % len(each)]) for step in (1, 2) for i, w in enumerate(each)]
+    return each + [a + "-" * (k % 2) + b for k, (a, b) in enumerate(pairs)]
+
+
+def labelled_urls(spark: SparkSession, unwanted: dict[str, str] = UNWANTED, wanted: dict[str, str] = WANTED) -> DataFrame:
+    """The small labelled table (url, label; 1 is to be blocked): each name under a prefix, a domain and two paths."""
     rows = []
-    for label, names in ((1.0, BAD_NAMES), (0.0, GOOD_NAMES)):
-        for i, name in enumerate(names):
-            for j, (prefix, path) in enumerate((("", "/en/12"), ("www.", "/fr/345/"), ("m.", "/de/6.html"), ("blog.", "/es/7890"))):
-                rows.append((f"https://{prefix}{name}.example.{('com', 'org', 'net')[(i + j) % 3]}{path}", label))
+    for label, classes in ((1.0, unwanted), (0.0, wanted)):
+        for i, name in enumerate(n for words in classes.values() for n in names_of(words)):
+            for j, path in enumerate(("/en/12", "/fr/345/", "/de/6.html", "/es/7890")[i % 2 :: 2]):
+                rows.append((f"https://{('', 'www.', 'm.', 'blog.')[(i + j) % 4]}{name}.example.{('com', 'org', 'net')[(i + j) % 3]}{path}", label))
     return spark.createDataFrame(rows, "url string, label double").coalesce(1)
 
 

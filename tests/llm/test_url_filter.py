@@ -1,7 +1,12 @@
+import math
 import re
 
+import xxhash
+
 from corvane.llm import url_filter as U
 
+TABLES = ["/root/testdata/sf0.001", "/root/testdata/sf0.1"]
+
 ROWS = [
     (0, None), (1, ""), (2, "no-scheme.com/en/"), (3, "http://"), (4, "HTTP://A.Example.COM/en/7x?q#f"), (5, "http://com/en/"), (6, "http://x.com/EN/"), (7, "http://example.net/de/81"),
     (8, "http://a.net/de/"), (9, "http://casino-win.example.org/fr/1"), (10, "http://xorg/es/"), (11, "http://b.org/es/1"), (12, "http://u:p@h.org:80/es/x"), (13, "a://b://c/d"), (14, "http://ÄÖ.org/x y\n/z?"), (15, "http://h.org?x/en/"), (16, "http://library.example.org/" + "long/" * 3000),
@@ -42,3 +47,39 @@ def test_native_and_learned(spark):
     plan = judged._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
     assert U.judge_urls(pages.limit(0), U.labelled_urls(spark), U.RULES).collect() == []
+
+
+def test_names_are_no_hosts_of_the_pages(spark):
+    name = r"([^./?#]+)\.example\."
+    told = {re.search(name, r["url"])[1] for r in U.labelled_urls(spark).collect()}
+    for folder in TABLES:
+        hosts = {re.search(name, r["url"])[1] for r in spark.read.parquet(f"{folder}/pages.parquet").select("url").distinct().collect() if r["url"] and re.search(name, r["url"])}
+        assert hosts and not hosts & told
+
+
+def test_unseen_names(spark):
+    """Names of words that the labelled table doesn't have: each second word is held out, with all names that hold it."""
+    rows, right = [], 0
+    seen = [{c: " ".join(w.split()[::2]) for c, w in t.items()} for t in (U.UNWANTED, U.WANTED)]
+    for label, table in (("block", U.UNWANTED), ("allow", U.WANTED)):
+        rows += [(label, f"http://{n}.example.org/en/{k}") for w in table.values() for k, n in enumerate(U.names_of(" ".join(w.split()[1::2])))]
+    pages = spark.createDataFrame([(i, u) for i, (_, u) in enumerate(rows)], "page_id long, url string")
+    for r in U.judge_urls(pages, U.labelled_urls(spark, *seen), []).collect():
+        right += rows[r["page_id"]][0] == r["verdict"]
+    print(right, len(rows))
+    assert right > 0.6 * len(rows)
+
+
+def test_score(spark):
+    """The score against plain n-grams and a plain sum."""
+    weights, bias = U.train(U.labelled_urls(spark))
+    urls = ["http://a.example.org/x", "http://casino.example.com/en/9", "http://q", "b://"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["score"] for r in U.judge_urls(pages, U.labelled_urls(spark), []).collect()}
+    for i, u in enumerate(urls):
+        host, path, _ = brute(u)
+        line = f"^{host}|{path}$"
+        grams = [line[k : k + n] for n in (3, 4, 5) for k in range(len(line) - n + 1)]
+        at = {xxhash.xxh64_intdigest(g.encode(), 42) for g in grams}
+        at = {(h - (1 << 64) if h >> 63 else h) % U.BUCKETS for h in at}
+        assert abs(got[i] - 1 / (1 + math.exp(-(bias + sum(weights[k] for k in at) / math.sqrt(max(1, len(at))))))) < 1e-9
