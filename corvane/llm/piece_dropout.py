@@ -25,6 +25,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -102,8 +103,9 @@ class Coder:
         ok = (self.codes[at] == code) & (left >= 0) & (right >= 0)
         return np.where(ok, self.rank[at], NONE), self.merged[at]
 
-    def _rows(self, units: list[str], keys: np.ndarray | int, n: int) -> list[bytes]:
-        """Ids of units of n characters each, each under its key."""
+    def _rows(self, units: list[str], keys: np.ndarray | int, n: int, path: list | None = None) -> list[bytes]:
+        """Ids of units of n characters each, each under its key. With a path nothing is skipped, and it gets the merges (row, start, middle, end)."""
+        limit = self.limit if path is None else 0
         m = len(units)
         sym = self.by_point[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")].reshape(m, n)
         start = np.tile(np.arange(n + 1, dtype=np.int16), (m, 1))  # where each symbol starts; the last column is the end
@@ -111,7 +113,7 @@ class Coder:
         row = np.arange(m)
         out: list[bytes | None] = [None] * m
         rank, merged = self._lookup(sym[:, :-1], sym[:, 1:]) if n > 1 else (np.empty((m, 0), np.int32),) * 2
-        if self.limit and n > 1:
+        if limit and n > 1:
             rank = np.where(_skips(keys[:, None], start[:, :-2], start[:, 1:-1], start[:, 2:], self.limit), NONE, rank)
         while len(row):
             k = sym.shape[1]
@@ -126,6 +128,8 @@ class Coder:
                 break
             row, sym, start, rank, merged, j, keys = row[live], sym[live], start[live], rank[live], merged[live], j[live], keys[live]
             each = np.arange(len(row))
+            if path is not None:
+                path.append(np.stack([row, start[each, j], start[each, j + 1], start[each, j + 2]]))
             sym[each, j] = merged[each, j]
             cols = np.arange(k - 1)
             sym = np.take_along_axis(sym, cols + (cols > j[:, None]), axis=1)
@@ -138,17 +142,17 @@ class Coder:
                 ok = np.flatnonzero((at >= 0) & (at < k - 2))
                 p = at[ok]
                 r, g = self._lookup(sym[ok, p], sym[ok, p + 1])
-                if self.limit:
+                if limit:
                     r = np.where(_skips(keys[ok], start[ok, p], start[ok, p + 1], start[ok, p + 2], self.limit), NONE, r)
                 rank[ok, p], merged[ok, p] = r, g
         return out
 
-    def _heap(self, unit: str, key: int, path: list | None = None) -> bytes:
-        """Ids of one unit of any length, by an agenda. With a path nothing is skipped, and it gets the merges (start, middle, end)."""
+    def _heap(self, unit: str, key: int) -> bytes:
+        """Ids of one unit of any length, by an agenda."""
         n = len(unit)
         sym = [self.char.get(c, -1) for c in unit]
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        key, limit = np.array([key], np.uint64), self.limit if path is None else 0
+        key, limit = np.array([key], np.uint64), self.limit
         agenda: list[tuple[int, int, int, int]] = []
 
         def add(spots: list[tuple[int, int]]) -> None:
@@ -167,8 +171,6 @@ class Coder:
             b = after[a]
             if gone[a] or b >= n or end[b] != stop or self.place.get(sym[a] * self.base + sym[b]) != at:
                 continue
-            if path is not None:
-                path.append((a, b, end[b]))
             sym[a], end[a], gone[b] = int(self.merged[at]), end[b], True
             after[a] = after[b]
             if after[b] < n:
@@ -200,44 +202,49 @@ class Coder:
         x = (x ^ (x >> np.uint64(32))) * _M1
         return x ^ (x >> np.uint64(29))
 
+    def _by_length(self, units: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, which units) of at most 20,000 units each."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(sizes, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+            for k in range(0, len(at), 20_000):
+                yield int(sizes[at[0]]), at[k : k + 20_000]
+
     def _learn(self, units: list[str]) -> None:
-        """Remembers short units that come more than once here, up to REMEMBERED."""
-        counts = Counter(u for u in units if len(u) <= SHORT)
-        for u, n in counts.items():
-            if u in self.known or n < 2 and self.limit or len(self.known) >= REMEMBERED:
-                continue
-            path: list[tuple[int, int, int]] = []
-            self.plain.append(self._heap(u, 0, path))
-            self.known[u] = len(self.known)
-            self.spans.append(path)
+        """Remembers short units that come more than once among these, up to REMEMBERED."""
+        counts = Counter(units)
+        new = [u for u, n in counts.items() if (n > 1 or not self.limit) and len(u) <= SHORT][: REMEMBERED - len(self.known)]
+        for n, at in self._by_length(new):
+            some, path = [new[i] for i in at.tolist()], []
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
+            self.plain += self._rows(some, 0, n, path)
+            steps = np.concatenate([np.empty((4, 0), np.int64), *path], axis=1)
+            steps = steps[:, np.argsort(steps[0], kind="stable")]
+            self.first = np.concatenate([self.first[:-1], len(self.spans) + np.searchsorted(steps[0], np.arange(len(some) + 1))])
+            self.spans = np.concatenate([self.spans, steps[1:].T.astype(np.int16)])
 
     def _under_keys(self, units: list[str], keys: np.ndarray) -> list[bytes]:
         """Ids of units, each under its key and without what is remembered."""
         out: list[bytes] = [b""] * len(units)
-        by_length: dict[int, list[int]] = {}
-        for i, u in enumerate(units):
-            if len(u) <= SHORT:
-                by_length.setdefault(len(u), []).append(i)
-            else:
-                out[i] = self._heap(u, int(keys[i]))
-        for n, at in by_length.items():
-            for k in range(0, len(at), 20_000):
-                some = at[k : k + 20_000]
-                for i, ids in zip(some, self._rows([units[i] for i in some], keys[some], n), strict=True):
+        for n, at in self._by_length(units):
+            some = at.tolist()
+            if n <= SHORT:
+                for i, ids in zip(some, self._rows([units[i] for i in some], keys[at], n), strict=True):
                     out[i] = ids
+            else:
+                for i in some:
+                    out[i] = self._heap(units[i], int(keys[i]))
         return out
 
     def _skipped(self, node: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Whether a key skips any merge on the way to the remembered ids."""
         hit = np.zeros(len(node), bool)
-        if not self.limit or not len(self.spans):
+        if not self.limit or not len(node):
             return hit
-        sizes = np.array([len(p) for p in self.spans], np.int64)
-        flat = np.array([s for p in self.spans for s in p], np.int64).reshape(-1, 3)
-        first = np.cumsum(sizes) - sizes
-        for d in range(int(sizes.max())):
-            at = np.flatnonzero((sizes[node] > d) & ~hit)
-            a, b, c = flat[first[node[at]] + d].T
+        first, many = self.first[node], np.diff(self.first)[node]
+        for d in range(int(many.max())):
+            at = np.flatnonzero((many > d) & ~hit)
+            a, b, c = self.spans[first[at] + d].T
             hit[at] = _skips(keys[at], a, b, c, self.limit)
         return hit
 
@@ -245,15 +252,18 @@ class Coder:
         """Ids of each text as little-endian 32-bit integers."""
         parts = [self.cut.findall(" " + t) if t else [] for t in texts]
         counts = [len(p) for p in parts]
-        units = [u for p in parts for u in p]
+        units = list(chain.from_iterable(parts))
         own = self._keys(counts, keys)
-        self._learn(units)
-        node = np.fromiter((self.known.get(u, -1) for u in units), np.int64, len(units))
-        fresh = node < 0
-        there = np.flatnonzero(~fresh)
-        fresh[there] = self._skipped(node[there], own[there])
-        ids = [self.plain[k] if k >= 0 else b"" for k in node.tolist()]
-        todo = np.flatnonzero(fresh)
+        node = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(node < 0)
+        if len(self.known) < REMEMBERED and len(new):
+            unknown = [units[i] for i in new.tolist()]
+            self._learn(unknown)
+            node[new] = np.fromiter(map(self.known.get, unknown, repeat(-1)), np.int64, len(new))
+        there = np.flatnonzero(node >= 0)
+        node[there[self._skipped(node[there], own[there])]] = -1
+        todo = np.flatnonzero(node < 0)
+        ids = list(map(self.plain.__getitem__, np.maximum(node, 0).tolist())) if self.plain else [b""] * len(units)
         for i, x in zip(todo.tolist(), self._under_keys([units[i] for i in todo.tolist()], own[todo]), strict=True):
             ids[i] = x
         ends = np.cumsum([0, *counts]).tolist()
@@ -263,7 +273,7 @@ class Coder:
         """Drops the remembered units, so that a worker's memory serves what it runs next."""
         self.known: dict[str, int] = {}
         self.plain: list[bytes] = []
-        self.spans: list[list[tuple[int, int, int]]] = []
+        self.spans, self.first = np.empty((0, 3), np.int16), np.zeros(1, np.int64)  # the merges of each, and where they begin
 
     def decode(self, ids: bytes) -> str:
         """The text that has these ids."""

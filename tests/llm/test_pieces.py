@@ -1,11 +1,15 @@
 import hashlib
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from sentencepiece import sentencepiece_model_pb2 as pb
 
 from corvane.llm import piece_dropout as P
 
@@ -87,3 +91,46 @@ def test_remembered_as_merged_anew(words):
         for t, raw in zip(texts, c.encode(texts, list(range(len(texts)))), strict=True):
             units = c.cut.findall(" " + t)
             assert b"".join(c._under_keys(units, c._keys([len(units)], [texts.index(t)]))) == raw
+
+
+def naive(text, doc, dropout, seed=P.SEED):
+    """One pair at a time, looked for from the start, with whole numbers of Python."""
+    model = pb.ModelProto()
+    model.ParseFromString(Path(PATH).read_bytes())
+    score = {p.piece.replace("▁", " "): (-p.score, i) for i, p in enumerate(model.pieces) if p.type == 1}
+    parts = {c for s in score for c in s}
+    byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
+    m, m1, m2 = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+    of, out = xxhash.xxh64_intdigest(str(doc).encode(), seed), []
+    # a unit is a word with the spaces before it, spaces at the end, or an end of line
+    units = re.findall(r" *[^ \n]+| +|\n", " " + text) if text else []
+    for place, unit in enumerate(units):
+        x = of + (place + 1) * m2 & m
+        x = (x ^ x >> 32) * m1 & m
+        key = x ^ x >> 29
+
+        def skipped(a, b, c):
+            x = key + (a << 42) + (b << 21) + c & m
+            x = (x ^ x >> 30) * m1 & m
+            x = (x ^ x >> 27) * m2 & m
+            return (x ^ x >> 31) >> 11 < int(dropout * 2**53)
+
+        cuts = list(range(len(unit) + 1))
+        while True:
+            known = [unit[a:b] in score or b - a == 1 and unit[a] in parts for a, b in zip(cuts, cuts[1:])]
+            can = [(score[unit[a:c]], a, b) for (a, b, c), l, r in zip(zip(cuts, cuts[1:], cuts[2:]), known, known[1:]) if l and r and unit[a:c] in score and not skipped(a, b, c)]
+            if not can:
+                break
+            cuts.remove(min(can)[2])
+        for a, b in zip(cuts, cuts[1:]):
+            out += [score[unit[a:b]][1]] if unit[a:b] in score else [byte[v] for v in unit[a:b].encode()]
+    return out
+
+
+def test_against_a_naive_agenda(words):
+    texts = [" ".join(words[:150]), "the  responsibility of international\n\nanother  line of 漢字 text ▁ " + "ab" * 30 + " ", "", "\n", "a"] + [" ".join(["internationally"] * 60)]
+    for dropout in (0.0, 0.1, 0.5):
+        c = P.Coder(PATH, dropout)
+        for _ in range(2):  # the second time units are remembered
+            for k, raw in enumerate(c.encode(texts, list(range(len(texts))))):
+                assert ids(raw) == naive(texts[k], k, dropout)
