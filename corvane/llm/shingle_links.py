@@ -3,8 +3,8 @@
 No pair of that similarity is left unconnected. Prefix filter: if all sets are put in one order, two sets that are similar
 enough share one of their first n - ceil(LEAST * n) + 1 shingles, so only these are exchanged. Any order is right; this one
 is by hash, but shingles that are often among the first of a set by hash, counted over all texts, come last, the commonest at
-the very end. Sets that meet at a shingle are kept if their sizes and the places of the shared shingle leave enough room, and are
-then compared on all their shingles, which are made anew from their texts.
+the very end. Sets that meet at a shingle are kept if their sizes and the places of the shared shingle leave enough room, and if
+small bitmaps of all their shingles don't rule it out; they are then compared on all shingles, which are made anew from their texts.
 
 Only connections matter. At first each set is compared with one of those that it meets at a shingle, and the pairs of the
 fingerprints' links count as connected; then all pairs that meet and aren't connected yet. So a large group of near copies doesn't
@@ -37,6 +37,8 @@ OFTEN, MOST = 64, 1 << 20
 #: Rows of a block of a group, rows of groups that are paired by shifting; words hashed at once, bytes from which a word's digest stands for it.
 BLOCK, SMALL, WORDS, LONG = 20_000, 16, 100_000, 64
 BASE = 0x9E3779B97F4A7C15
+#: Parts that the rows of a common shingle are dealt to, a power of two.
+SALTS = 64
 
 
 class Shingles:
@@ -98,32 +100,48 @@ def in_order(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndar
     return np.concatenate([found[~late], found[late][np.argsort(rank[at[late]])]]) if late.any() else found
 
 
-def _marks(docs: DataFrame, key: str, text: str, width: int, least: float) -> DataFrame:
-    """doc_id, row, fp, sid, and once for each set of a task its first shingles by hash."""
+def bitmap(found: np.ndarray) -> bytes:
+    """A bit for each value of the hashes' last digits, the parity of how many have it; as many bits as the next power of two of the set's size.
+
+    Two sets differ in at least as many shingles as their bitmaps in bits, if the longer one is folded to the other's length.
+    """
+    bits = max(64, 1 << (len(found) - 1).bit_length())
+    return np.packbits(np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def may_be_similar(n: int, x: bytes, m: int, y: bytes, least: float) -> bool:
+    """Whether sets of these sizes and bitmaps can be similar enough."""
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        half = len(x) // 2
+        x = (int.from_bytes(x[:half], "little") ^ int.from_bytes(x[half:], "little")).to_bytes(half, "little")
+    differ = (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count()
+    return differ <= n + m - 2 * int(needed((n + m) * (least / (1 + least)), 1.0))
+
+
+def _marks(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """doc_id, row, fp, and of texts with a word sid, n (the set's size) and bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen = Shingles(width), set()
+        shingles = Shingles(width)
         for b in batches:
-            fps, sids, first = [], [], []
+            fps, sids, sizes, bits = [], [], [], []
             for x in b.column(1):
                 words = simhash.words_of(x.as_py())
-                fps.append(simhash.fingerprint_of(simhash.shingle_hashes(words)))
                 found = shingles.of(words)
+                fps.append(simhash.fingerprint_of(simhash.shingle_hashes(words)))
                 sids.append(set_id(found) if len(found) else None)
-                new = len(found) > 0 and sids[-1] not in seen
-                if new:
-                    seen.add(sids[-1])
-                first.append(found[: len(found) - int(needed(len(found), least)) + 1] if new else found[:0])
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)
-            values = np.concatenate([*first, np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "row", "fp", "sid", "first"])
+                sizes.append(len(found))
+                bits.append(bitmap(found) if len(found) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "row", "fp", "sid", "n", "bits"])
 
-    return docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text"), row_key(docs).alias("row")).mapInArrow(run, f"doc_id long, row {ROW_KEY}, fp long, sid long, first array<long>")
+    return docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text"), row_key(docs).alias("row")).mapInArrow(run, f"doc_id long, row {ROW_KEY}, fp long, sid long, n long, bits binary")
 
 
-def _common(marks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The common shingles in order of their hashes, and the place of each by its count."""
-    counts = cut(marks.select(F.explode("first").alias("h")).groupBy("h").count().where(F.col("count") > OFTEN))
+def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles of rows (h) in order of their hashes, and the place of each by its count."""
+    counts = cut(rows.groupBy("h").count().where(F.col("count") > OFTEN))
     held = counts.groupBy(F.floor(F.log2("count")).alias("power")).count().orderBy(F.desc("power")).collect()
     total, floor = 0, 64
     for r in held:
@@ -140,7 +158,7 @@ def _common(marks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, text: str, width: int, least: float, common: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(h, sid, at) of each set's first shingles; at is the set's size above 32 bits, and the shingle's place."""
+    """(h, sid, at, salt) of each set's first shingles; at is the set's size above 32 bits, and the shingle's place; salt deals out common ones, others have -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingles(width), set()
@@ -158,9 +176,34 @@ def _prefixes(docs: DataFrame, text: str, width: int, least: float, common: np.n
             ends = np.cumsum(many, dtype=np.int64)
             place = np.arange(ends[-1] if many else 0) - np.repeat(ends - many, many)
             at = np.repeat(np.array(sizes, np.int64), many) << 32 | place
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(sids, np.int64), many)), pa.array(at)], names=["h", "sid", "at"])
+            h, sid = np.concatenate(parts), np.repeat(np.array(sids, np.int64), many)
+            salt = np.where(np.isin(h, common), sid & (SALTS - 1), -1) if len(common) else np.full(len(h), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sid), pa.array(at), pa.array(salt, pa.int32())], names=["h", "sid", "at", "salt"])
+
+    return docs.select(quoted(text).alias("text")).mapInArrow(run, "h long, sid long, at long, salt int")
 
-    return docs.select(quoted(text).alias("text")).mapInArrow(run, "h long, sid long, at long")
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by all columns; those at a shingle that is common or that another set has go on, each once."""
+    held = [np.empty(0, np.int64)] * 3 + [np.empty(0, np.int32)]
+    met = False  # whether the row that is held has met another one
+
+    def out(c, keep):
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in c[:3]], names=["h", "sid", "at"])
+
+    for b in batches:
+        c = [np.concatenate([x, b.column(k).to_numpy(zero_copy_only=False)]) for k, x in enumerate(held)]
+        if not len(c[0]):
+            continue
+        new = np.concatenate([[True], (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])])
+        c = [x[new] for x in c]
+        same = c[0][1:] == c[0][:-1]
+        keep = np.concatenate([[met], same]) | np.concatenate([same, [False]]) | (c[3] >= 0)
+        held, met = [x[-1:] for x in c], bool(keep[-1])
+        if keep[:-1].any():
+            yield out([x[:-1] for x in c], keep[:-1])
+    if met:
+        yield out(held, slice(None))
 
 
 def room(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
@@ -242,6 +285,18 @@ def _other_pairs(least: float):
     return run
 
 
+def _bits_agree(least: float):
+    """Rows (s, n, x, t, m, y) of two sets' ids, sizes and bitmaps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, x, m, y = (b.column(k).to_pylist() for k in (1, 2, 4, 5))
+            ok = [may_be_similar(*pair, least) for pair in zip(n, x, m, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3)], names=["s", "t"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
 def _similar(width: int, least: float):
     """Rows (s, a, one, t, b, two): sets' ids, fingerprints and texts; gives the links (a, b)."""
 
@@ -268,14 +323,18 @@ def _similar(width: int, least: float):
 
 def _links(docs: DataFrame, marks: DataFrame, near: DataFrame, text: str, width: int, least: float) -> DataFrame:
     """The links (a, b) of fingerprints between similar sets; near: the fingerprints' own."""
-    rows = _prefixes(docs, text, width, least, *_common(marks))
-    often = rows.groupBy("h").count().where("count > 1")
-    meet = cut(rows.join(often, "h"))
-    sets = cut(marks.where("sid is not null").groupBy("sid", "fp").agg(F.min("row").alias("row")))
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    common = _common(_prefixes(docs, text, width, least, *none))
+    rows = _prefixes(docs, text, width, least, *common).repartition("h", "salt").sortWithinPartitions("h", "sid", "at")
+    meet = cut(rows.mapInArrow(_meeting, "h long, sid long, at long"))
+    sets = cut(marks.where("sid is not null").groupBy("sid", "fp").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     keyed = docs.select(quoted(text).alias("text"), row_key(docs).alias("row"))
 
     def similar(pairs: DataFrame) -> DataFrame:
-        wanted = sets.join(pairs.select(F.col("s").alias("sid")).union(pairs.select("t")).distinct(), "sid")
+        bits = sets.select("sid", "n", "bits")
+        pairs = pairs.join(bits.toDF("s", "n", "x"), "s").join(bits.toDF("t", "m", "y"), "t").select("s", "n", "x", "t", "m", "y")
+        pairs = cut(pairs.mapInArrow(_bits_agree(least), "s long, t long").distinct())
+        wanted = sets.select("sid", "fp", "row").join(pairs.select(F.col("s").alias("sid")).union(pairs.select("t")).distinct(), "sid")
         texts = cut(keyed.join(few(wanted), "row").groupBy("sid", "fp").agg(F.first("text").alias("text")))
         one, two = texts.toDF("s", "a", "one"), texts.toDF("t", "b", "two")
         both = pairs.join(one, "s").join(two, "t").where("a <> b").select("s", "a", "one", "t", "b", "two")
@@ -290,7 +349,7 @@ def _links(docs: DataFrame, marks: DataFrame, near: DataFrame, text: str, width:
     # all others that meet and aren't connected yet
     roots = cut(connected_components(near.unionByName(found))).withColumnRenamed("node", "fp")
     roots = sets.join(roots, "fp", "left").select("sid", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(meet.drop("count").join(roots, "sid"))
+    rooted = cut(meet.join(roots, "sid"))
     parted = rooted.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("h", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     blocks = rooted.join(parted, "h").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = blocks.select("h", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "sid", "root", "at", "block")
@@ -302,7 +361,7 @@ def _links(docs: DataFrame, marks: DataFrame, near: DataFrame, text: str, width:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """doc_id, row, fp, root and component_id (the smallest id reachable by links of either kind) of every row."""
     ship(docs.sparkSession)
-    marks = cut(_marks(docs, key, text, width, least))
+    marks = cut(_marks(docs, key, text, width))
     distinct = simhash.distinct_of(marks)
     near = cut(simhash.links(distinct))
     return simhash.grouped(marks, distinct, near.unionByName(_links(docs, marks, near, text, width, least)))
