@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import quoted
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BUCKETS = 2048
+BUCKETS = 8192
 #: (host, path, verdict) of the contract's rules.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 #: Words of hosts for the small labelled table, by what such hosts offer. None is taken from a table that is judged.
@@ -91,7 +91,7 @@ def train(labelled: DataFrame, buckets: int = BUCKETS) -> tuple[list[float], flo
     host, path = host_and_path(F.col("url"))
     rows = labelled.select("label", host.alias("host"), path.alias("path")).select("label", buckets_of(F.col("host"), F.col("path"), buckets).alias("at"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.when(F.array_contains("at", i), 1 / F.sqrt(F.size("at").cast("double"))).otherwise(F.lit(0.0)))
-    model = LogisticRegression(maxIter=40, regParam=0.001, standardization=False).fit(rows.select("label", array_to_vector(dense).alias("features")))
+    model = LogisticRegression(maxIter=100, regParam=0.0001, standardization=False).fit(rows.select("label", array_to_vector(dense).alias("features")))
     return [float(x) for x in model.coefficients], float(model.intercept)
 
 
@@ -111,7 +111,7 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str
     host, path = host_and_path(F.col("url"))
     rows = pages.select(quoted(key).alias(key), quoted(url).alias("url")).select(key, host.alias("host"), path.alias("path"))
     rows = rows.withColumn("at", buckets_of(F.col("host"), F.col("path"), buckets))
-    held = F.array(*[F.lit(w) for w in weights])
+    held = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded into one literal
     total = F.aggregate("at", F.lit(0.0), lambda s, i: s + F.get(held, i))
     rows = rows.withColumn("score", 1 / (1 + F.exp(-(F.lit(bias) + total / F.sqrt(F.greatest(F.size("at"), F.lit(1)).cast("double"))))))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
