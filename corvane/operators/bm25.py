@@ -1,19 +1,26 @@
 """BM25 search over text chunks, for many questions at once.
 
-Only the postings of the questions' terms leave the scan: tokens are matched with the distinct terms
-(as small as the questions are) before anything is exchanged, and counted within each task first. Corpus
-statistics come from all chunks, before any language filter; chunks without tokens count too.
+Corpus statistics come from all chunks, before any language filter; chunks without tokens count too. Chunks can be
+searched as they are (search): then tokens are matched with the questions' distinct terms inside the scan and counted
+within tasks, and only the postings of these terms are exchanged. Or they are indexed once (write_index): postings lie in
+partitions by a hash of the term, in order of terms, with each chunk's length beside, so a search (search_index) reads the
+partitions of its terms and no text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import lexicon as X
 from corvane.functions import text as T
 
+#: Partitions of an index, and postings in one of their files.
+PARTS, A_FILE = 64, 4_000_000
+
 
 def token_table(chunks: DataFrame, key: str, ord: str, body: list[Column], meta: list[Column] | None = None, language: Column | None = None) -> DataFrame:
     """key, ord, language, dl (tokens of metadata and body), tokens and meta tokens of every chunk."""
@@ -48,27 +55,83 @@ def query_terms(questions: DataFrame, q: str = "q", question: str = "question",
     return questions.select(F.col(q).alias("q"), code.alias("code"), F.explode(T.expand(T.tokens(F.col(question)))).alias("term"))
 
 
+def _each(tokens: DataFrame) -> DataFrame:
+    """One row for each token of a chunk, in its text (tf) or its metadata (mtf)."""
+    one = F.concat(F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("mtf"))), F.transform("meta", lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("mtf"))))
+    return tokens.select("key", "ord", "language", "dl", F.explode(one).alias("x")).select("key", "ord", "language", "dl", "x.term", "x.tf", "x.mtf")
+
+
+def _counted(each: DataFrame) -> DataFrame:
+    return each.groupBy("key", "ord", "language", "dl", "term").agg(F.sum("tf").alias("tf"), F.sum("mtf").alias("mtf"))
+
+
 def search(tokens: DataFrame, terms: DataFrame, k: int, by_language: bool = False) -> DataFrame:
     """q, key, ord, score, rank: the k best chunks of every question, ties by ord. Scores are over 0."""
     stats = corpus_stats(tokens)
-    n, avgdl = stats.select(F.col("n").cast("double")).scalar(), stats.select(F.greatest("avgdl", F.lit(1.0))).scalar()
-    wanted = terms.select("term").distinct()
-    each = tokens.select("key", "ord", "language", "dl", F.explode(F.concat(F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("mtf"))), F.transform("meta", lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("mtf"))))).alias("x"))
-    each = each.select("key", "ord", "language", "dl", "x.term", "x.tf", "x.mtf").join(wanted, "term", "left_semi")
-    postings = each.groupBy("key", "ord", "language", "dl", "term").agg(F.sum("tf").alias("tf"), F.sum("mtf").alias("mtf"))
+    n, avgdl = stats.select(F.col("n").cast("double")).scalar(), stats.select("avgdl").scalar()
+    postings = _counted(_each(tokens).join(terms.select("term").distinct(), "term", "left_semi"))
+    return _best(postings, n, avgdl, tokens.select("language").distinct(), terms, k, by_language)
+
+
+def _best(postings: DataFrame, n: Column, avgdl: Column, languages: DataFrame, terms: DataFrame, k: int, by_language: bool) -> DataFrame:
+    """Ranks the postings of the questions' terms."""
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hits = postings.join(df, "term").join(terms, "term")
     if by_language:
         # a question's language counts only if some chunk has it
-        have = tokens.select("language").distinct().join(terms.select("code").distinct(), F.startswith("language", "code")).select("code").distinct().withColumn("there", F.lit(True))
+        have = languages.join(terms.select("code").distinct(), F.startswith("language", "code")).select("code").distinct().withColumn("there", F.lit(True))
         hits = hits.join(have, "code", "left").where(F.col("there").isNull() | F.startswith("language", "code"))
     idf = F.ln(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    soft = F.col("tf") * (X.BM25_K1 + 1) / (F.col("tf") + X.BM25_K1 * (1 - X.BM25_B + X.BM25_B * F.col("dl") / avgdl))
+    soft = F.col("tf") * (X.BM25_K1 + 1) / (F.col("tf") + X.BM25_K1 * (1 - X.BM25_B + X.BM25_B * F.col("dl") / F.greatest(avgdl, F.lit(1.0))))
     scored = hits.groupBy("q", "key", "ord").agg(F.sum(idf * soft + X.META_BOOST * F.col("mtf")).alias("score"))
     order = W.partitionBy("q").orderBy(F.round("score", 9).desc(), "ord")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).where("score > 0")
 
 
+@dataclass(frozen=True)
+class Index:
+    """A stored index: its folder, and what holds for all chunks."""
+
+    path: str
+    n: int
+    avgdl: float
+    parts: int
+
+
+def _part(term: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
+
+
+def write_index(tokens: DataFrame, path: str, parts: int = PARTS) -> Index:
+    """Stores the postings of a token table under `path`, with its languages and statistics; the statistics come last.
+
+    A partition's postings are dealt to as many files as it takes to hold A_FILE each, so that a frequent term isn't one task's.
+    """
+    spark = tokens.sparkSession
+    got = tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"), F.coalesce(F.sum("dl"), F.lit(0)).alias("all")).first()
+    files = max(1, -(-got["all"] // (A_FILE * parts)))
+    postings = _counted(_each(tokens)).withColumn("part", _part("term", parts))
+    dealt = postings.withColumn("file", F.pmod(F.xxhash64("key"), F.lit(files))).repartition(min(parts * files, 10_000), "part", "file").drop("file")
+    dealt.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    tokens.select("language").distinct().write.mode("overwrite").parquet(f"{path}/languages")
+    told = spark.createDataFrame([(got["n"], float(got["avgdl"]), parts)], "n long, avgdl double, parts int")
+    told.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    told = spark.read.parquet(f"{path}/stats").first()
+    return Index(path, told["n"], told["avgdl"], told["parts"])
+
+
+def search_index(spark: SparkSession, index: Index, terms: DataFrame, k: int, by_language: bool = False) -> DataFrame:
+    """As search(), from a stored index: only the partitions of the questions' terms are read, and no text."""
+    wanted = terms.select("term").distinct().withColumn("part", _part("term", index.parts))
+    parts = [r["part"] for r in wanted.select("part").distinct().collect()]  # numbers below index.parts
+    postings = spark.read.parquet(f"{index.path}/postings").where(F.col("part").isin(parts)).join(wanted, ["part", "term"], "left_semi").drop("part")
+    return _best(postings, F.lit(float(index.n)), F.lit(index.avgdl), spark.read.parquet(f"{index.path}/languages"), terms, k, by_language)
+
+
 def gate(best: DataFrame, questions: DataFrame, language: Column, threshold: float = X.CONFIDENCE) -> DataFrame:
     """q, confidence, answered, message of every question, from its best score; refused below the threshold."""
     top = best.where("rank = 1").select("q", "score")

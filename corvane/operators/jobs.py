@@ -13,7 +13,7 @@ from corvane.functions import text as T
 from corvane.functions import urls as U
 from corvane.operators import bm25, chunk, clean, crawl, fusion, state, vector
 from corvane.runtime import cut
-from corvane.sources import sinks
+from corvane.sources import readers, sinks
 from corvane.sources.readers import Settings
 
 #: Fetches pages: takes (url) and returns (url, html, error), error null where the page came.
@@ -99,11 +99,21 @@ def write_build(built: Build, folder: str) -> None:
     sinks.crawl_state(built.state, f"{folder}/state")
 
 
-def index_chunks(spark: SparkSession, chunks: DataFrame, path: str, embedder: Callable[[list[str]], list[list[float]]], dimension: int) -> str:
-    """Embeds chunk records and merges them into the vector table under `path` by their hash; returns the new version's path."""
+def index_chunks(spark: SparkSession, chunks: DataFrame, path: str, embedder: Callable[[list[str]], list[list[float]]], dimension: int, only_new: bool = False) -> str | None:
+    """Embeds chunk records and merges them into the vector table under `path` by their hash; returns the new version's path.
+
+    Of records of one hash the last by `ord` wins; where chunks have no such column, any of them. only_new: embeds only records whose
+    hash isn't stored yet, so a job that was broken off goes on where it was; if there are none, nothing is written and the newest path returned.
+    """
     key = chunk.chunk_hash(*[F.col(c) for c in ("url", "title", "section", "language", "text")])
-    rows = chunks.select("url", "title", "section", "faculty", "language", "text", chunk.sparse_metadata(F.col("lastUpdated"), F.col("source")).alias("metadata"), key.alias("content_hash"))
-    rows = state.last_wins(rows.withColumn("ord", F.lit(0)), "content_hash", "ord")
+    ord = F.col("ord") if "ord" in chunks.columns else F.monotonically_increasing_id().alias("ord")
+    rows = chunks.select("url", "title", "section", "faculty", "language", "text", chunk.sparse_metadata(F.col("lastUpdated"), F.col("source")).alias("metadata"), key.alias("content_hash"), ord)
+    rows = state.last_wins(rows, "content_hash", "ord").withColumn("ord", F.lit(0))
+    stored = sinks.newest(spark, path)
+    if only_new and stored is not None:
+        rows = cut(rows.join(spark.read.parquet(stored).select("content_hash"), "content_hash", "left_anti"))
+        if rows.isEmpty():
+            return stored
     text = vector.embedding_text(F.col("title"), F.col("section"), F.col("faculty"), F.col("text"))
     return sinks.upsert_table(spark, path, vector.embed(rows, text, embedder, dimension), "content_hash", "ord")
 
@@ -111,17 +121,26 @@ def index_chunks(spark: SparkSession, chunks: DataFrame, path: str, embedder: Ca
 class Service:
     """Answers questions over stored chunks (url, title, section, faculty, language, text, content_hash, embedding)."""
 
-    def __init__(self, chunks: DataFrame, settings: Settings, embedder: Callable | None = None, generator: Callable[[DataFrame], DataFrame] | None = None):
+    def __init__(self, chunks: DataFrame, settings: Settings, embedder: Callable | None = None, generator: Callable[[DataFrame], DataFrame] | None = None, index: str | None = None):
+        """index: a folder for the postings of the chunks, which are then made once; an index that lies there is taken as it is."""
         self.chunks, self.settings, self.embedder, self.generator = chunks, settings, embedder, generator
         meta = [F.col("title"), F.col("section"), F.col("faculty")]
         self.tokens = bm25.token_table(chunks, "content_hash", "content_hash", [F.col("text")], meta, F.col("language"))
+        self.index = None
+        if index is not None:
+            there = readers.exists(chunks.sparkSession, f"{index}/stats")
+            self.index = bm25.open_index(chunks.sparkSession, index) if there else bm25.write_index(self.tokens, index)
 
     def ask(self, questions: DataFrame) -> DataFrame:
         """questions (q, question, language) to q, text, confidence, retrieval_score, answered, full_mode, sources (up to 3 of title and url)."""
         s = self.settings
         depth = max(s.top_k, 10)
         terms = bm25.query_terms(questions, language="language")
-        lexical = bm25.search(self.tokens, terms, depth, by_language=True).select("q", "key", "score", "rank")
+        if self.index is None:
+            found = bm25.search(self.tokens, terms, depth, by_language=True)
+        else:
+            found = bm25.search_index(questions.sparkSession, self.index, terms, depth, by_language=True)
+        lexical = found.select("q", "key", "score", "rank")
         close = None
         if self.embedder is not None:
             asked = vector.embed(questions.select("q", "question", T.language_code(F.col("language")).alias("language")), F.col("question"), self.embedder, s.embedding_dimensions)

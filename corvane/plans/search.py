@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corvane.functions import lexicon as X
 from corvane.functions import text as T
 from corvane.operators import bm25, fusion, vector
-from corvane.runtime import widen
+from corvane.runtime import new_table, widen
 
 from . import oracle as O
 
@@ -43,6 +43,18 @@ def table(spark: SparkSession, d: str, meta: list[Column] | None = None) -> Data
     return bm25.token_table(docs(spark, d), "doc_id", "doc_id", [F.col("text")], meta, F.col("lang"))
 
 
+#: The indexes that an application has made, each in the folder that its session shares.
+_INDEXES: dict[tuple, bm25.Index] = {}
+
+
+def lookup(spark: SparkSession, d: str, terms: DataFrame, k: int, by_language: bool = False, meta: bool = False) -> DataFrame:
+    """A search in the stored index of the documents of d, which is made on first use."""
+    key = (spark.sparkContext.applicationId, d, meta)
+    if key not in _INDEXES:
+        _INDEXES[key] = bm25.write_index(table(spark, d, [F.col("source")] if meta else None), new_table(spark, "postings"))
+    return bm25.search_index(spark, _INDEXES[key], terms, k, by_language)
+
+
 def ranked(found: DataFrame, *before: str) -> DataFrame:
     return found.select(*before, F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -88,31 +100,31 @@ _MESSAGE = "CASE code " + " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in X.
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return ranked(bm25.search(table(spark, d), bm25.query_terms(one(spark, QUESTION)), 50))
+    return ranked(lookup(spark, d, bm25.query_terms(one(spark, QUESTION)), 50))
 
 
 def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
-    return ranked(bm25.search(table(spark, d), bm25.query_terms(items(spark, d)), X.DEPTH), "q")
+    return ranked(lookup(spark, d, bm25.query_terms(items(spark, d)), X.DEPTH), "q")
 
 
 def bm25_meta_boost(spark: SparkSession, d: str) -> DataFrame:
-    return ranked(bm25.search(table(spark, d, [F.col("source")]), bm25.query_terms(one(spark, META_QUESTION)), 50))
+    return ranked(lookup(spark, d, bm25.query_terms(one(spark, META_QUESTION)), 50, meta=True))
 
 
 def bm25_lang_filter(spark: SparkSession, d: str) -> DataFrame:
     terms = bm25.query_terms(one(spark, FRENCH, " FR "), language="language")
-    return ranked(bm25.search(table(spark, d), terms, 50, by_language=True))
+    return ranked(lookup(spark, d, terms, 50, by_language=True))
 
 
 def bm25_lang_fallback(spark: SparkSession, d: str) -> DataFrame:
     terms = bm25.query_terms(one(spark, FRENCH, "Türkçe"), language="language")
-    return ranked(bm25.search(table(spark, d), terms, 50, by_language=True))
+    return ranked(lookup(spark, d, terms, 50, by_language=True))
 
 
 def confidence_gate(spark: SparkSession, d: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, "What is today's weather?"), (-2, "Zażółć gęślą jaźń")], "q long, question string")
     questions = items(spark, d).unionByName(extra)
-    best = bm25.search(table(spark, d), bm25.query_terms(questions), 1)
+    best = lookup(spark, d, bm25.query_terms(questions), 1)
     return bm25.gate(best, questions, F.when(F.col("q") == -2, "polski").otherwise("English"))
 
 
@@ -166,7 +178,7 @@ def vector_unit(spark: SparkSession, d: str) -> DataFrame:
 def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Questions, their lexical list, and the list of neighbours of the vector with the question's id."""
     questions = items(spark, d)
-    lexical = bm25.search(table(spark, d), bm25.query_terms(questions), X.DEPTH)
+    lexical = lookup(spark, d, bm25.query_terms(questions), X.DEPTH)
     own = embeddings(spark, d).join(questions, F.col("vec_id") == F.col("q"), "left_semi").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"))
     return questions, lexical, vector.nearest(embeddings(spark, d), own, X.DEPTH)
 
@@ -203,7 +215,7 @@ def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    found = bm25.search(table(spark, d), bm25.query_terms(items(spark, d)), X.DEPTH)
+    found = lookup(spark, d, bm25.query_terms(items(spark, d)), X.DEPTH)
     return found.join(docs(spark, d).select(F.col("doc_id").alias("key"), "source", "lang", "text"), "key")
 
 

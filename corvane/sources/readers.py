@@ -27,9 +27,23 @@ def _read(spark: SparkSession, path: str, schema: str, **options) -> DataFrame |
         return None
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a Parquet table at path."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
+    return True
+
+
 def chunks(spark: SparkSession, path: str, missing_ok: bool = True, title: str = "Untitled", language: str = "pl") -> DataFrame:
     """Valid chunk records of a JSON-lines file, with defaults for missing keys and `ord`, their order.
 
+    `ord` is a struct of the file, the block's start and a number that grows within the block, so the order doesn't depend on how
+    blocks are dealt to tasks.
+
     Blank lines are skipped, malformed lines fail the read, rows without text or URL go. A null counts as missing.
     Without a file there are no rows, or, unless missing_ok, an error.
     """
@@ -38,7 +52,10 @@ def chunks(spark: SparkSession, path: str, missing_ok: bool = True, title: str =
         if not missing_ok:
             raise FileNotFoundError(path)
         rows = spark.createDataFrame([], CHUNK)
-    return valid(rows, title, language).withColumn("ord", F.monotonically_increasing_id())
+        at = [F.lit("").alias("file"), F.lit(0).cast("long").alias("start")]
+    else:
+        at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    return valid(rows.select("*", F.struct(*at, F.monotonically_increasing_id().alias("n")).alias("ord")), title, language)
 
 
 def valid(rows: DataFrame, title: str = "Untitled", language: str = "pl") -> DataFrame:

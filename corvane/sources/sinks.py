@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import urls as U
@@ -45,21 +46,33 @@ def save_index(chunks: DataFrame, table: str, path: str, dimension: int | None =
     rows.write.mode("overwrite").partitionBy("language").option("path", path).saveAsTable(table)
 
 
-def upsert_table(spark: SparkSession, path: str, new: DataFrame, key: str, order: str) -> str:
+def _versions(spark: SparkSession, path: str) -> Row | None:
+    try:
+        return spark.read.schema("n long, at string, batch string").json(f"{path.rstrip('/')}/_versions").orderBy(F.desc("n")).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def newest(spark: SparkSession, path: str) -> str | None:
+    """The path of the newest version of the table under `path`; None before the first."""
+    last = _versions(spark, path)
+    return last["at"] if last else None
+
+
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, key: str, order: str, batch: str | None = None) -> str:
     """Merges rows into the newest version of the table under `path`, by key; returns the new version's path.
 
     A version is written whole beside the old ones, then named in the list of versions: a run that fails leaves the old one.
+    batch: a name of what is merged; if the newest version was made of the same one, it is returned as it is.
     """
-    versions = f"{path.rstrip('/')}/_versions"
-    try:
-        last = spark.read.schema("n long, at string").json(versions).orderBy(F.desc("n")).first()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        last = None
+    last = _versions(spark, path)
+    if last and batch is not None and last["batch"] == batch:
+        return last["at"]
     stamped = new.withColumn("updated_at", F.current_timestamp())
     rows = state.last_wins(stamped, key, order) if last is None else state.upsert(spark.read.parquet(last["at"]), stamped, key, order)
     at = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
     rows.write.parquet(at)
-    spark.createDataFrame([((last["n"] + 1) if last else 1, at)], "n long, at string").coalesce(1).write.mode("append").json(versions)
+    spark.createDataFrame([((last["n"] + 1) if last else 1, at, batch)], "n long, at string, batch string").coalesce(1).write.mode("append").json(f"{path.rstrip('/')}/_versions")
     return at

@@ -37,7 +37,7 @@ def upsert_stream(stream: DataFrame, path: str, key: str, order: str, checkpoint
     """Each batch of files is merged into the table by key; a batch that is repeated changes nothing."""
     from corvane.sources.sinks import upsert_table
 
-    def merge(batch: DataFrame, _: int) -> None:
-        upsert_table(batch.sparkSession, path, batch, key, order)
+    def merge(batch: DataFrame, number: int) -> None:
+        upsert_table(batch.sparkSession, path, batch, key, order, f"{checkpoint} {number}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
