@@ -1,8 +1,11 @@
 import random
+import time
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
+from corvane.llm import common
 from corvane.llm import simhash as S
 from corvane.llm.components import connected_components
 
@@ -96,3 +99,26 @@ def test_components(spark):
     assert all(got[k] == 0 for k in range(41)) and got[300] == 0 and got[100] == got[101] == 100
     assert all(got[600 + k] == 500 for k in range(30)) and 200 not in got
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_of_one_hash_stay(spark, monkeypatch):
+    """Different rows that share one of the two hashes of their keys are different rows."""
+    plain = common.row_hash
+    monkeypatch.setattr(common, "row_hash", lambda df, *salt: plain(df, *salt) if salt else F.lit(7).cast("long"))
+    docs = spark.createDataFrame([(i, f"text number {i} " + " ".join(str(i * k % 97) for k in range(40))) for i in range(20)] * 2, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in S.representatives(docs).collect()) == list(range(20))
+
+
+def test_one_key_of_many_fingerprints():
+    """A code of distance 4 in 21 bits: no two fingerprints are linked, and all have one key."""
+    x = np.arange(1 << 20, dtype=np.uint64)
+    x = x[np.bitwise_count(x & np.uint64(0x55555)) % 2 == 0]
+    x = x[np.bitwise_count(x & np.uint64(0xAAAAA)) % 2 == 0]
+    x = x[: 1 << 16]
+    far = x << np.uint64(8) | x << np.uint64(32)  # each bit twice, so 2 differing bits become 4
+    begin = time.time()
+    assert len(S.links_in_sorted(np.zeros(len(far), np.int64), far)) == 0
+    assert len(far) == 1 << 16 and time.time() - begin < 60
+    near = np.unique(np.concatenate([far[:3000], far[:3000] ^ np.uint64(1)]))
+    got = S.links_in_sorted(np.zeros(len(near), np.int64), near)
+    assert len({tuple(x) for x in got.tolist()}) == 3000
