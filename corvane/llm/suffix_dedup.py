@@ -18,6 +18,10 @@ at the same offset, so windows are compared through their anchors' suffixes.
    byte by byte, so equal windows have one row for each part at most.
 5. The marked ranges return to their part, where they are merged and cut.
 
+In text of a period of PERIOD bytes or less (a long line of dashes) windows that repeat the one just before them are marked before
+anything is sorted, so such text takes no more memory than other text. A part holds one text at least, and some 30 bytes of anchors'
+rows for each of its bytes.
+
 Cases: null texts count as empty; texts shorter than the window lose nothing; null ids come after all
 others; of different texts under one id the one with the smaller digest comes first; rows equal in id and text
 are one document, whose result each gets (without_repeats() returns one of them); an empty table gives no rows; columns
@@ -41,8 +45,8 @@ from .common import new_table, quoted, ship
 WINDOW, GRAM = 100, 32
 #: Bytes of text in one part, parts in one bucket of the table, occurrences from which a first digit is hot.
 PART_BYTES, PER_BUCKET, HOT = 1 << 20, 8, 20_000
-#: Positions that are hashed at once.
-CHUNK = 1 << 19
+#: Positions that are hashed at once; periods up to which repeats of the text just before are told without sorting.
+CHUNK, PERIOD = 1 << 19, 16
 NO_ID = (1 << 63) - 1
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -73,10 +77,27 @@ def _hash(data: np.ndarray, length: int, salt: int) -> np.ndarray:
     return _mix(out)
 
 
-def anchors(data: np.ndarray, valid: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of window starts that share their anchor: (anchor, first start, last start, first digit). valid: where windows may start."""
+def periodic(data: np.ndarray, valid: np.ndarray, begin: int, end: int, window: int) -> np.ndarray:
+    """Starts in [begin, end) of windows that repeat the one that starts PERIOD bytes or less before them in the same document."""
+    a = max(0, begin - PERIOD)
+    piece, out = data[a : end + window - 1], np.zeros(end - begin, bool)
+    for p in range(1, min(PERIOD, window - 1) + 1):
+        equal = np.concatenate([[0], np.cumsum(piece[p:] == piece[:-p], dtype=np.int32)])
+        s = a + p + np.flatnonzero(equal[window:] - equal[:-window] == window)
+        s = s[(s >= begin) & (s < end)]
+        # documents lie window - 1 starts apart, so two valid starts this near are of one document
+        out[s[valid[s] & valid[s - p]] - begin] = True
+    return begin + np.flatnonzero(out)
+
+
+def anchors(data: np.ndarray, valid: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of window starts that share their anchor: (anchor, first start, last start, first digit). valid: where windows may start.
+
+    In text of a short period nearly every window has an anchor of its own. There, windows that repeat one just before them are left out;
+    they are told last. The earliest of equal windows is never among them, so they can be marked at once and all others judged without them.
+    """
     span = window - gram + 1
-    parts = []
+    parts, told = [], [np.empty(0, np.int64)]
     for c in range(0, len(data), CHUNK):
         on = np.flatnonzero(valid[c : c + CHUNK])
         if not len(on):
@@ -94,12 +115,19 @@ def anchors(data: np.ndarray, valid: np.ndarray, window: int = WINDOW, gram: int
             least = np.minimum(least[: len(least) - (span - n)], least[span - n :])
         at = (least[on] & np.uint64(0xFFFFFF)).astype(np.int64)
         new = np.concatenate([[True], (at[1:] != at[:-1]) | (on[1:] != on[:-1] + 1)])
+        if np.count_nonzero(new) * PERIOD > len(on):
+            told.append(periodic(data, valid, c, min(c + CHUNK, len(data)), window))
+            left = ~np.isin(on, told[-1] - c)
+            on, at = on[left], at[left]
+            if not len(on):
+                continue
+            new = np.concatenate([[True], (at[1:] != at[:-1]) | (on[1:] != on[:-1] + 1)])
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [len(on)]]) - 1
         parts.append((at[first] + c, on[first] + c, on[last] + c, h[at[first]]))
     if not parts:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.concatenate(told))
+    return (*(np.concatenate(x) for x in zip(*parts, strict=True)), np.concatenate(told))
 
 
 def radix(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +248,7 @@ def _fixed(rows: np.ndarray) -> pa.Array:
 def _first_digits(window: int, gram: int):
     def run(table: pa.Table) -> pa.Table:
         p = Part(table, window)
-        _, _, _, h = anchors(p.data, p.valid(), window, gram)
+        h = anchors(p.data, p.valid(), window, gram)[3]
         values, n = np.unique(h, return_counts=True)
         return pa.table({"part": pa.array(np.full(len(values), table["part"][0].as_py(), np.int32)), "h": pa.array(values.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
@@ -231,10 +259,18 @@ def _sort_part(window: int, gram: int):
     before = window - gram
 
     def run(texts: pa.Table, counted: pa.Table) -> pa.Table:
-        if not counted.num_rows or not texts.num_rows:
+        if not texts.num_rows:
             return _MOVED.empty_table()
         part, p = texts["part"][0].as_py(), Part(texts, window)
-        a, lo, hi, h = anchors(p.data, p.valid(), window, gram)
+        a, lo, hi, h, near = anchors(p.data, p.valid(), window, gram)
+        out = []
+        if len(near):
+            cuts = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1] + 1, [True]]))
+            start, stop = near[cuts[:-1]], near[cuts[1:] - 1] + window
+            d = p.of(start)
+            out.append(_batch({"g": start * 1_000_003, "part": np.full(len(d), part), "doc": d, "start": start - p.starts[d], "stop": stop - p.starts[d]}, _MOVED))
+        if not counted.num_rows:
+            return pa.concat_tables([_MOVED.empty_table(), *out])
         known = counted["h"].to_numpy().view(np.uint64)
         order = np.argsort(known)
         known, hot, elsewhere = known[order], counted["hot"].to_numpy()[order], counted["elsewhere"].to_numpy()[order]
@@ -248,7 +284,7 @@ def _sort_part(window: int, gram: int):
         dup = repeated(context, mask, gram)
         doc = p.of(a)
         row, start, stop = spans_of(dup, a, window)
-        out = [_batch({"g": (start * 31 + row) * 1_000_003, "part": np.full(len(row), part), "doc": doc[row], "start": start - p.starts[doc[row]], "stop": stop - p.starts[doc[row]]}, _MOVED)]
+        out += [_batch({"g": (start * 31 + row) * 1_000_003, "part": np.full(len(row), part), "doc": doc[row], "start": start - p.starts[doc[row]], "stop": stop - p.starts[doc[row]]}, _MOVED)]
         left = mask & ~dup & elsewhere[k][:, None]
         some = left.any(axis=1)
         row = np.flatnonzero(some & ~hot[k])

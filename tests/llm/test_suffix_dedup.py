@@ -1,5 +1,7 @@
 import hashlib
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -94,3 +96,30 @@ def test_hash_gives_swapped_bytes_another_value():
             w[[i, j]] = w[[j, i]]
             found.append(int(S._hash(w, 100, 1)[0]))
     assert len(set(found)) == len(found) == 4950
+
+
+def test_short_periods(spark):
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = ["-" * 900, say(150) + "-" * 700 + say(150), ("ab" * 300) + say(90) + ("abc" * 200), "x" * 99 + "y" * 101, ("0123456789abcdef" * 60), ("0123456789abcdefg" * 60), "-" * 100, say(130) + "é" * 300, "z" * 100 + "z", "-" * 899 + "!" + "-" * 899]
+    rows = list(enumerate(texts))
+    for hot in (2, 20_000):
+        got = S.removed(spark.createDataFrame(rows, "doc_id long, text string"), part_bytes=700, hot=hot)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, brute(rows, 100)))
+
+
+def test_memory_of_one_byte():
+    """16 MB of one byte in one part, in a process of its own."""
+    code = """
+import resource, pyarrow as pa
+from corvane.llm import suffix_dedup as S
+t = pa.table({"part": pa.array([0], pa.int32()), "sha": pa.array([b"s" * 32]), "id": pa.array([1], pa.int64()), "text": pa.array(["-" * (16 << 20)])})
+first = S._first_digits(100, 32)(t)
+counted = first.append_column("hot", pa.array([False] * first.num_rows)).append_column("elsewhere", pa.array([False] * first.num_rows))
+moved = S._sort_part(100, 32)(t, counted)
+spans = moved.select(["part", "doc", "start", "stop"])
+(row,) = S._cut_part(100, False)(t, spans).to_pylist()
+print(row["n_removed"], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) == (16 << 20) - 1 and int(out[1]) < 1500
