@@ -20,6 +20,7 @@ nulls, ties, repeated rows and clashing names are as in simhash; an empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ OFTEN, MOST = 64, 1 << 20
 #: Rows of a block of a group, rows of groups that are paired by shifting; words hashed at once, bytes from which a word's digest stands for it.
 BLOCK, SMALL, WORDS, LONG = 20_000, 16, 100_000, 64
 BASE = 0x9E3779B97F4A7C15
+#: Bits to which bitmaps are folded to compare many at once: the fewest that any has, and more for larger sets.
+FOLDED = (256, 1024)
 #: Parts that the rows of a common shingle are dealt to, a power of two.
 SALTS = 64
 
@@ -105,7 +108,7 @@ def bitmap(found: np.ndarray) -> bytes:
 
     Two sets differ in at least as many shingles as their bitmaps in bits, if the longer one is folded to the other's length.
     """
-    bits = max(64, 1 << (len(found) - 1).bit_length())
+    bits = max(FOLDED[0], 1 << (len(found) - 1).bit_length())
     return np.packbits(np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -212,6 +215,30 @@ def room(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, least: floa
     return (np.minimum(n, m) >= needed(np.maximum(n, m), least)) & (np.minimum(p, q) + np.minimum(n - p, m - q) >= shared)
 
 
+class Folded:
+    """Bitmaps folded to FOLDED bits, as rows of words."""
+
+    def __init__(self, bits: list[bytes]):
+        small, large = FOLDED
+        self.small = np.zeros((len(bits), small // 64), np.uint64)
+        self.large = np.zeros((len(bits), large // 64), np.uint64)
+        size = np.fromiter(map(len, bits), np.int64, len(bits))
+        self.is_large = size * 8 >= large
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            rows = np.frombuffer(b"".join(bits[k] for k in at.tolist()), np.uint64).reshape(len(at), -1)
+            if n * 8 >= large:
+                self.large[at] = np.bitwise_xor.reduce(rows.reshape(len(at), -1, large // 64), axis=1)
+            self.small[at] = np.bitwise_xor.reduce(rows.reshape(len(at), -1, small // 64), axis=1)
+
+    def agree(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether rows i and j differ in `most` bits or fewer."""
+        ok = np.bitwise_count(self.small[i] ^ self.small[j]).sum(axis=1, dtype=np.int64) <= most
+        at = np.flatnonzero(ok & self.is_large[i] & self.is_large[j])
+        ok[at] = np.bitwise_count(self.large[i[at]] ^ self.large[j[at]]).sum(axis=1, dtype=np.int64) <= most[at]
+        return ok
+
+
 def _first_pairs(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,15 +251,19 @@ def _first_pairs(least: float):
     return run
 
 
-def pairs_in_sorted(group: np.ndarray, sid: np.ndarray, root: np.ndarray, at: np.ndarray, side: np.ndarray, least: float) -> Iterator[np.ndarray]:
+def pairs_in_sorted(group: np.ndarray, sid: np.ndarray, root: np.ndarray, at: np.ndarray, side: np.ndarray, bits: list[bytes], least: float) -> Iterator[np.ndarray]:
     """Pairs (n, 2) of sets of one group and different roots that can be similar; rows stand in order of (group, size).
 
     side: 0 in a block that is paired within itself; 1 and 2 where two blocks are paired with each other.
     """
-    n, p = at >> 32, at & 0xFFFFFFFF
+    n, p, folded = at >> 32, at & 0xFFFFFFFF, Folded(bits)
 
     def good(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return (root[i] != root[j]) & (sid[i] != sid[j]) & ((side[i] == 0) | (side[i] != side[j])) & room(n[i], p[i], n[j], p[j], least)
+        ok = (root[i] != root[j]) & (sid[i] != sid[j]) & ((side[i] == 0) | (side[i] != side[j])) & room(n[i], p[i], n[j], p[j], least)
+        at = np.flatnonzero(ok)
+        x, y = i[at], j[at]
+        ok[at] = folded.agree(x, y, n[x] + n[y] - 2 * needed((n[x] + n[y]) * (least / (1 + least)), 1.0))
+        return ok
 
     cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
     length = np.diff(cuts)
@@ -259,20 +290,21 @@ def _other_pairs(least: float):
     """Rows come sorted by (h, lo, hi, at); a group that a batch cuts is carried on into the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple] = []
 
         def out(parts):
-            h, lo, hi, sid, root, at, block = (np.concatenate(c) for c in zip(*parts, strict=True))
+            *columns, bits = zip(*parts, strict=True)
+            h, lo, hi, sid, root, at, block = map(np.concatenate, columns)
             new = (h[1:] != h[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
             side = np.where(lo == hi, 0, np.where(block == lo, 1, 2))
-            for got in pairs_in_sorted(np.concatenate([[0], np.cumsum(new)]), sid, root, at, side, least):
+            for got in pairs_in_sorted(np.concatenate([[0], np.cumsum(new)]), sid, root, at, side, list(chain(*bits)), least):
                 got = np.unique(np.sort(got, axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["s", "t"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            c = tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            c = (*(b.column(k).to_numpy(zero_copy_only=False) for k in range(7)), b.column(7).to_pylist())
             same = (c[0] == c[0][-1]) & (c[1] == c[1][-1]) & (c[2] == c[2][-1])
             last = int(same.argmax())
             if last or held and any(held[0][k][0] != c[k][0] for k in range(3)):
@@ -353,6 +385,7 @@ def _links(docs: DataFrame, marks: DataFrame, near: DataFrame, text: str, width:
     parted = rooted.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("h", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     blocks = rooted.join(parted, "h").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = blocks.select("h", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "sid", "root", "at", "block")
+    blocks = blocks.join(sets.select("sid", "bits").distinct(), "sid").select(*blocks.columns, "bits")
     pairs = blocks.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi", "at").mapInArrow(_other_pairs(least), "s long, t long")
     left = cut(pairs.distinct().join(tried, ["s", "t"], "left_anti"))
     return found.unionByName(similar(left))
