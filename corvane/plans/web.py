@@ -17,6 +17,7 @@ from corvane.operators import chunk, clean, crawl, state
 from corvane.runtime import widen
 from corvane.sources import readers, sinks
 
+from . import html_sql as HS
 from . import oracle as O
 from .search import docs
 
@@ -261,7 +262,7 @@ _ROUTES = f"""(SELECT page_id, pos, {_ORIGIN} || CASE WHEN pos % 3 = 0 THEN href
 _ROUTED = f"""(SELECT page_id, pos, route, CASE route WHEN 'pdf' THEN split_part(u, '#', 1) WHEN 'page' THEN {_ORIGIN} || rtrim(regexp_extract(u, '^https?://[^/?#]*([^?#]*)', 1), '/') || '/' END AS target FROM (
   SELECT *, CASE WHEN {_HOST} NOT IN {O.listed(DOMAINS)} THEN 'foreign' WHEN pos % 3 = 0 THEN 'pdf' WHEN pos % 3 = 1 THEN 'skipped' ELSE 'page' END AS route FROM {_ROUTES}))"""
 _CONTENT = r"regexp_matches(html, '(?i)<(main|body)\b')"
-_TITLE = r"CASE WHEN regexp_matches(html, '(?is)<title\b[^>]*>(.*?)</title\s*>') THEN regexp_replace(" + H.sql(r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)", [(e, c) for e, c in H.ENTITIES]) + r", '^\s+|\s+$', '', 'g') ELSE 'Untitled' END"
+_TITLE = r"CASE WHEN regexp_matches(html, '(?is)<title\b[^>]*>(.*?)</title\s*>') THEN regexp_replace(" + HS.sql(r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)", [(e, c) for e, c in HS.ENTITIES]) + r", '^\s+|\s+$', '', 'g') ELSE 'Untitled' END"
 _SQUEEZE = r"trim(regexp_replace(b, '\s+', ' ', 'g'))"
 
 
@@ -284,7 +285,7 @@ _PACKED = rf"""(SELECT doc_id, lang, source, text, CAST(seq AS BIGINT) AS seq, c
   SELECT doc_id, lang, source, text, CASE WHEN length(text) <= 1800 OR len(pars) = 0 THEN [text] ELSE string_split(list_reduce(pars, lambda a, p: CASE
     WHEN length(string_split(a, {_SEP})[-1]) + length(p) + 1 > 1800 THEN a || {_SEP} || p ELSE a || chr(10) || p END), {_SEP}) END AS ps
   FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda p: {O.strip('p')} <> '') AS pars FROM documents))) WHERE length(chunk) >= 15)"""
-_MD = f"CASE WHEN {_CONTENT} THEN {H.sql('html', H.MARKDOWN)} ELSE '' END"
+_MD = f"CASE WHEN {_CONTENT} THEN {HS.sql('html', HS.MARKDOWN)} ELSE '' END"
 _QUIET_MD = rf"""(SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex(m, '\n\s*\n'), lambda b: {O.strip('b')}),
   lambda b: b <> '' AND {_COUNT} < 2 AND NOT ({_HAS(X.COOKIE_MARKERS)} AND {_HAS(X.CONSENT_MARKERS)})), {_NL2}) AS quiet FROM (SELECT page_id, {_MD} AS m FROM pages))"""
 _HEADINGS = rf"""WITH md AS (SELECT page_id, kept, title FROM {_distinct_blocks(_QUIET_MD, 'page_id', 'quiet', _NL2)} JOIN (SELECT page_id, {_TITLE} AS title FROM pages) USING (page_id)),
@@ -321,10 +322,10 @@ ORACLE = {
     "link_routes": f"SELECT * FROM {_ROUTED}",
     "pdf_links": f"SELECT DISTINCT url, {_LANG} AS language FROM (SELECT target AS url, regexp_extract(target, '^https?://[^/?#]*([^?#]*)', 1) AS p FROM {_ROUTED} WHERE route = 'pdf')",
     "html_title": f"SELECT page_id, {_TITLE} AS title FROM pages",
-    "html_text": f"SELECT page_id, CASE WHEN {_CONTENT} THEN {H.sql('html', H.TEXT)} ELSE '' END AS text FROM pages",
-    "html_markdown": f"SELECT page_id, CASE WHEN {_CONTENT} THEN {H.sql('html', H.MARKDOWN)} ELSE '' END AS markdown FROM pages",
+    "html_text": f"SELECT page_id, CASE WHEN {_CONTENT} THEN {HS.sql('html', HS.TEXT)} ELSE '' END AS text FROM pages",
+    "html_markdown": f"SELECT page_id, CASE WHEN {_CONTENT} THEN {HS.sql('html', HS.MARKDOWN)} ELSE '' END AS markdown FROM pages",
     "fetch_ladder": "SELECT page_id, sha256(CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN url ELSE CASE WHEN page_id % 5 <> 0 THEN 'static' END END) AS body_sha256, CASE page_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE CASE WHEN page_id % 5 <> 0 THEN 2 END END::BIGINT AS attempt FROM pages",
-    "clean_pages": f"SELECT page_id, kept || CASE WHEN page_id % 4 = 0 THEN chr(10) || chr(10) || '## Prices' || chr(10) || chr(10) || 'Price: 1200 zł' ELSE '' END AS markdown FROM {_distinct_blocks(f'(SELECT page_id, CASE WHEN {_CONTENT} THEN {H.sql(chr(104) + chr(116) + chr(109) + chr(108), H.MARKDOWN)} ELSE {O.q(str())} END AS m FROM pages)', 'page_id', 'm', _NL2)}",
+    "clean_pages": f"SELECT page_id, kept || CASE WHEN page_id % 4 = 0 THEN chr(10) || chr(10) || '## Prices' || chr(10) || chr(10) || 'Price: 1200 zł' ELSE '' END AS markdown FROM {_distinct_blocks(f'(SELECT page_id, CASE WHEN {_CONTENT} THEN {HS.sql(chr(104) + chr(116) + chr(109) + chr(108), HS.MARKDOWN)} ELSE {O.q(str())} END AS m FROM pages)', 'page_id', 'm', _NL2)}",
     "crawl_frontier": "WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), walk AS (SELECT 0::BIGINT AS page_id, 0::BIGINT AS level UNION SELECT (CASE WHEN k = 0 THEN page_id * 2 + 1 ELSE page_id * 3 + 2 END) % n, level + 1 FROM walk, n, (SELECT unnest([0, 1]) AS k) WHERE level < 5) SELECT page_id, min(level) AS level FROM walk GROUP BY page_id",
     "crawl_budget": f"SELECT page_id, host FROM (SELECT page_id, {_HOST} AS host, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) AS n FROM pages) WHERE n <= 3",
     "dedupe_blocks": f"SELECT doc_id, CAST(length(kept) AS BIGINT) AS n_chars, sha256(kept) AS kept_sha256 FROM {_distinct_blocks('documents', 'doc_id', 'text', 'chr(10)')}",

@@ -108,3 +108,13 @@ def test_merge_and_ladder(spark):
     assert {tuple(r) for r in crawl.merge_crawls(rows, "url", "ord", "title").collect()} == {("u", "b", 1), ("v", "c", 2)}
     body, place = crawl.fetch_ladder(F.lit(""), F.lit(None).cast("string"), F.lit("x"))
     assert tuple(spark.range(1).select(body, place).first()) == ("x", 2)
+
+
+def test_html_of_other_pages(spark):
+    """Written by hand: entities of all kinds, quotings of links, cells of tables."""
+    page = "<html><title>A &amp;lt; &#8211; &#x41;&eacute; &nope; & b&hellip;</title><body><p>O&oacute;p &ndash; x&#8217;s &#0; &#1114112;</p><a class=x href='/one?a=1&amp;b=2'>one</a> <a href=/two>two</a> <A HREF = \"/three\">three</A><table><tr><td>a</td><td>b</td></tr><tr><th>c</th> <td>d</td></tr></table></body></html>"
+    row = spark.createDataFrame([(page,)], "h string").select(H.title(F.col("h")).alias("title"), H.text(F.col("h")).alias("text"), H.markdown(F.col("h")).alias("md"), H.links(F.col("h")).alias("links")).first()
+    assert row["title"] == "A &lt; – Aé &nope; & b…"
+    assert row["links"] == ["/one?a=1&b=2", "/two", "/three"]
+    assert "Oóp – x’s &#0; &#1114112;" in row["text"] and "a b\nc d" in row["text"]
+    assert "[one](/one?a=1&b=2)" in row["md"] and "[two](/two)" in row["md"] and "[three](/three)" in row["md"] and "a | b" in row["md"]
