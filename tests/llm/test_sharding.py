@@ -45,3 +45,29 @@ def test_write_and_empty(spark, tmp_path):
 def test_maps(spark):
     docs = make_docs(spark, [(1, "a"), (1, "a"), (2, None)]).selectExpr("*", "map('k', doc_id) AS m")
     assert sharding.shuffle_shards(docs, 2).count() == 3
+
+
+def test_one_row_many_times(spark):
+    """Copies of one row are scattered over buckets, alike for any layout, and none is lost."""
+    rows = [(5, "same text " * 20)] * 900 + [(i, f"t{i}") for i in range(60)]
+    docs = make_docs(spark, rows)
+    run = lambda n: sharding.shuffle_shards(docs.repartition(n), 7, 3, bucket_bytes=1 << 14)
+    place = lambda n: sorted((r["shard"], r["slot"], r["record"]["doc_id"]) for r in run(n).collect())
+    got = place(2)
+    assert got == place(5)
+    assert Counter(i for _, _, i in got) == Counter(i for i, _ in rows)
+    sizes = Counter(s for s, _, _ in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    # 900 copies of 216 bytes fill some twelve buckets
+    held = Counter(r["p"] for r in run(3).selectExpr("spark_partition_id() p").collect())
+    assert len(held) >= 10 and max(held.values()) < 200
+
+
+def test_copies_with_maps(spark):
+    docs = make_docs(spark, [(1, "a" * 400)] * 200 + [(2, None)]).selectExpr("*", "map('k', doc_id) AS m")
+    got = sharding.shuffle_shards(docs, 2, bucket_bytes=1 << 12).collect()
+    assert Counter(r["record"]["doc_id"] for r in got) == {1: 200, 2: 1}
+
+
+def test_empty_query(spark, written):
+    assert sharding.op1_shards(spark, written([])).count() == 0
