@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.runtime import cut
 
 
 def snapshot(log: DataFrame, unanswered: Column, confidence: Column, latency_ms: Column, *by: str) -> DataFrame:
@@ -41,13 +42,17 @@ def has_metrics(names: Column, required: list[str]) -> Column:
 
 
 def running_totals(log: DataFrame, time: str, key: str, unanswered: Column) -> DataFrame:
-    """Cumulative counts in order of time: within each day, on top of the sums of the days before (one row a day)."""
-    rows = log.select(key, F.col(time).alias("_t"), F.to_date(time).alias("_day"), unanswered.cast("long").alias("_u"))
-    days = rows.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"), F.sum("_u").alias("_m"))
-    up = W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
-    days = days.select("_day", F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_m").over(up), F.lit(0)).alias("_m0"))
-    own = W.partitionBy("_day").orderBy("_t", key).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_m", F.sum("_u").over(own)).join(days, "_day")
+    """Cumulative counts in order of (time, key): within ranges of rows of like length, on top of the sums of the ranges before.
+
+    The ranges are the parts of a sampled range partitioning, stored once; a busy hour or day is as many ranges as it takes.
+    """
+    rows = log.select(key, F.col(time).alias("_t"), unanswered.cast("long").alias("_u")).repartitionByRange("_t", key)
+    rows = cut(rows.withColumn("_part", F.spark_partition_id()))
+    parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.sum("_u").alias("_m"))
+    up = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("_part", F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_m").over(up), F.lit(0)).alias("_m0"))
+    own = W.partitionBy("_part").orderBy("_t", key).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_m", F.sum("_u").over(own)).join(parts, "_part")
     return rows.select(key, (F.col("_n") + F.col("_n0")).alias("total_questions"), (F.col("_m") + F.col("_m0")).alias("unanswered_questions"))
 
 

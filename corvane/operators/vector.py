@@ -7,6 +7,7 @@ each query before anything is exchanged. Similarities are sums in double precisi
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,11 +21,15 @@ from corvane.runtime import ship
 BLOCK = 10_000
 
 
-def nearest(table: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", same: str | None = None) -> DataFrame:
+def nearest(table: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", same: str | None = None, most: int = BLOCK) -> DataFrame:
     """q, key, similarity (clamped to 0..1), rank of the k nearest rows of every query (q, vector, and `same` if rows must agree in it).
 
-    Ties go by key.
+    Ties go by key. Queries are counted, and beyond `most` they go to the tasks block by block.
     """
+    return reduce(DataFrame.unionByName, [_nearest(table, block, k, key, vector, same) for block in bounded_queries(queries, most)])
+
+
+def _nearest(table: DataFrame, queries: DataFrame, k: int, key: str, vector: str, same: str | None) -> DataFrame:
     rows = table.select(F.col(key).alias("key"), F.col(vector).alias("v"), V.norm(F.col(vector)).alias("nv"), *([F.col(same).alias("s")] if same else []))
     own = queries.select("q", F.col("vector").alias("u"), V.norm(F.col("vector")).alias("nu"), *([F.col(same).alias("s")] if same else []))
     # the rows of a query never meet in one task before each task has kept its own k of them

@@ -118,6 +118,8 @@ def test_vectors(spark):
     q = spark.createDataFrame([(7, [1.0, 1.0])], "q long, vector array<float>")
     got = vector.nearest(rows, q, 2).orderBy("rank").collect()
     assert [(r["key"], round(r["similarity"], 4)) for r in got] == [(2, 1.0), (0, 0.7071)]
+    many = spark.createDataFrame([(i, [1.0, i / 7]) for i in range(20)], "q long, vector array<float>")
+    assert sorted(vector.nearest(rows, many, 2, most=3).collect()) == sorted(vector.nearest(rows, many, 2).collect())
     assert len(vector.bounded_queries(rows.select(F.col("vec_id").alias("q")), 2)) == 3
 
 
