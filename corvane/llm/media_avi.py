@@ -3,7 +3,8 @@
 Frames are lossless JPEG (SOF3, 8-bit grey, predictor 1), so what is stored is read back bit by bit. The
 Huffman table gives category k a code of 9 - k bits, which with its k further bits makes 9 bits for every
 sample; so frames of this table are packed and read without a loop over samples. Frames of any other
-Huffman table, of predictors 1 to 7 and with restart-free single scans are read by a plain loop.
+Huffman table, of predictors 1 to 7 and with restart-free single scans are read by a plain loop. Frames
+of JPEG's baseline process, as cameras write them, are decoded too (jpeg_baseline); their brightness counts.
 
 The RIFF file has a header list, a text note with the payload's length, a `movi` list of `00dc` chunks
 and an `idx1` index, which the reader follows; without it, the reader walks through `movi`.
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import quoted, ship
+from .jpeg_baseline import is_baseline, luma
 
 BLOCK = 64
 WIDTH, HEIGHT, RATE = 64, 32, 25
@@ -133,7 +135,9 @@ def _parse(data: bytes) -> tuple[dict, bytes]:
 
 
 def jpeg_decode(images: list[bytes]) -> np.ndarray:
-    """Lossless images of one size as frames (n, height, width)."""
+    """Images of one size as frames (n, height, width); of baseline images the brightness."""
+    if any(map(is_baseline, images)):
+        return np.stack([luma(x) if is_baseline(x) else jpeg_decode([x])[0] for x in images])
     parsed = [_parse(x) for x in images]
     sizes = {(t["height"], t["width"]) for t, _ in parsed}
     if len(sizes) != 1:
