@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import added, quoted, ship
 
 PER_LANGUAGE, SEED = 400, 5
+#: Rows of all languages together that may be learned from; the driver holds 48 kB for each.
+SAMPLE_ROWS = 16_000
 #: Buckets for each length of string.
 BUCKETS, GRAMS = 1 << 12, (3, 4)
 CHUNK = 1 << 19
@@ -212,8 +214,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 x = features([texts[i] for i in some])
                 yield pa.RecordBatch.from_pydict({"key": pa.array([str(keys[i]) for i in some]), "lang": pa.array([langs[i] for i in some]), "x": pa.array([r.astype("<f2").tobytes() for r in x * 1000], pa.binary())})
 
-    # as many rows as languages times per_language, 16 kB each
-    got = sample(rows, "lang", per_language).mapInArrow(run, "key string, lang string, x binary").collect()
+    # of very many languages fewer rows each, so that the driver holds a bounded number
+    each = max(1, min(per_language, SAMPLE_ROWS // max(1, rows.select("lang").distinct().count())))
+    got = sample(rows, "lang", each).mapInArrow(run, "key string, lang string, x binary").collect()
     got.sort(key=lambda r: (r["lang"], r["key"]))
     x = np.stack([np.frombuffer(r["x"], "<f2") for r in got]).astype(np.float32) / 1000 if got else np.zeros((0, len(GRAMS) * BUCKETS), np.float32)
     return Model(x, [r["lang"] for r in got])
