@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import urls as U
-from corvane.runtime import cut
+from corvane.runtime import cut, ship
 
 
 def allowed_by_rules(pages: DataFrame, url: str, rules: DataFrame) -> DataFrame:
@@ -24,6 +27,61 @@ def allowed_by_rules(pages: DataFrame, url: str, rules: DataFrame) -> DataFrame:
     return rows.withColumn("allowed", F.when(F.col("_rules").isNull() | (F.size(fits) == 0), F.lit(True)).otherwise(verdict)).drop("_rules")
 
 
+def robots_lines(body: str, agent: str) -> list[tuple[str, bool]]:
+    """(prefix, allow) of the robots.txt lines that hold for an agent, in their order.
+
+    The first group that names a part of the agent's own name holds, else the first group for all (*); groups are parted
+    by agent lines after rules and by empty lines. A Disallow line without a path allows everything.
+    """
+    groups: list[tuple[list[str], list[tuple[str, bool]]]] = []
+    names: list[str] = []
+    rules: list[tuple[str, bool]] = []
+    for line in [*body.splitlines(), ""]:
+        bare = line.split("#", 1)[0].strip()
+        field, colon, value = (x.strip() for x in bare.partition(":"))
+        field = field.lower()
+        if not line.strip() or (field == "user-agent" and rules):
+            if names and rules:
+                groups.append((names, rules))
+            names, rules = [], []
+        if not colon:
+            continue
+        if field == "user-agent":
+            names.append(value.lower())
+        elif field in ("allow", "disallow") and names:
+            rules.append((unquote(value), field == "allow" or not value))
+    own = agent.split("/")[0].lower()
+    for names, rules in groups:
+        if any(n != "*" and n in own for n in names) and "*" not in names:
+            return rules
+    return next((rules for names, rules in groups if "*" in names), [])
+
+
+def robots_rules(files: DataFrame, agent: str) -> DataFrame:
+    """Rules (host, prefix, allow, place) from robots.txt files (host, body); a null body gives none. For allowed_in_order()."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(h, *rule, k) for h, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, rule in enumerate(robots_lines(body or "", agent))]
+            kinds = {"host": pa.string(), "prefix": pa.string(), "allow": pa.bool_(), "place": pa.int32()}
+            yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(kinds.items())})
+
+    return files.select("host", "body").mapInArrow(run, "host string, prefix string, allow boolean, place int")
+
+
+def allowed_in_order(pages: DataFrame, url: str, rules: DataFrame) -> DataFrame:
+    """pages with `allowed`: of the host's rules the first whose prefix fits path and query decides; without one all is allowed. Prefixes are plain text, without wildcards."""
+    rows = pages.withColumn("_host", U.bare_host(F.col(url)))
+    own = rules.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "prefix", "allow"))).alias("_rules"))
+    rows = rows.join(own, F.col("_host") == F.col("host"), "left").drop("host", "_host")
+    rest = F.regexp_extract(F.col(url), "^[^:/?#]+://[^/?#]*([^#]*)", 1)
+    # escapes are read as the characters that they stand for, as in the rules; a + is no escape
+    target = F.coalesce(F.try_url_decode(F.replace(F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest)), F.lit("+"), F.lit("%2B"))), rest)
+    fits = F.filter("_rules", lambda r: F.startswith(target, r["prefix"]))
+    return rows.withColumn("allowed", F.coalesce(F.get(fits, F.lit(0))["allow"], F.lit(True))).drop("_rules")
+
+
 def fetch_ladder(*attempts: Column) -> tuple[Column, Column]:
     """The first attempt that gave anything, and its place from 0 (null where none did)."""
     body = F.coalesce(*[F.nullif(a, F.lit("")) for a in attempts])

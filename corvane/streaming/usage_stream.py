@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -41,3 +43,17 @@ def upsert_stream(stream: DataFrame, path: str, key: str, order: str, checkpoint
         upsert_table(batch.sparkSession, path, batch, key, order, f"{checkpoint} {number}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def embed_stream(stream: DataFrame, path: str, key: str, order: str, text: str, embedder: Callable[[list[str]], list[list[float]]], dimension: int, checkpoint: str) -> None:
+    """New chunks get their `embedding` and are merged into the table by key, batch by batch; the checkpoint says where to go on."""
+    from corvane.operators.vector import embed
+    from corvane.runtime import cut
+    from corvane.sources.sinks import upsert_table
+
+    def merge(batch: DataFrame, number: int) -> None:
+        # stored, as the merge reads its rows more than once
+        made = cut(embed(batch, F.col(text), embedder, dimension))
+        upsert_table(batch.sparkSession, path, made, key, order, f"{checkpoint} {number}")
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
