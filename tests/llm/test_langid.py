@@ -57,3 +57,40 @@ def test_sample_is_bounded(spark):
 
 def test_families():
     assert L.family_of("de") == L.family_of("EN-us") == "germanic" and L.family_of("qq") == "qq"
+
+
+def test_votes_match_plain_loops(rows):
+    """Margins string by string, then votes pair by pair: first families, then languages of the one that won."""
+    import math
+
+    some = [(t, v) for _, t, v in rows[:200]]
+    model = L.Model(L.features([t for t, _ in some]), [v for _, v in some])
+    texts = [t for _, t, _ in rows[200:230]] + ["ÜBER Können!", "a", "漢字 für", "the " * 3000]
+
+    def chances(text):
+        raw = b"  " + text.lower().encode() + b"  "
+        out = []
+        for m in range(len(model.pairs)):
+            total = model.bias[m]
+            for g, n in enumerate(L.GRAMS):
+                codes = [(int.from_bytes(raw[i : i + n], "big") * 2654435761 % 2**32) >> (33 - L.BUCKETS.bit_length()) for i in range(len(raw) - n + 1)]
+                total += sum(model.weights[g * L.BUCKETS + c, m] for c in codes) / len(codes)
+            out.append(1 / (1 + math.exp(-3 * total)))
+        return out
+
+    def vote(chance, scope, names):
+        votes, least = dict.fromkeys(names, 0.0), dict.fromkeys(names, 1.0)
+        for (f, a, b), p in zip(model.pairs, chance, strict=True):
+            if f == scope:
+                for name, q in ((a, p), (b, 1 - p)):
+                    votes[name] += q
+                    least[name] = min(least[name], q)
+        best = max(names, key=lambda n: votes[n])
+        return best, least[best]
+
+    langs, scores = model.predict(texts)
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        chance = chances(text)
+        family, sure = vote(chance, "", sorted(model.families))
+        want, sure_too = vote(chance, family, model.families[family])
+        assert lang == want and abs(score - sure * sure_too) < 1e-6
