@@ -8,7 +8,8 @@ bits), so any one id is found by a rank for each level, without decoding its nei
 The files: documents are dealt by ranges of ascending id, and each range is written in order as
 segments (bytes, see pack()) in a Parquet table, which Spark commits as a whole: a lost executor leaves
 no half file. Reading takes the segments back; the ids of all documents before one are known from sums
-over the ranges and the directory inside each segment.
+over the ranges and the directory inside each segment. A segment's row tells its least and greatest id, so single
+tokens (tokens_at()) are read from the row groups that can hold their documents.
 
 Cases: a null text counts as empty and has only the end id; a null id sorts first; rows with equal ids
 all stay, ordered by a hash of their text; an empty table gives no rows; other columns are not read.
@@ -38,6 +39,10 @@ MAGIC = b"DAC1"
 BLOCK = 512
 #: Bytes of text that go into one segment, and pieces that an encoder remembers.
 SEGMENT_BYTES, REMEMBERED = 4 << 20, 800_000
+#: Bytes of text for one range; there are at least as many ranges as shuffle partitions.
+RANGE_BYTES = 256 << 20
+#: Bytes of one row group, some segments each.
+GROUP_BYTES = 16 << 20
 
 
 # ---- the format ----
@@ -192,7 +197,7 @@ def encoder(path: str) -> Encoder:
 
 # ---- writing and reading ----
 
-SEGMENTS = "part int, seq int, first long, n_docs long, n_tokens long, blob binary"
+SEGMENTS = "part int, seq int, first long, low long, high long, n_docs long, n_tokens long, blob binary"
 
 
 def _segments(path: str, end: int | None):
@@ -212,7 +217,8 @@ def _segments(path: str, end: int | None):
                 codes = [c + tail for c in coder.encode([x or "" for x in texts[i:j]])]
                 tokens = np.frombuffer(b"".join(codes), "<u4")
                 blob = pack(tokens, ids[i:j], np.array([len(c) // 4 for c in codes]))
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "first": pa.array([first], pa.int64()), "n_docs": pa.array([j - i], pa.int64()), "n_tokens": pa.array([len(tokens)], pa.int64()), "blob": pa.array([blob], pa.binary())})
+                known = [d for d in ids[i:j] if d is not None]
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "first": pa.array([first], pa.int64()), "low": pa.array([min(known, default=None)], pa.int64()), "high": pa.array([max(known, default=None)], pa.int64()), "n_docs": pa.array([j - i], pa.int64()), "n_tokens": pa.array([len(tokens)], pa.int64()), "blob": pa.array([blob], pa.binary())})
                 first += len(tokens)
                 seq, i = seq + 1, j
 
@@ -224,10 +230,35 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int | None, ke
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(quoted(key).cast("long").alias("key"), quoted(text).alias("text"), F.xxhash64(quoted(text)).alias("tie"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     # ranges are cut before encoding: finding their bounds reads ids and texts, and encodes nothing
     ranged = rows.repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
-    ranged.mapInArrow(_segments(tokenizer, end), SEGMENTS).write.option("compression", "zstd").parquet(path)
+    ranged.mapInArrow(_segments(tokenizer, end), SEGMENTS).write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).option("parquet.page.size.row.check.min", 1).parquet(path)
+
+
+def tokens_at(spark: SparkSession, path: str, wanted: list[tuple[int, int]]) -> DataFrame:
+    """doc_id, place, token for each wanted (doc_id, place) that exists, by random access: other segments' bytes aren't decoded.
+
+    wanted is a short list (it becomes a filter). Places count from 0 within a document; of several documents with
+    one id each answers. Null ids can't be asked for; negative places and places behind the end give no row.
+    """
+    ship(spark)
+    places: dict[int, list[int]] = {}
+    for d, at in dict.fromkeys(wanted):
+        places.setdefault(d, []).append(at)
+    near = F.lit(False)
+    for d in places:
+        near = near | ((F.col("low") <= d) & (F.col("high") >= d))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                s = Segment(blob)
+                got = [(d, at, s.get(int(a) + at)) for d, a, n in zip(s.doc_ids, s.starts, s.counts, strict=True) for at in places.get(d, ()) if 0 <= at < n]
+                yield pa.RecordBatch.from_pydict({k: pa.array([g[c] for g in got], pa.int64()) for c, k in enumerate(("doc_id", "place", "token"))})
+
+    return spark.read.parquet(path).where(near).select("blob").mapInArrow(read, "doc_id long, place long, token long")
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

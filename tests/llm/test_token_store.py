@@ -10,6 +10,8 @@ from tokenizers import Tokenizer
 
 from corvane.llm import token_store as S
 
+from .conftest import make_docs
+
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -54,3 +56,32 @@ def test_query(spark, written, odd_rows, monkeypatch):
 
 def test_empty(spark, written):
     assert S.op4_tokens(spark, written([])).collect() == []
+
+
+def test_tokens_at(spark, tmp_path, odd_rows, monkeypatch):
+    """Single tokens by document and place, out of many segments, are those of the library."""
+    monkeypatch.setattr(S, "SEGMENT_BYTES", 2000)
+    docs = make_docs(spark, odd_rows)
+    S.write_tokens(docs, str(tmp_path / "t"), PATH, end=2)
+    library = Tokenizer.from_file(PATH)
+    ids = {}
+    for i, t in odd_rows:
+        ids.setdefault(i, []).append([*library.encode(t or "", add_special_tokens=False).ids, 2])
+    wanted = [(1, 0), (2, 0), (2, 1), (6, 0), (6, 17_000), (6, len(ids[6][0]) - 1), (6, len(ids[6][0])), (7, 5), (10, 3), (10, -1), (12345, 0), (6, 0)]
+    got = S.tokens_at(spark, str(tmp_path / "t"), wanted)
+    want = sorted((i, at, own[at]) for i, at in set(wanted) for own in ids.get(i, []) if 0 <= at < len(own))
+    assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(low" in plan and "n_tokens" not in plan.split("ReadSchema")[1]
+    assert S.tokens_at(spark, str(tmp_path / "t"), []).collect() == []
+
+
+def test_ranges_grow_with_the_texts(spark, tmp_path, odd_rows, monkeypatch):
+    make_docs(spark, odd_rows).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = []
+    for size in (1 << 30, 1000):
+        monkeypatch.setattr(S, "RANGE_BYTES", size)
+        S.write_tokens(docs, str(tmp_path / f"t{size}"), PATH, end=2)
+        got.append(spark.read.parquet(str(tmp_path / f"t{size}")).select("part").distinct().count())
+    assert got[0] <= int(spark.conf.get("spark.sql.shuffle.partitions")) < got[1]
