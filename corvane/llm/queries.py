@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import ORACLE_OP13, op13_centroids
 from .decontam import ORACLE_OP5, op5_decontaminate
 from .langid import op3_language
 from .media_avi import op8_media
@@ -28,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
     "op10_repeats": op10_repeats,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE: dict[str, str] = {
     "op5_decontaminate": ORACLE_OP5,
     "op10_repeats": ORACLE_OP10,
+    "op13_centroids": ORACLE_OP13,
 }
