@@ -14,6 +14,7 @@ from .piece_dropout import op2_pieces
 from .sharding import op1_shards
 from .simhash import op7_near_dup
 from .suffix_dedup import ORACLE_OP10, op10_repeats
+from .token_align import op12_alignment
 from .token_store import op4_tokens
 from .toxicity import op9_toxicity
 from .url_filter import op6_urls
@@ -29,11 +30,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
     "op10_repeats": op10_repeats,
+    "op12_alignment": op12_alignment,
     "op13_centroids": op13_centroids,
 }
 
 ORACLE: dict[str, str] = {
     "op5_decontaminate": ORACLE_OP5,
     "op10_repeats": ORACLE_OP10,
+    "op12_alignment": op12_alignment,
     "op13_centroids": ORACLE_OP13,
 }
