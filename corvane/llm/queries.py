@@ -10,6 +10,7 @@ from .centroids import ORACLE_OP13, op13_centroids
 from .decontam import ORACLE_OP5, op5_decontaminate
 from .langid import op3_language
 from .media_avi import op8_media
+from .minhash import ORACLE_OP11, op11_minhash
 from .piece_dropout import op2_pieces
 from .sharding import op1_shards
 from .simhash import op7_near_dup
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
     "op10_repeats": op10_repeats,
+    "op11_minhash": op11_minhash,
     "op12_alignment": op12_alignment,
     "op13_centroids": op13_centroids,
 }
@@ -37,6 +39,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op5_decontaminate": ORACLE_OP5,
     "op10_repeats": ORACLE_OP10,
+    "op11_minhash": op11_minhash,
     "op12_alignment": op12_alignment,
+    "op11_minhash": ORACLE_OP11,
     "op13_centroids": ORACLE_OP13,
 }
