@@ -108,30 +108,3 @@ def build_embedder(provider: str, dimension: int = 384, client: Callable | None
         return client
     raise ValueError(f"unknown provider of embeddings: {provider}")
 
-
-def sign_index(table: DataFrame, key: str = "vec_id", vector: str = "embedding", bits: int = 8, tables: int = 12, dimension: int = 64, seed: int = 3) -> DataFrame:
-    """An approximate index: for each of `tables` sets of random planes the sides that a row lies on. key, t, bucket."""
-    import random
-
-    rng = random.Random(seed)
-    planes = [[[rng.gauss(0, 1) for _ in range(dimension)] for _ in range(bits)] for _ in range(tables)]
-
-    def bucket(t: int) -> Column:
-        side = [F.when(V.dot(F.col(vector), F.array(*map(F.lit, p))) > 0, 1 << i).otherwise(0) for i, p in enumerate(planes[t])]
-        out = side[0]
-        for s in side[1:]:
-            out = out + s
-        return out
-
-    return table.select(F.col(key).alias("key"), F.posexplode(F.array(*[bucket(t) for t in range(tables)])).alias("t", "bucket"))
-
-
-def nearest_by_index(table: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", **index) -> DataFrame:
-    """Like nearest(), but only among rows that share a bucket with the query in some table; every row is indexed."""
-    rows = sign_index(table, key, vector, **index)
-    own = sign_index(queries, "q", "vector", **index).withColumnRenamed("key", "q")
-    pairs = rows.join(own, ["t", "bucket"]).select("q", "key").distinct()
-    pairs = pairs.join(table.select(F.col(key).alias("key"), F.col(vector).alias("v")), "key").join(queries.select("q", F.col("vector").alias("u")), "q")
-    scored = pairs.select("q", "key", V.clamp(V.cosine(F.col("v"), F.col("u"))).alias("similarity")).where("similarity is not null")
-    order = W.partitionBy("q").orderBy(F.round("similarity", 9).desc(), "key")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions import lexicon as X
 from corvane.functions import text as T
-from corvane.operators import bm25, fusion, vector
-from corvane.runtime import new_table, widen
+from corvane.operators import bm25, fusion, vector, vector_index
+from corvane.runtime import new_table, version_of, widen
 
 from . import oracle as O
 
@@ -43,13 +43,13 @@ def table(spark: SparkSession, d: str, meta: list[Column] | None = None) -> Data
     return bm25.token_table(docs(spark, d), "doc_id", "doc_id", [F.col("text")], meta, F.col("lang"))
 
 
-#: The indexes that an application has made, each in the folder that its session shares.
+#: The indexes that an application has made, by the version of their table, each in the folder that its session shares.
 _INDEXES: dict[tuple, bm25.Index] = {}
 
 
 def lookup(spark: SparkSession, d: str, terms: DataFrame, k: int, by_language: bool = False, meta: bool = False) -> DataFrame:
     """A search in the stored index of the documents of d, which is made on first use."""
-    key = (spark.sparkContext.applicationId, d, meta)
+    key = (spark.sparkContext.applicationId, version_of(spark, f"{d}/documents.parquet"), meta)
     if key not in _INDEXES:
         _INDEXES[key] = bm25.write_index(table(spark, d, [F.col("source")] if meta else None), new_table(spark, "postings"))
     return bm25.search_index(spark, _INDEXES[key], terms, k, by_language)
@@ -160,8 +160,32 @@ def knn_batch(spark: SparkSession, d: str) -> DataFrame:
     return near(vector.nearest(embeddings(spark, d), _query(spark, d, F.col("vec_id") % EVERY == 0), X.DEPTH))
 
 
+#: The vector indexes that an application has made, by the version of their table.
+_CELLS: dict[tuple, vector_index.Index] = {}
+
+
+def vector_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Builds the index of all vectors anew; its cells, with how many rows lie in each."""
+    made = vector_index.build(embeddings(spark, d), new_table(spark, "cells"))
+    _CELLS[spark.sparkContext.applicationId, version_of(spark, f"{d}/embeddings.parquet")] = made
+    return vector_index.cells(spark, made).select("cell", F.col("rows"), F.round("least", 6).alias("least"))
+
+
+def _cells(spark: SparkSession, d: str) -> vector_index.Index:
+    key = (spark.sparkContext.applicationId, version_of(spark, f"{d}/embeddings.parquet"))
+    if key not in _CELLS:
+        vector_cells(spark, d)
+    return _CELLS[key]
+
+
 def knn_index(spark: SparkSession, d: str) -> DataFrame:
-    return near(vector.nearest_by_index(embeddings(spark, d), _query(spark, d, F.col("vec_id") % EVERY == 0), X.DEPTH, bits=5, tables=24))
+    """Approximate: of each query's cells, by codes; recall is tested."""
+    return near(vector_index.search(spark, _cells(spark, d), _query(spark, d, F.col("vec_id") % EVERY == 0), X.DEPTH, share=0.7))
+
+
+def knn_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Exact, by the cells' bounds."""
+    return near(vector_index.search(spark, _cells(spark, d), _query(spark, d, F.col("vec_id") % EVERY == 0), X.DEPTH, exact=True))
 
 
 def vector_unit(spark: SparkSession, d: str) -> DataFrame:
@@ -248,7 +272,7 @@ res AS (SELECT q, key, best.score, best.rank FROM best JOIN dec USING (q) WHERE
 QUERIES = {
     "token_stats": token_stats, "term_freq": term_freq, "doc_freq": doc_freq, "corpus_stats": corpus_stats, "query_expand": query_expand, "language_alias": language_alias,
     "bm25_topk": bm25_topk, "bm25_batch": bm25_batch, "bm25_meta_boost": bm25_meta_boost, "bm25_lang_filter": bm25_lang_filter, "bm25_lang_fallback": bm25_lang_fallback, "confidence_gate": confidence_gate,
-    "knn_topk": knn_topk, "knn_filtered": knn_filtered, "knn_batch": knn_batch, "knn_index": knn_index, "vector_unit": vector_unit,
+    "knn_topk": knn_topk, "knn_filtered": knn_filtered, "knn_batch": knn_batch, "vector_cells": vector_cells, "knn_index": knn_index, "knn_cells": knn_cells, "vector_unit": vector_unit,
     "rrf_fusion": rrf_fusion, "hybrid_answer": hybrid_answer, "hybrid_results": hybrid_results, "extractive_answer": extractive_answer, "source_dedupe": source_dedupe, "prompt_context": prompt_context,
 }
 
@@ -276,6 +300,7 @@ ORACLE = {
     "knn_topk": f"WITH {O.nearest('embeddings', '(SELECT vec_id AS q, embedding AS u FROM embeddings WHERE vec_id = 0)', 50)} {_NEAR}",
     "knn_filtered": f"WITH {O.nearest('embeddings', '(SELECT vec_id AS q, embedding AS u, label FROM embeddings WHERE vec_id = 0)', 50, 'label')} {_NEAR}",
     "knn_batch": f"WITH {O.nearest('embeddings', f'(SELECT vec_id AS q, embedding AS u FROM embeddings WHERE vec_id % {EVERY} = 0)', X.DEPTH)} {_NEAR}",
+    "knn_cells": f"WITH {O.nearest('embeddings', f'(SELECT vec_id AS q, embedding AS u FROM embeddings WHERE vec_id % {EVERY} = 0)', X.DEPTH)} {_NEAR}",
     "vector_unit": "SELECT vec_id, round(sqrt(list_dot_product(e, e)), 6) AS length, 1.0::DOUBLE AS unit_length, CAST(len(e) AS BIGINT) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (label + 1)) AS e FROM embeddings)",
     "rrf_fusion": f"{_LISTS}, {_FUSE} SELECT q, key AS doc_id, score, rank FROM fused WHERE rank <= 10",
     "hybrid_answer": f"{_HYBRID} SELECT dec.q, round(confidence, 4) AS confidence, retrieval_score, mode, confidence >= 0.15 AS answered, count(res.key) AS n_results, min(res.key) FILTER (WHERE res.rank = 1) AS best_key FROM dec LEFT JOIN res ON res.q = dec.q GROUP BY ALL",

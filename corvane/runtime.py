@@ -66,3 +66,17 @@ def widen(scan: DataFrame) -> DataFrame:
     """A plain scan, dealt out over all cores where it has fewer parts than these, as a small file of one row group has."""
     n = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= n else scan.repartition(n)
+
+
+def version_of(spark: SparkSession, path: str) -> str:
+    """What the files of a table are now: a digest of their names, lengths and times of change. A table that is written again has another."""
+    import hashlib
+
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    listed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    found = []
+    while listed.hasNext():
+        f = listed.next()
+        found.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()

@@ -123,15 +123,6 @@ def test_vectors(spark):
     assert len(vector.bounded_queries(rows.select(F.col("vec_id").alias("q")), 2)) == 3
 
 
-def test_index_recall(spark):
-    d = "/root/testdata/sf0.01"
-    rows = spark.read.parquet(f"{d}/embeddings.parquet")
-    q = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"))
-    exact = {(r["q"], r["key"]) for r in vector.nearest(rows, q, 10).collect()}
-    found = {(r["q"], r["key"]) for r in vector.nearest_by_index(rows, q, 10, bits=5, tables=24).collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
-
-
 def test_embedding(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, "")], "id long, text string")
     got = vector.embed(rows, F.col("text"), vector.HashEmbedder(8), 8).orderBy("id").collect()
