@@ -1,114 +1,60 @@
-"""HTML by regular expressions: plain text, markdown, titles and links.
+"""Column functions on pages: plain text, markdown, titles and links, by the tree of html_tree. Pages go to Python in Arrow batches.
 
-Each conversion is a list of (pattern, replacement) steps, in patterns that Java's and RE2's dialects share;
-$1 stands for the first group. Entities are decoded in one step among them.
+A null page says nothing: no text, no links, the default title.
 """
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from collections.abc import Callable
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from . import text as T
-
-#: Characters by name; a space that doesn't break counts as a space.
-ENTITIES = {name: chr(point) for name, point in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
-
-DROPPED = ["script", "style", "noscript", "svg", "nav", "footer", "form"]
-_GONE = [(r"(?s)<!--.*?-->", "")] + [(rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>", "") for t in DROPPED]
-#: The content is the first <main>, else the <body>; up to its end or the text's.
-_CONTENT = [(r"(?is)^.*?<main\b[^>]*>(.*?)</main\s*>.*$", "$1"), (r"(?is)^.*?<body\b[^>]*>", ""), (r"(?is)</body\s*>.*$", "")]
-#: The step at which entities are decoded.
-DECODE = ("&", "")
-
-#: The three ways to write a link's target.
-HREF = [r"\"([^\"]*)\"", r"'([^']*)'", r"([^\s\"'>]+)"]
-
-TEXT = _GONE + _CONTENT + [
-    (r"(?i)<(?:/p|/div|/h[1-6]|/li|/ul|/ol|/tr|/table|/article|/section|br)\b[^>]*>", "\n"),
-    (r"(?i)(</t[dh]\s*>)\s*<t[dh]\b[^>]*>", " "),
-    (r"(?s)<[^>]*>", ""),
-    DECODE,
-    (r"[ \t\r]+", " "),
-    (r" ?\n ?", "\n"),
-    (r"\n+", "\n"),
-    (r"^\s+", ""),
-    (r"\s+$", ""),
-]
-
-MARKDOWN = _GONE + _CONTENT + [
-    (r"\s+", " "),
-    *[(rf"(?i)\s*<h{n}\b[^>]*>\s*(.*?)\s*</h{n}\s*>\s*", "\n\n" + "#" * n + " $1\n\n") for n in range(1, 7)],
-    *[(rf"(?i)<a\b[^>]*?\bhref\s*=\s*{form}[^>]*>(.*?)</a\s*>", "[$2]($1)") for form in HREF],
-    (r"(?i)<img\b[^>]*>", ""),
-    (r"(?i)</?(?:b|strong)\b[^>]*>", "**"),
-    (r"(?i)</?(?:i|em)\b[^>]*>", "*"),
-    (r"(?i)\s*<li\b[^>]*>\s*", "\n* "),
-    (r"(?i)\s*<br\b[^>]*>\s*", "  \n"),
-    (r"(?i)\s*</?(?:p|div|ul|ol|table|tr|article|section|aside|header|main|blockquote)\b[^>]*>\s*", "\n\n"),
-    (r"(?i)(</t[dh]\s*>)\s*<t[dh]\b[^>]*>", " | "),
-    (r"<[^>]*>", ""),
-    DECODE,
-    (r"!\[[^\]]*\]\([^)]+\)", ""),
-    (r"\n{3,}", "\n\n"),
-    (r"^\s+", ""),
-    (r"\s+$", ""),
-]
-
-
-def decode(c: Column) -> Column:
-    """Entities by name, by number and by hexadecimal number, each decoded once; others stay as they are."""
-    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
-
-    def one(piece: Column) -> Column:
-        name = F.regexp_extract(piece, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        digits = F.conv(F.regexp_extract(name, "^#[xX]?([0-9a-fA-F]+)$", 1), 10, 10).cast("long")
-        point = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10).cast("long")).when(name.rlike("^#[0-9]"), digits)
-        real = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
-        char = F.when(real, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).when(name != "", F.try_element_at(names, name))
-        return F.coalesce(F.concat(char, F.substr(piece, F.char_length(name) + 2)), F.concat(F.lit("&"), piece))
-
-    pieces = F.split(c, "&")
-    whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), ""))
-    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
-
-
-def column(c: Column, steps: list[tuple[str, str]]) -> Column:
-    for step in steps:
-        c = T.let(c, decode) if step is DECODE else F.regexp_replace(c, *step)
-    return c
-
-
-def has_content(html: Column) -> Column:
-    return html.rlike(r"(?i)<(main|body)\b")
+from corvane.runtime import ship
+
+from . import html_tree as tree
+
+
+def _each(make: Callable, kind: str, arrow: pa.DataType) -> Callable[[Column], Column]:
+    """A column function of make(events of a page)."""
+
+    def of(html: pa.Array) -> pa.Array:
+        return pa.array([make(tree.events(x or "")) for x in html.to_pylist()], arrow)
+
+    of.__annotations__ = {"html": pa.Array, "return": pa.Array}
+
+    def call(html: Column) -> Column:
+        ship(SparkSession.active())
+        return F.arrow_udf(of, kind)(html)
+
+    return call
 
 
 def text(html: Column) -> Column:
     """What a page says, block by line; empty without a body."""
-    return F.when(has_content(html), column(html, TEXT)).otherwise(F.lit(""))
+    return _each(tree.text, "string", pa.string())(html)
 
 
 def markdown(html: Column) -> Column:
-    """The content with headings as #, links, emphasis and lists; empty without a body."""
-    return F.when(has_content(html), column(html, MARKDOWN)).otherwise(F.lit(""))
-
-
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+    """The content with headings as #, links, emphasis, lists, tables, quotes and preformatted text; empty without a body."""
+    return _each(tree.markdown, "string", pa.string())(html)
 
 
 def title(html: Column, default: str = "Untitled") -> Column:
     """The stripped title; the default only where there is no title element."""
-    found = F.regexp_extract(html, TITLE, 1)
-    return F.when(html.rlike(TITLE), F.regexp_replace(decode(found), r"^\s+|\s+$", "")).otherwise(F.lit(default))
+    return _each(lambda events: tree.title(events, default), "string", pa.string())(html)
+
 
+def links(html: Column) -> Column:
+    """All hrefs of a page, in order, as they are written but for entities."""
+    return _each(tree.links, "array<string>", pa.list_(pa.string()))(html)
 
-LINK = r"(?i)<a\b[^>]*?\bhref\s*=\s*(?:" + "|".join(HREF) + ")"
 
+#: What page() gives.
+PAGE = pa.struct([("title", pa.string()), ("markdown", pa.string()), ("links", pa.list_(pa.string()))])
 
-def links(html: Column) -> Column:
-    """All hrefs of a page, in order, in any of the three quotings, as they are written but for entities."""
-    found = F.regexp_extract_all(html, F.lit(LINK), F.lit(0))
-    own = lambda x: F.concat(*[F.regexp_extract(x, LINK, k + 1) for k in range(len(HREF))])
-    return F.transform(found, lambda x: decode(own(x)))
+
+def page(html: Column) -> Column:
+    """title, markdown and links of a page, which is read once."""
+    return _each(lambda e: {"title": tree.title(e), "markdown": tree.markdown(e), "links": tree.links(e)}, "struct<title:string,markdown:string,links:array<string>>", PAGE)(html)

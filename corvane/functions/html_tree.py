@@ -187,20 +187,18 @@ _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
 def text(tree: list[Event]) -> str:
-    """What a page says, block by line; cells of a row are parted by a space, lines of preformatted text stay."""
+    """What a page says, block by line; the source's own lines stay lines, and cells of a row are parted by a space."""
     inside = content(tree)
     if inside is None:
         return ""
     out: list[str] = []
-    pre = 0
     for kind, value, _ in inside:
         if kind == TEXT:
-            out.append(decode(value if pre else _SPACE.sub(" ", value)))
+            out.append(decode(value))
         elif value in ("td", "th"):
             out.append(" ")
         elif value in BLOCKS or value == "br":
             out.append("\n")
-        pre += (value == "pre") * ((kind == START) - (kind == END))
     line = re.sub(r" ?\n ?", "\n", re.sub(r"[ \t\r]+", " ", "".join(out)))
     return re.sub(r"\n+", "\n", line).strip(" \t\n\r\f\v")
 
@@ -278,9 +276,8 @@ def markdown(tree: list[Event]) -> str:
             if start:
                 href = attributes(more).get("href")
                 md.write("")
-                md.out.append("")
+                md.out.append("")  # becomes the bracket if the link's end is written
                 links.append((len(md.out) - 1, href))
-                md.fresh = md.fresh or False
             elif links:
                 at, href = links.pop()
                 if href is not None and more:
@@ -309,11 +306,12 @@ def markdown(tree: list[Event]) -> str:
                 md.fresh = False
                 md.block()
         elif value in ("ul", "ol", "menu"):
+            if not start and lists:
+                lists.pop()
             md.block(1 if lists else 2)
             if start:
-                lists.append((BULLETS[len(lists) % 3] if value != "ol" else "", int(n) if (n := attributes(more).get("start", "1")).isdecimal() and len(n) < 10 else 1))
-            elif lists:
-                lists.pop()
+                n = attributes(more).get("start", "1")
+                lists.append((BULLETS[len(lists) % 3] if value != "ol" else "", int(n) if n.isdecimal() and len(n) < 10 else 1))
         elif value == "li":
             if start:
                 md.fresh = False if md.out else md.fresh

@@ -54,10 +54,10 @@ def crawl_site(start: DataFrame, fetch: Fetch, domains: list[str], most: int, ru
         rest = todo.join(asked.select("url"), "url", "left_anti")
         got = cut(fetch(asked.select("url")).join(asked, "url"))
         errors = errors.unionByName(got.where("error is not null").select("url", "error"))
-        came = got.where("error is null")
-        made = clean.clean_html(came.select("url", "level", H.title(F.col("html")).alias("title"), U.language(F.col("url")).alias("language"), "html"), "html", "markdown")
+        came = cut(got.where("error is null").select("url", "level", H.page(F.col("html")).alias("page")))
+        made = clean.clean_text(came.select("url", "level", "page.title", U.language(F.col("url")).alias("language"), F.col("page.markdown").alias("_md")), "_md", "markdown")
         new = cut(made.select("url", "title", "language", "markdown", "level"))
-        links = came.select(F.col("url").alias("base"), (F.col("level") + 1).alias("level"), F.explode(H.links(F.col("html"))).alias("href")).select(U.resolve(F.col("base"), F.col("href")).alias("link"), "level").distinct()
+        links = came.select(F.col("url").alias("base"), (F.col("level") + 1).alias("level"), F.explode("page.links").alias("href")).select(U.resolve(F.col("base"), F.col("href")).alias("link"), "level").distinct()
         routed = cut(crawl.route(links, "link", domains).where("route in ('pdf', 'page')").groupBy("route", "target").agg(F.min("level").alias("level")))
         pdfs = pdfs.unionByName(routed.where("route = 'pdf'").select(F.col("target").alias("url")))
         done = cut(done.unionByName(new))
