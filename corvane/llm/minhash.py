@@ -124,6 +124,51 @@ def _compared(width: int, share: int, of: int):
     return run
 
 
+def _met(least: float):
+    """Rows (h, lo, hi, sid, root, at, block, plain, bits, keys) sorted by (h, lo, hi, at); gives pairs that can be similar.
+
+    Similar sets meet in many buckets. A pair goes out in the bucket of the first key that both sets have, and there only; in buckets that
+    were parted (plain is false) wherever it meets.
+    """
+
+    def out(parts) -> Iterator[pa.RecordBatch]:
+        *columns, bits, keys = zip(*parts, strict=True)
+        h, lo, hi, sid, root, at, block, plain = map(np.concatenate, columns)
+        bits, keys = [x for part in bits for x in part], np.concatenate(keys)
+        group = np.concatenate([[0], np.cumsum((h[1:] != h[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))])
+        side = np.where(lo == hi, 0, np.where(block == lo, 1, 2))
+        for some in (plain, ~plain):
+            k = np.flatnonzero(some)
+            if not len(k):
+                continue
+            order = k[np.argsort(sid[k], kind="stable")]
+            buckets = np.unique(h[k])
+            for got in shingle_links.pairs_in_sorted(group[k], sid[k], root[k], at[k], side[k], [bits[i] for i in k.tolist()], least):
+                got = np.unique(np.sort(got, axis=1), axis=0)
+                if some is plain:
+                    x, y = (keys[order[np.searchsorted(sid[order], got[:, e])]] for e in (0, 1))
+                    first = x[np.arange(len(x)), (x == y).argmax(axis=1)]
+                    got = got[np.isin(first, buckets)]
+                if len(got):
+                    yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = (*(b.column(k).to_numpy(zero_copy_only=False) for k in range(8)), b.column(8).to_pylist(), b.column(9).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+            last = int(((c[0] == c[0][-1]) & (c[1] == c[1][-1]) & (c[2] == c[2][-1])).argmax())
+            if last or held and any(held[0][k][0] != c[k][0] for k in range(3)):
+                yield from out([*held, tuple(x[:last] for x in c)])
+                held = []
+            held.append(tuple(x[last:] for x in c))
+        if held:
+            yield from out(held)
+
+    return run
+
+
 class Links:
     """Links among distinct sets: sets (set, row, n, bits, keys), and the documents that hold them."""
 
@@ -186,20 +231,19 @@ def links(docs: DataFrame, sets: DataFrame, text: str = "text", width: int = WID
     star = cut(star.select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     out.confirm(star)
     # what is left, without the hubs, which have met all others
-    rest = out.rooted(rooted.join(hubs, "key").where("set <> hub"))
+    rest = out.rooted(rooted.join(hubs, "key").where("set <> hub")).withColumn("plain", F.lit(True))
     for _ in range(DEPTH):
         large = rest.where(F.col("rows") > LARGE)
         if large.isEmpty():
             break
         parted = large.join(sets.select("set", "keys"), "set").select("set", "key", F.explode("keys").alias("other")).where("key <> other")
-        parted = parted.select("set", F.xxhash64("key", "other").alias("key"))
-        rest = rest.where(F.col("rows") <= LARGE).unionByName(out.rooted(parted))
-        rest = cut(rest)
+        parted = out.rooted(parted.select("set", F.xxhash64("key", "other").alias("key"))).withColumn("plain", F.lit(False))
+        rest = cut(rest.where(F.col("rows") <= LARGE).unionByName(parted))
     blocks = rest.withColumn("blocks", F.ceil(F.col("rows") / LARGE).cast("int")).withColumn("block", F.pmod(F.xxhash64("set"), "blocks").cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.select(F.col("key").alias("h"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "root", "block")
-    blocks = blocks.join(sets.select("set", "n", "bits"), "set").select("h", "lo", "hi", F.col("set").alias("sid"), "root", F.shiftleft("n", 32).alias("at"), "block", "bits")
-    pairs = blocks.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi", "at").mapInArrow(shingle_links._other_pairs(out.least), "a long, b long")
+    blocks = blocks.select(F.col("key").alias("h"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "root", "block", "plain")
+    blocks = blocks.join(sets.select("set", "n", "bits", "keys"), "set").select("h", "lo", "hi", F.col("set").alias("sid"), "root", F.shiftleft("n", 32).alias("at"), "block", "plain", "bits", "keys")
+    pairs = blocks.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi", "at").mapInArrow(_met(out.least), "a long, b long")
     out.confirm(cut(pairs.distinct()))
     return out.all()
 
