@@ -121,4 +121,4 @@ def budget(visits: DataFrame, per: str, most: int, *order: str) -> DataFrame:
 
 def merge_crawls(pages: DataFrame, key: str, order: str, *values: str) -> DataFrame:
     """One row for each key: the last crawl's values, at the place where the key was first seen (`first`)."""
-    return pages.groupBy(key).agg(F.max_by(F.struct(*values), F.col(order)).alias("v"), F.min(order).alias("first")).select(key, *[F.col(f"v.{v}").alias(v) for v in values], "first")
+    return pages.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(F.col(order).isNotNull(), F.col(order))).alias("v"), F.min(order).alias("first")).select(key, *[F.col(f"v.{v}").alias(v) for v in values], "first")

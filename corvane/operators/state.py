@@ -20,15 +20,15 @@ def report(changed: DataFrame) -> DataFrame:
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """One row for each key, the one greatest in `order`. Combined within tasks first, so copies of one key don't meet."""
+    """One row for each key, the one greatest in `order`; a null order loses to all others. Combined within tasks first, so copies of one key don't meet."""
     rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(order).isNotNull(), F.col(order))).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """old with new's rows in place of those of the same key; of new's repeats the last wins."""
+    """old with new's rows in place of those of the same key; of new's repeats the last wins. Null keys are one key."""
     fresh = last_wins(new, key, order)
-    return old.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+    return old.join(fresh.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_anti").unionByName(fresh)
 
 
 def is_complete(chunks: DataFrame, stored: DataFrame, key: str) -> Column:

@@ -46,9 +46,11 @@ def save_index(chunks: DataFrame, table: str, path: str, dimension: int | None =
     rows.write.mode("overwrite").partitionBy("language").option("path", path).saveAsTable(table)
 
 
-def _versions(spark: SparkSession, path: str) -> Row | None:
+def _versions(spark: SparkSession, path: str, batch: str | None = None) -> Row | None:
+    """The newest version; with a batch, the newest that was made of it."""
     try:
-        return spark.read.schema("n long, at string, batch string").json(f"{path.rstrip('/')}/_versions").orderBy(F.desc("n")).first()
+        rows = spark.read.schema("n long, at string, batch string").json(f"{path.rstrip('/')}/_versions")
+        return (rows if batch is None else rows.where(F.col("batch") == batch)).orderBy(F.desc("n")).first()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -64,11 +66,12 @@ def newest(spark: SparkSession, path: str) -> str | None:
 def upsert_table(spark: SparkSession, path: str, new: DataFrame, key: str, order: str, batch: str | None = None) -> str:
     """Merges rows into the newest version of the table under `path`, by key; returns the new version's path.
 
-    A version is written whole beside the old ones, then named in the list of versions: a run that fails leaves the old one.
-    batch: a name of what is merged; if the newest version was made of the same one, it is returned as it is.
+    A version is written whole beside the old ones, then named in the list of versions: a run that fails leaves the old one. For one writer
+    and tables that are small; keyed_table.KeyedTable rewrites only what a merge touches.
+    batch: a name of what is merged; if any version was made of the same one, the newest is returned as it is.
     """
     last = _versions(spark, path)
-    if last and batch is not None and last["batch"] == batch:
+    if last and batch is not None and _versions(spark, path, batch):
         return last["at"]
     stamped = new.withColumn("updated_at", F.current_timestamp())
     rows = state.last_wins(stamped, key, order) if last is None else state.upsert(spark.read.parquet(last["at"]), stamped, key, order)
