@@ -15,20 +15,19 @@ held together by a lock of the process.
 from __future__ import annotations
 
 import json
-import threading
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .versions import VersionLog
+
 PART, DELETED = "_part", "_deleted"
 #: Partitions of a new table.
 PARTS = 64
-_LOCK = threading.Lock()
 
 
 @dataclass(frozen=True)
@@ -39,68 +38,33 @@ class Manifest:
     parts: int
     key: str
     order: str
+    by: str
     columns: str
     files: dict[str, list[str]] = field(default_factory=dict)
     batches: dict[str, int] = field(default_factory=dict)
 
 
 class KeyedTable:
-    """The table in a folder. The first merge makes it."""
-
-    def __init__(self, spark: SparkSession, path: str, parts: int = PARTS):
-        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
-        self._jvm = spark.sparkContext._jvm
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+    """The table in a folder. The first merge makes it.
 
-    # ---- files ----
+    by: another column to part the rows by, where it follows from the key (a chunk's URL, say), so rows can be found by it.
+    """
 
-    def _at(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def _fs(self):
-        return self._at("").getFileSystem(self._conf)
+    def __init__(self, spark: SparkSession, path: str, parts: int = PARTS, by: str | None = None):
+        self.spark, self.path, self.parts, self.by = spark, path.rstrip("/"), parts, by
+        self._log = VersionLog(spark, path)
 
     def versions(self) -> list[int]:
         """The numbers of all versions that are there, in order."""
-        fs, at = self._fs(), self._at("manifests")
-        if not fs.exists(at):
-            return []
-        names = [f.getPath().getName() for f in fs.listStatus(at)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+        return self._log.versions()
 
     def manifest(self, n: int | None = None) -> Manifest | None:
         """A version, the newest by default; None before the first."""
-        if n is None:
-            there = self.versions()
-            if not there:
-                return None
-            n = there[-1]
-        stream = self._fs().open(self._at(f"manifests/{n:012d}.json"))
-        try:
-            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return Manifest(**json.loads(text))
+        told = self._log.read(n)
+        return None if told is None else Manifest(**told)
 
     def _commit(self, m: Manifest) -> bool:
-        """Whether this became version m.n; False if there is one."""
-        fs, tmp, to = self._fs(), self._at(f"manifests/.{uuid.uuid4().hex}"), self._at(f"manifests/{m.n:012d}.json")
-        fs.mkdirs(self._at("manifests"))
-        out = fs.create(tmp, False)
-        try:
-            out.write(bytearray(json.dumps(m.__dict__).encode()))
-        finally:
-            out.close()
-        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        with _LOCK:
-            try:
-                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), self._conf).rename(tmp, to, options)
-                return True
-            except Py4JJavaError as e:
-                if "FileAlreadyExists" not in str(e.java_exception.getClass().getName()):
-                    raise
-                fs.delete(tmp, False)
-                return False
+        return self._log.commit(m.n, m.__dict__)
 
     # ---- rows ----
 
@@ -114,16 +78,24 @@ class KeyedTable:
         m = self.manifest(n)
         return None if m is None else self._rows(m).where(~F.col(DELETED)).drop(DELETED)
 
+    def rows_of(self, values: DataFrame) -> DataFrame | None:
+        """The rows that have a value (the only column of a DataFrame) in the column that the table is parted by; only their partitions are read."""
+        m = self.manifest()
+        if m is None:
+            return None
+        own = values.toDF("_value").distinct()
+        parts = [r[0] for r in own.select(self._part("_value", m.parts)).distinct().collect()]  # numbers below m.parts
+        return self._rows(m, parts).where(~F.col(DELETED)).drop(DELETED).join(own, F.col(m.by).eqNullSafe(F.col("_value")), "left_semi")
+
     def lookup(self, keys: list) -> DataFrame | None:
-        """The rows of a few keys, from their partitions only."""
+        """The rows of a few keys, from their partitions only; for tables parted by their key."""
         m = self.manifest()
         if m is None:
             return None
+        if m.by != m.key:
+            raise ValueError(f"the table is parted by {m.by}")
         kind = T.StructType.fromJson(json.loads(m.columns))[m.key].dataType
-        asked = self.spark.createDataFrame([(k,) for k in keys], T.StructType([T.StructField(m.key, kind)]))
-        parts = [r[0] for r in asked.select(self._part(m.key, m.parts)).distinct().collect()]
-        own = asked.withColumnRenamed(m.key, "_key")
-        return self._rows(m, parts).where(~F.col(DELETED)).drop(DELETED).join(F.broadcast(own), F.col(m.key).eqNullSafe(F.col("_key")), "left_semi")
+        return self.rows_of(self.spark.createDataFrame([(k,) for k in keys], T.StructType([T.StructField(m.key, kind)])))
 
     @staticmethod
     def _part(key: str, parts: int):
@@ -137,13 +109,13 @@ class KeyedTable:
         won = both.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), place).alias("_r"))
         return won.select(key, *[F.col("_r").getField(c).alias(c) for c in rest]).select(*old.columns)
 
-    def _write(self, rows: DataFrame, key: str, parts: int, touched: list[int]) -> dict[str, list[str]]:
+    def _write(self, rows: DataFrame, by: str, parts: int, touched: list[int]) -> dict[str, list[str]]:
         """Writes rows as files of their partitions; the files of each, by name under the table's folder."""
         name = f"data/{uuid.uuid4().hex}"
-        rows.withColumn(PART, self._part(key, parts)).repartition(min(parts, max(1, len(touched))), PART).write.partitionBy(PART).parquet(f"{self.path}/{name}")
-        fs, found = self._fs(), {str(p): [] for p in touched}
+        rows.withColumn(PART, self._part(by, parts)).repartition(min(parts, max(1, len(touched))), PART).write.partitionBy(PART).parquet(f"{self.path}/{name}")
+        fs, found = self._log.fs(), {str(p): [] for p in touched}
         for p in touched:
-            at = self._at(f"{name}/{PART}={p}")
+            at = self._log.at(f"{name}/{PART}={p}")
             if fs.exists(at):
                 found[str(p)] = sorted(f"{name}/{PART}={p}/{f.getPath().getName()}" for f in fs.listStatus(at) if f.getPath().getName().endswith(".parquet"))
         return found
@@ -163,7 +135,7 @@ class KeyedTable:
             if now is not None and batch is not None and now.batches.get(batch[0], -1) >= batch[1]:
                 return now
             if now is None:
-                base = Manifest(0, self.parts, key, order, json.dumps(T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields]).jsonValue()))
+                base = Manifest(0, self.parts, key, order, self.by or key, json.dumps(T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields]).jsonValue()))
             else:
                 base = now
                 if (now.key, now.order) != (key, order):
@@ -172,23 +144,23 @@ class KeyedTable:
             if sorted((f.name, f.dataType.simpleString()) for f in schema) != sorted((f.name, f.dataType.simpleString()) for f in rows.schema):
                 raise ValueError(f"columns must be {schema.simpleString()}, not {rows.schema.simpleString()}")
             if made is None or any(base.files.get(str(p), []) != (made[0].files.get(str(p), []) if made[0] else []) for p in made[1]):
-                touched = sorted(r[0] for r in rows.select(self._part(key, base.parts)).distinct().collect())
+                touched = sorted(r[0] for r in rows.select(self._part(base.by, base.parts)).distinct().collect())
                 merged = self._merged(self._rows(base, touched), rows.select(*schema.names), key, order)
-                made = (base, touched, self._write(merged, key, base.parts, touched))
+                made = (base, touched, self._write(merged, base.by, base.parts, touched))
             next_ = replace(base, n=base.n + 1, files=base.files | made[2], batches=base.batches | ({batch[0]: batch[1]} if batch else {}))
             if self._commit(next_):
                 return next_
         raise RuntimeError(f"other writers came first {tries} times")
 
     def delete(self, keys: DataFrame, order) -> Manifest | None:
-        """Hides keys (a DataFrame that has the key column) unless they have rows of a greater order; order is a literal value."""
+        """Hides keys (a DataFrame that has the key column, and the one that the table is parted by) unless they have rows of a greater order; order is a literal value."""
         m = self.manifest()
         if m is None:
             return None
         schema = T.StructType.fromJson(json.loads(m.columns))
-        marks = keys.select(m.key).distinct()
+        marks = keys.select(*dict.fromkeys([m.key, m.by])).distinct()
         for f in schema:
-            if f.name not in (m.key, DELETED):
+            if f.name not in (m.key, m.by, DELETED):
                 marks = marks.withColumn(f.name, (F.lit(order) if f.name == m.order else F.lit(None)).cast(f.dataType))
         return self.merge(marks.withColumn("_gone", F.lit(True)), m.key, m.order, deleted="_gone")
 
@@ -199,7 +171,7 @@ class KeyedTable:
             if m is None:
                 return None
             parts = sorted(map(int, m.files))
-            made = self._write(self._rows(m).where(~F.col(DELETED)), m.key, m.parts, parts)
+            made = self._write(self._rows(m).where(~F.col(DELETED)), m.by, m.parts, parts)
             if self._commit(next_ := replace(m, n=m.n + 1, files=made)):
                 return next_
         raise RuntimeError("other writers came first 20 times")
@@ -215,11 +187,11 @@ class KeyedTable:
             return 0
         held = {f for n in stay for fs in self.manifest(n).files.values() for f in fs}
         lost = {f for n in old for fs in self.manifest(n).files.values() for f in fs} - held
-        fs = self._fs()
+        fs = self._log.fs()
         for n in old:
-            fs.delete(self._at(f"manifests/{n:012d}.json"), False)
+            fs.delete(self._log.at(f"manifests/{n:012d}.json"), False)
         for f in sorted(lost):
-            fs.delete(self._at(f), False)
+            fs.delete(self._log.at(f), False)
         return len(old)
 
 
