@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from . import lexicon as X
 
-#: Letters that casefold() spells out; fixed values.
-_FOLDED = {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
+#: What Python's casefold makes of each code point that it changes: of one character, or of several.
+_FOLDS = {c: c.casefold() for c in map(chr, range(0x110000)) if c.casefold() != c}
+_ONE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
+_MORE = {c: f for c, f in _FOLDS.items() if len(f) > 1}
 
 
 def casefold(c: Column) -> Column:
-    out = F.translate(F.lower(c), "ςſ", "σs")
-    for a, b in _FOLDED.items():
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    """Full case folding, as Unicode has it; texts of ASCII take the short way."""
+    several = F.create_map(*[F.lit(x) for pair in _MORE.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(several, x), x)), "")
+    whole = F.when(c.rlike("[" + "".join(_MORE) + "]"), spelled).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(whole, "".join(_ONE), "".join(_ONE.values()))).otherwise(F.lower(c))
 
 
 def strip(c: Column) -> Column:

@@ -1,16 +1,21 @@
-"""Sections by heading, and long sections packed from paragraphs, as expressions inside a row."""
+"""Sections by heading, in Arrow batches, and long sections packed from paragraphs, as expressions inside a row."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import lexicon as X
 from corvane.functions import text as T
 from corvane.functions import urls as U
+from corvane.runtime import ship
 
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
-HEADING = r"(?U)^(#{1,6})\s+(.*)$"
+LINE_END = re.compile("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
+HEADING = re.compile(r"(#{1,6})\s+(.*)$")
 
 
 def pack(body: Column, most: int = X.CHUNK_MOST, separator: str = "\n\n") -> Column:
@@ -34,37 +39,47 @@ def pack(body: Column, most: int = X.CHUNK_MOST, separator: str = "\n\n") -> Col
     return F.when(F.char_length(body) > most, F.aggregate(parts, start, step, finish)).otherwise(F.array(body))
 
 
+def sections_of(text: str) -> list[dict[str, str]]:
+    """(crumb, body): the text under each heading that has any; without one, the whole text under ''.
+
+    A crumb is the heading after those above it: of each level the last one, as long as no heading of a lesser level came since. Each line is looked at once.
+    """
+    above: list[tuple[int, str]] = []  # levels grow, so at most six
+    out, crumb, lines = [], "", []
+
+    def close() -> None:
+        if body := "\n".join(lines).strip():
+            out.append({"crumb": crumb, "body": body})
+
+    for line in LINE_END.split(text):
+        found = HEADING.match(bare) if (bare := line.strip()).startswith("#") else None
+        if found is None:
+            lines.append(line)
+            continue
+        close()
+        level = len(found[1])
+        while above and above[-1][0] >= level:
+            above.pop()
+        above.append((level, found[2].strip()))
+        crumb, lines = " > ".join(name for _, name in above), []
+    close()
+    return out or [{"crumb": "", "body": text}]
+
+
+def _sections(markdown: pa.Array) -> pa.Array:
+    return pa.array([sections_of(x or "") for x in markdown.to_pylist()], pa.list_(pa.struct([("crumb", pa.string()), ("body", pa.string())])))
+
+
 def sections(df: DataFrame, markdown: str, into: str) -> DataFrame:
-    """df with `into`, an array of (crumb, body): the text under each heading that has any; without one, the whole text under ''."""
-    kind = "struct<stack:array<struct<level:int,name:string>>,crumbs:array<string>>"
-    empty = F.struct(F.array().cast("array<struct<level:int,name:string>>").alias("stack"), F.array(F.lit("")).alias("crumbs")).cast(kind)
-
-    def heads_of(lines: Column) -> Column:
-        rows = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.length(F.regexp_extract(T.strip(x), HEADING, 1)).alias("level"), T.strip(F.regexp_extract(T.strip(x), HEADING, 2)).alias("name")))
-        return F.filter(rows, lambda h: h["level"] > 0)
-
-    def step(s: Column, h: Column) -> Column:
-        own = F.array(F.struct(h["level"].alias("level"), h["name"].alias("name")))
-        names = lambda stack: F.array_join(F.transform(stack, lambda x: x["name"]), " > ")
-        make = lambda stack: F.struct(stack.alias("stack"), F.concat(s["crumbs"], F.array(names(stack))).alias("crumbs"))
-        return T.let(F.concat(F.filter(s["stack"], lambda x: x["level"] < h["level"]), own), make).cast(kind)
-
-    def bodies_of(lines: Column, heads: Column) -> Column:
-        # the text between two headings: from after the first to before the second
-        starts = F.concat(F.array(F.lit(0)), F.transform(heads, lambda h: h["at"] + 1), F.array(F.size(lines) + 1))
-        crumbs = F.aggregate(heads, empty, step, lambda s: s["crumbs"])
-
-        def body(at: Column, i: Column) -> Column:
-            first, stop = F.get(at, i), F.get(at, i + 1) - 1
-            return T.strip(F.array_join(F.slice(lines, first + 1, F.greatest(stop - first, F.lit(0))), "\n"))
-
-        found = T.let(starts, lambda at: F.transform(crumbs, lambda c, i: F.struct(c.alias("crumb"), body(at, i).alias("body"))))
-        return F.filter(found, lambda b: b["body"] != "")
-
-    text = F.coalesce(F.col(markdown), F.lit(""))
-    whole = F.array(F.struct(F.lit("").alias("crumb"), text.alias("body")))
-    found = T.let(F.split(text, LINE_END), lambda lines: T.let(heads_of(lines), lambda heads: bodies_of(lines, heads)))
-    return df.withColumn(into, T.let(found, lambda b: F.when(F.size(b) > 0, b).otherwise(whole)))
+    """df with `into`, the sections_of() its markdown; of a null those of an empty text. All columns of df go through Python, so it should have no others than are needed."""
+    ship(df.sparkSession)
+    at, schema = df.columns.index(markdown), df.withColumn(into, F.lit(None).cast("array<struct<crumb:string,body:string>>")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, _sections(b.column(at))], names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def breadcrumb(crumb: Column, title: Column) -> Column:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from corvane.functions import html as H
 from corvane.functions import text as T
 from corvane.functions import urls as U
-from corvane.operators import bm25, chunk, clean, crawl, fusion, state, vector
+from corvane.operators import bm25, bm25_store, chunk, clean, crawl, fusion, state, vector
 from corvane.runtime import cut
-from corvane.sources import readers, sinks
+from corvane.sources import keyed_table, readers, sinks
 from corvane.sources.readers import Settings
 
 #: Fetches pages: takes (url) and returns (url, html, error), error null where the page came.
@@ -32,7 +32,7 @@ class Crawl:
 def crawl_site(start: DataFrame, fetch: Fetch, domains: list[str], most: int, rules: DataFrame | None = None, rounds: int | None = None) -> Crawl:
     """Breadth-first over the links of fetched pages, level by level, up to `most` pages that came.
 
-    start: url. URLs are normalised; those that rules forbid, that were tried in an earlier level, that are foreign or skipped, aren't
+    start: url. Rules with a `place` (crawl.robots_rules()) are read in their order, others by the longest prefix. URLs are normalised; those that rules forbid, that were tried in an earlier level, that are foreign or skipped, aren't
     fetched. A failed URL may be tried again when a later page links to it. Within a level the order of URLs decides who fits the budget;
     the others stay queued before the links that are found meanwhile, so what failures leave of the budget goes to them. A page's level
     is the number of links that lead to it. The crawl ends with the budget or the queue; given `rounds` that don't suffice are an error.
@@ -48,7 +48,8 @@ def crawl_site(start: DataFrame, fetch: Fetch, domains: list[str], most: int, ru
             raise RuntimeError(f"after {rounds} rounds the crawl has budget and URLs left")
         turn += 1
         if rules is not None:
-            todo = crawl.allowed_by_rules(todo, "url", rules).where("allowed").select("url", "level")
+            judge = crawl.allowed_in_order if "place" in rules.columns else crawl.allowed_by_rules
+            todo = judge(todo, "url", rules).where("allowed").select("url", "level")
         # one request at most for each page that the budget still has
         asked = cut(todo.orderBy("level", "url").limit(most - have))
         rest = todo.join(asked.select("url"), "url", "left_anti")
@@ -118,6 +119,34 @@ def index_chunks(spark: SparkSession, chunks: DataFrame, path: str, embedder: Ca
     return sinks.upsert_table(spark, path, vector.embed(rows, text, embedder, dimension), "content_hash", "ord")
 
 
+def sync_chunks(spark: SparkSession, built: Build, before: DataFrame, folder: str, run: int) -> dict[str, int]:
+    """Brings the chunk store and the index under `folder` up to date with a build; returns how many chunks came and went.
+
+    before: the state of the last run (url, content_hash). Only pages that are new, changed or gone are touched: their stored chunks that the
+    build doesn't have any more are deleted from the store (a table by key, parted by URL) and from the index, the others are merged. run: a number that
+    grows from run to run; one that comes again changes nothing.
+    """
+    store, index = keyed_table.KeyedTable(spark, f"{folder}/chunks", by="url"), bm25_store.Store(spark, f"{folder}/index")
+    changed = cut(state.changes(built.state, before, "url", "content_hash").where("status <> 'unchanged'").select("url"))
+    key = chunk.chunk_hash(*[F.col(c) for c in ("url", "title", "section", "language", "text")])
+    new = built.chunks.join(changed, "url", "left_semi").select(key.alias("chunk_hash"), "url", "title", "section", "faculty", "language", "text", F.lit(run).cast("long").alias("run"))
+    new = cut(new.dropDuplicates(["chunk_hash"]))
+    held = store.rows_of(changed)
+    stale = None
+    if held is not None:
+        stale = cut(held.join(new.select("chunk_hash"), "chunk_hash", "left_anti").select(new.columns).withColumn("run", F.lit(run).cast("long")))
+    rows = new.withColumn("gone", F.lit(False))
+    if stale is not None:
+        rows = rows.unionByName(stale.withColumn("gone", F.lit(True)))
+    store.merge(rows, "chunk_hash", "run", deleted="gone", batch=("run", run))
+    # the store has the run now; the index takes over what it says of these pages, so a run that broke off between the two is made good by the next call
+    live = store.rows_of(changed)
+    tokens = bm25.token_table(live.withColumn("ord", F.col("chunk_hash")), "chunk_hash", "ord", [F.col("text")], [F.col("title"), F.col("section"), F.col("faculty")], F.col("language"))
+    gone = None if stale is None else stale.select(F.col("chunk_hash").alias("key"))
+    index.update(tokens, gone)
+    return {"came": new.count(), "went": 0 if stale is None else stale.count()}
+
+
 class Service:
     """Answers questions over stored chunks (url, title, section, faculty, language, text, content_hash, embedding)."""
 

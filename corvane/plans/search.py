@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import lexicon as X
 from corvane.functions import text as T
-from corvane.operators import bm25, fusion, vector, vector_index
+from corvane.operators import bm25, bm25_store, fusion, vector, vector_index
 from corvane.runtime import new_table, version_of, widen
 
 from . import oracle as O
@@ -55,6 +55,25 @@ def lookup(spark: SparkSession, d: str, terms: DataFrame, k: int, by_language: b
     return bm25.search_index(spark, _INDEXES[key], terms, k, by_language)
 
 
+def bm25_build(spark: SparkSession, d: str) -> DataFrame:
+    """Builds the stored index of all documents anew: what it says of them."""
+    made = bm25.write_index(table(spark, d), new_table(spark, "postings"))
+    _INDEXES[spark.sparkContext.applicationId, version_of(spark, f"{d}/documents.parquet"), False] = made
+    return spark.createDataFrame([(made.n, made.avgdl)], "n long, avgdl double").select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+def bm25_updated(spark: SparkSession, d: str) -> DataFrame:
+    """An index that had older texts of some documents and others that are gone is brought up to date; it answers as one of the documents alone."""
+    now = docs(spark, d).select("doc_id", "text", "lang")
+    old = now.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("license "), F.substr("text", F.lit(1), F.lit(300)))).otherwise(F.col("text")))
+    gone = now.withColumn("doc_id", -F.col("doc_id") - 1).where("doc_id % 10 = 0")
+    tokens = lambda df: bm25.token_table(df, "doc_id", "doc_id", [F.col("text")], None, F.col("lang"))
+    store = bm25_store.Store(spark, new_table(spark, "index"))
+    store.update(tokens(old.unionByName(gone)))
+    store.update(tokens(now.where("doc_id % 3 = 0")), gone.select(F.col("doc_id").alias("key")))
+    return ranked(store.search(bm25.query_terms(items(spark, d)), X.DEPTH), "q")
+
+
 def ranked(found: DataFrame, *before: str) -> DataFrame:
     return found.select(*before, F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -271,7 +290,7 @@ res AS (SELECT q, key, best.score, best.rank FROM best JOIN dec USING (q) WHERE
 
 QUERIES = {
     "token_stats": token_stats, "term_freq": term_freq, "doc_freq": doc_freq, "corpus_stats": corpus_stats, "query_expand": query_expand, "language_alias": language_alias,
-    "bm25_topk": bm25_topk, "bm25_batch": bm25_batch, "bm25_meta_boost": bm25_meta_boost, "bm25_lang_filter": bm25_lang_filter, "bm25_lang_fallback": bm25_lang_fallback, "confidence_gate": confidence_gate,
+    "bm25_build": bm25_build, "bm25_updated": bm25_updated, "bm25_topk": bm25_topk, "bm25_batch": bm25_batch, "bm25_meta_boost": bm25_meta_boost, "bm25_lang_filter": bm25_lang_filter, "bm25_lang_fallback": bm25_lang_fallback, "confidence_gate": confidence_gate,
     "knn_topk": knn_topk, "knn_filtered": knn_filtered, "knn_batch": knn_batch, "vector_cells": vector_cells, "knn_index": knn_index, "knn_cells": knn_cells, "vector_unit": vector_unit,
     "rrf_fusion": rrf_fusion, "hybrid_answer": hybrid_answer, "hybrid_results": hybrid_results, "extractive_answer": extractive_answer, "source_dedupe": source_dedupe, "prompt_context": prompt_context,
 }
@@ -289,6 +308,8 @@ ORACLE = {
       SELECT item_id AS q, text AS question FROM benchmark UNION ALL SELECT -1, 'Where can I find the tuition fee?' UNION ALL SELECT -2, 'Bilgisayar bölümü öğrenim ücreti nedir?' UNION ALL SELECT -3, 'Які правила вступу?' UNION ALL SELECT -4, '')))""",
     "language_alias": f"""SELECT name, code, {_MESSAGE} AS message FROM (SELECT name, {_ALIAS} AS code FROM (SELECT name, {O.strip(O.casefold('name'))} AS n FROM (
       SELECT unnest({O.array([*X.LANGUAGE_ALIASES, ' English ', 'TÜRKÇE', 'klingon', ''])}) AS name UNION ALL SELECT DISTINCT lang FROM documents)))""",
+    "bm25_build": f"SELECT count(*) AS n, round(avg(len(toks)), 6) AS avgdl FROM {_TOK}",
+    "bm25_updated": f"WITH {O.bm25('documents', _ITEMS, X.DEPTH)} SELECT q, key AS doc_id, round(score, 6) AS score, rank FROM best",
     "bm25_topk": _ask(QUESTION),
     "bm25_batch": f"WITH {O.bm25('documents', _ITEMS, X.DEPTH)} SELECT q, key AS doc_id, round(score, 6) AS score, rank FROM best",
     "bm25_meta_boost": _ask(META_QUESTION, meta="source"),

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import usage
+from corvane.runtime import new_table
+from corvane.sources import keyed_table
 from corvane.streaming import usage_stream
 
 from . import oracle as O
@@ -147,7 +149,17 @@ def stream_metrics(spark: SparkSession, d: str) -> DataFrame:
     return usage_stream.drain(usage_stream.daily_metrics(stream), "usage_" + uuid.uuid4().hex)
 
 
+def keyed_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's last event, kept in a table by key: the events come in three merges, the latest first, and one of them twice."""
+    rows = events(spark, d).select("user_id", "event_id", "event_type", "value")
+    table = keyed_table.KeyedTable(spark, new_table(spark, "users"), parts=16)
+    for k in (2, 1, 0, 1):
+        table.merge(rows.where(F.col("event_id") % 3 == k), "user_id", "event_id", batch=(f"part {k}", 0))
+    return table.read()
+
+
 QUERIES = {
+    "keyed_merge": keyed_merge,
     "metrics_snapshot": metrics_snapshot, "kpis": kpis, "kpis_empty": kpis_empty, "daily_activity": daily_activity, "category_counts": category_counts, "unanswered_top": unanswered_top, "source_performance": source_performance,
     "period_metrics": period_metrics, "running_totals": running_totals, "latency": latency, "health": health, "metrics_schema": metrics_schema, "chat_activity": chat_activity,
     "request_validation": request_validation, "settings_values": settings_values, "payload_answers": payload_answers, "mock_routing": mock_routing, "embedding_text": embedding_text, "stream_metrics": stream_metrics,
@@ -161,6 +173,7 @@ _ANSWERS = "['A', 'R', NULL, 'M', 'N']"
 _SOURCES = "['Verified source=https://a.example/x;B=https://b.example', 'Verified source=https://c.example', NULL, 'Verified source=http://d.example', '']"
 
 ORACLE = {
+    "keyed_merge": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
     "metrics_snapshot": f"SELECT * FROM {_SHOT()}",
     "kpis": _KPIS(_SHOT()),
     "kpis_empty": _KPIS(_SHOT("FALSE")),

@@ -14,7 +14,7 @@ from corvane.functions import lexicon as X
 from corvane.functions import text as T
 from corvane.functions import urls as U
 from corvane.operators import chunk, clean, crawl, state
-from corvane.runtime import widen
+from corvane.runtime import cut, widen
 from corvane.sources import readers, sinks
 
 from . import html_sql as HS
@@ -133,6 +133,28 @@ def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
     return crawl.frontier(edges, p.where("src = 0").select(F.col("src").alias("node")), 5).select(F.col("node").alias("page_id"), "level")
 
 
+def _robots(host: Column) -> Column:
+    """A robots.txt for each host, one of three kinds by the length of its name."""
+    kinds = ["User-agent: *\nAllow: /en/4\nDisallow: /en/\n", "User-agent: *\nDisallow: /en/\nAllow: /en/4\n", "User-agent: other\nDisallow: /\n\nUser-agent: corvane\nDisallow: /de/ # all\nDisallow:\n\nUser-agent: *\nDisallow: /\n"]
+    return F.element_at(F.array(*map(F.lit, kinds)), F.char_length(host) % 3 + 1)
+
+
+def robots_order(spark: SparkSession, d: str) -> DataFrame:
+    """Rules are read from files, and the first that fits decides."""
+    rows = pages(spark, d).select("page_id", "url")
+    files = rows.select(U.bare_host(F.col("url")).alias("host")).distinct().withColumn("body", _robots(F.col("host")))
+    return crawl.allowed_in_order(rows, "url", crawl.robots_rules(files, "corvane/1.0")).select("page_id", "allowed")
+
+
+def link_reach(spark: SparkSession, d: str) -> DataFrame:
+    """All that is reached from page 0 by the pages' own links, from a page to what it links to and on to the pages that link there, until nothing is new."""
+    links = pages(spark, d).select(F.col("page_id").cast("string").alias("page"), F.explode(H.links(F.col("html"))).alias("href")).distinct()
+    edges = links.select(F.col("page").alias("src"), F.concat(F.lit("to "), "href").alias("dst"))
+    edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    start = spark.createDataFrame([("0",)], "node string")
+    return crawl.frontier(cut(edges), start).where(~F.startswith("node", F.lit("to "))).select(F.col("node").cast("long").alias("page_id"), F.lit(True).alias("reached"))
+
+
 def crawl_budget(spark: SparkSession, d: str) -> DataFrame:
     rows = pages(spark, d).select("page_id", U.bare_host(F.col("url")).alias("host"))
     return crawl.budget(rows, "host", 3, "page_id")
@@ -181,7 +203,7 @@ def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_headings(spark: SparkSession, d: str) -> DataFrame:
     rows = clean.clean_html(pages(spark, d).withColumn("title", H.title(F.col("html"))), "html", "markdown")
-    return chunk.chunk_pages(rows, "page_id", "title", "markdown").select("page_id", "seq", "section", "chunk")
+    return chunk.chunk_pages(rows.select("page_id", "title", "markdown"), "page_id", "title", "markdown").select("page_id", "seq", "section", "chunk")
 
 
 def chunk_records(spark: SparkSession, d: str) -> DataFrame:
@@ -247,7 +269,7 @@ def lang_counts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "url_normalize": url_normalize, "url_language": url_language, "url_skip": url_skip, "url_dynamic": url_dynamic, "url_category": url_category, "allow_domain": allow_domain, "robots_filter": robots_filter, "price_predicates": price_predicates,
-    "page_links": page_links, "link_routes": link_routes, "pdf_links": pdf_links, "html_title": html_title, "html_text": html_text, "html_markdown": html_markdown, "fetch_ladder": fetch_ladder, "clean_pages": clean_pages, "crawl_frontier": crawl_frontier, "crawl_budget": crawl_budget,
+    "page_links": page_links, "link_routes": link_routes, "pdf_links": pdf_links, "html_title": html_title, "html_text": html_text, "html_markdown": html_markdown, "fetch_ladder": fetch_ladder, "clean_pages": clean_pages, "crawl_frontier": crawl_frontier, "robots_order": robots_order, "link_reach": link_reach, "crawl_budget": crawl_budget,
     "dedupe_blocks": dedupe_blocks, "noise_blocks": noise_blocks, "clean_texts": clean_texts, "marker_matrix": marker_matrix, "keyword_context": keyword_context,
     "chunk_pack": chunk_pack, "chunk_headings": chunk_headings, "chunk_records": chunk_records, "valid_records": valid_records,
     "content_hash": content_hash, "change_rows": change_rows, "change_report": change_report, "chunk_hash_dedupe": chunk_hash_dedupe, "upsert_merge": upsert_merge, "merge_crawl": merge_crawl, "lang_counts": lang_counts,
@@ -326,6 +348,8 @@ ORACLE = {
     "html_markdown": f"SELECT page_id, CASE WHEN {_CONTENT} THEN {HS.sql('html', HS.MARKDOWN)} ELSE '' END AS markdown FROM pages",
     "fetch_ladder": "SELECT page_id, sha256(CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN url ELSE CASE WHEN page_id % 5 <> 0 THEN 'static' END END) AS body_sha256, CASE page_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE CASE WHEN page_id % 5 <> 0 THEN 2 END END::BIGINT AS attempt FROM pages",
     "clean_pages": f"SELECT page_id, kept || CASE WHEN page_id % 4 = 0 THEN chr(10) || chr(10) || '## Prices' || chr(10) || chr(10) || 'Price: 1200 zł' ELSE '' END AS markdown FROM {_distinct_blocks(f'(SELECT page_id, CASE WHEN {_CONTENT} THEN {HS.sql(chr(104) + chr(116) + chr(109) + chr(108), HS.MARKDOWN)} ELSE {O.q(str())} END AS m FROM pages)', 'page_id', 'm', _NL2)}",
+    "robots_order": "SELECT page_id, CASE length(h) % 3 WHEN 0 THEN starts_with(p, '/en/4') OR NOT starts_with(p, '/en/') WHEN 1 THEN NOT starts_with(p, '/en/') ELSE NOT starts_with(p, '/de/') END AS allowed FROM (SELECT page_id, " + _HOST + " AS h, " + _PATH + " AS p FROM pages)",
+    "link_reach": f"WITH RECURSIVE l AS MATERIALIZED (SELECT DISTINCT page_id, href FROM {_LINKROWS}), hop AS MATERIALIZED (SELECT DISTINCT a.page_id AS src, b.page_id AS dst FROM l a JOIN l b USING (href)), walk AS (SELECT 0::BIGINT AS page_id UNION SELECT dst FROM walk JOIN hop ON src = page_id) SELECT page_id, TRUE AS reached FROM walk",
     "crawl_frontier": "WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), walk AS (SELECT 0::BIGINT AS page_id, 0::BIGINT AS level UNION SELECT (CASE WHEN k = 0 THEN page_id * 2 + 1 ELSE page_id * 3 + 2 END) % n, level + 1 FROM walk, n, (SELECT unnest([0, 1]) AS k) WHERE level < 5) SELECT page_id, min(level) AS level FROM walk GROUP BY page_id",
     "crawl_budget": f"SELECT page_id, host FROM (SELECT page_id, {_HOST} AS host, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) AS n FROM pages) WHERE n <= 3",
     "dedupe_blocks": f"SELECT doc_id, CAST(length(kept) AS BIGINT) AS n_chars, sha256(kept) AS kept_sha256 FROM {_distinct_blocks('documents', 'doc_id', 'text', 'chr(10)')}",
