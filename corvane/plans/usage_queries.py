@@ -149,6 +149,14 @@ def stream_metrics(spark: SparkSession, d: str) -> DataFrame:
     return usage_stream.drain(usage_stream.daily_metrics(stream), "usage_" + uuid.uuid4().hex)
 
 
+def stream_running(spark: SparkSession, d: str) -> DataFrame:
+    """The four running metrics of each day, kept by a stream in a table by day."""
+    stream = usage_stream.event_stream(spark, d, "events.parquet", events(spark, d).schema)
+    at = new_table(spark, "metrics")
+    usage_stream.keep_metrics(usage_stream.running_metrics(stream, _missed(), T.confidence(F.col("value")), F.col("value")), f"{at}/table", f"{at}/checkpoint")
+    return keyed_table.KeyedTable(spark, f"{at}/table").read().drop("version")
+
+
 def keyed_merge(spark: SparkSession, d: str) -> DataFrame:
     """Each user's last event, kept in a table by key: the events come in three merges, the latest first, and one of them twice."""
     rows = events(spark, d).select("user_id", "event_id", "event_type", "value")
@@ -162,7 +170,7 @@ QUERIES = {
     "keyed_merge": keyed_merge,
     "metrics_snapshot": metrics_snapshot, "kpis": kpis, "kpis_empty": kpis_empty, "daily_activity": daily_activity, "category_counts": category_counts, "unanswered_top": unanswered_top, "source_performance": source_performance,
     "period_metrics": period_metrics, "running_totals": running_totals, "latency": latency, "health": health, "metrics_schema": metrics_schema, "chat_activity": chat_activity,
-    "request_validation": request_validation, "settings_values": settings_values, "payload_answers": payload_answers, "mock_routing": mock_routing, "embedding_text": embedding_text, "stream_metrics": stream_metrics,
+    "request_validation": request_validation, "settings_values": settings_values, "payload_answers": payload_answers, "mock_routing": mock_routing, "embedding_text": embedding_text, "stream_metrics": stream_metrics, "stream_running": stream_running,
 }
 
 _CONF = O.confidence("value")
@@ -192,5 +200,6 @@ ORACLE = {
     "payload_answers": f"SELECT conv_id, turn, {_ANSWERS}[conv_id % 5 + 1] AS answer, {_SOURCES}[conv_id % 5 + 1] AS sources, {_ANSWERS}[conv_id % 5 + 1] IS NOT NULL AS success FROM conversations",
     "mock_routing": "SELECT conv_id, turn, CASE WHEN turn > 0 AND trim(text) <> '' THEN ['Test cevabı.', 'Odpowiedź testowa.', 'Odpowiedź testowa.', 'Test response.', 'Test cevabı.', 'Test response.'][conv_id % 6 + 1] END AS reply FROM conversations",
     "embedding_text": "SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN source || chr(10) ELSE '' END || lang || chr(10) || text) AS text_sha256 FROM documents",
+    "stream_running": f"SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS total_questions, coalesce(sum(CASE WHEN {MISSED} THEN 1 ELSE 0 END), 0)::BIGINT AS unanswered_questions, round(coalesce(avg({_CONF}), 0), 4)::DOUBLE AS average_confidence, round(coalesce(avg(value), 0), 2)::DOUBLE AS average_latency_ms FROM events GROUP BY 1",
     "stream_metrics": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
