@@ -107,31 +107,34 @@ def margins(texts: list[str], weights: np.ndarray, bias: np.ndarray) -> np.ndarr
     return out
 
 
-def machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, passes: int = 40, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """A linear support vector machine (squared hinge loss) by dual coordinate descent: weights and bias. y: 1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
+def machine(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, cost: float = 10.0, passes: int = 40, seed: int = SEED) -> tuple[np.ndarray, float]:
+    """A linear support vector machine (squared hinge loss) by dual coordinate descent: weights and bias. y: 1 or -1, for all of x or for these rows of it, which aren't copied."""
+    rows = np.arange(len(x)) if rows is None else rows
+    w, bias, alpha = np.zeros(x.shape[1]), 0.0, np.zeros(len(rows))
     share = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     damp = 0.5 / (cost * share)
-    norm = np.einsum("ij,ij->i", x, x).astype(float) + damp
+    norm = np.array([float(x[r] @ x[r]) for r in rows]) + 1 + damp  # 1 for the bias
     rng = np.random.default_rng(seed)
     for _ in range(passes):
         most = 0.0
-        for i in rng.permutation(len(x)):
-            slope = y[i] * float(x[i] @ w) - 1 + damp[i] * alpha[i]
+        for i in rng.permutation(len(rows)):
+            own = x[rows[i]]
+            slope = y[i] * (float(own @ w) + bias) - 1 + damp[i] * alpha[i]
             if alpha[i] == 0 and slope >= 0:
                 continue
             most = max(most, abs(slope))
             new = max(alpha[i] - slope / norm[i], 0.0)
-            w += (new - alpha[i]) * y[i] * x[i]
+            step = (new - alpha[i]) * y[i]
+            w += step * own
+            bias += step
             alpha[i] = new
         if most < 1e-3:
             break
-    return w[:-1], float(w[-1])
+    return w, bias
 
 
 class Model:
-    """Machines between families and, within each, between languages."""
+    """Machines between families and, within each, between languages. x is scaled in place."""
 
     def __init__(self, x: np.ndarray, langs: list[str]):
         self.langs = sorted(set(langs))
@@ -139,7 +142,7 @@ class Model:
         for code in self.langs:
             self.families.setdefault(family_of(code), []).append(code)
         scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5) if len(x) else np.ones(x.shape[1])
-        z = x * scale.astype(np.float32)
+        z = np.multiply(x, scale.astype(np.float32), out=x if x.flags.writeable else None)  # in the sample's own place, which is large
         own, kin = np.array(langs), np.array([family_of(v) for v in langs])
         self.pairs: list[tuple[str, str, str]] = []
         found = []
@@ -147,7 +150,7 @@ class Model:
         tasks += [(f, a, b, own) for f, codes in sorted(self.families.items()) for a, b in itertools.combinations(codes, 2)]
         for f, a, b, of in tasks:
             rows = np.flatnonzero((of == a) | (of == b))
-            w, c = machine(z[rows], np.where(of[rows] == a, 1.0, -1.0))
+            w, c = machine(z, np.where(of[rows] == a, 1.0, -1.0), rows)
             self.pairs.append((f, a, b))
             found.append((w * scale, c))
         self.weights = np.stack([w for w, _ in found], axis=1) if found else np.zeros((x.shape[1], 0))
@@ -216,10 +219,18 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
     # of very many languages fewer rows each, so that the driver holds a bounded number
     each = max(1, min(per_language, SAMPLE_ROWS // max(1, rows.select("lang").distinct().count())))
-    got = sample(rows, "lang", each).mapInArrow(run, "key string, lang string, x binary").collect()
-    got.sort(key=lambda r: (r["lang"], r["key"]))
-    x = np.stack([np.frombuffer(r["x"], "<f2") for r in got]).astype(np.float32) / 1000 if got else np.zeros((0, len(GRAMS) * BUCKETS), np.float32)
-    return Model(x, [r["lang"] for r in got])
+    got = sample(rows, "lang", each).mapInArrow(run, "key string, lang string, x binary").toArrow()
+    keys, langs = got["key"].to_pylist(), got["lang"].to_pylist()
+    order = sorted(range(len(keys)), key=lambda k: (langs[k], keys[k]))
+    x, place = np.empty((len(keys), len(GRAMS) * BUCKETS), np.float32), np.argsort(np.array(order, np.int64))
+    at = 0
+    for part in got["x"].chunks:
+        for v in part:
+            x[place[at]] = np.frombuffer(v.as_buffer(), "<f2")
+            at += 1
+    del got
+    x /= 1000
+    return Model(x, [langs[k] for k in order])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, list[str]]:
