@@ -24,12 +24,15 @@ BLOCK = 10_000
 def nearest(table: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", same: str | None = None, most: int = BLOCK) -> DataFrame:
     """q, key, similarity (clamped to 0..1), rank of the k nearest rows of every query (q, vector, and `same` if rows must agree in it).
 
-    Ties go by key. Queries are counted, and beyond `most` they go to the tasks block by block.
+    Ties go by key. Queries are counted, and beyond `most` they go to the tasks block by block. With `same`, only rows with the queries' own
+    values are read: of a table that store_by() wrote, only the partitions that hold them.
     """
     return reduce(DataFrame.unionByName, [_nearest(table, block, k, key, vector, same) for block in bounded_queries(queries, most)])
 
 
 def _nearest(table: DataFrame, queries: DataFrame, k: int, key: str, vector: str, same: str | None) -> DataFrame:
+    if same:
+        table = table.where(F.col(same).isin([r[0] for r in queries.select(same).where(F.col(same).isNotNull()).distinct().collect()]))  # no more values than queries in a block
     rows = table.select(F.col(key).alias("key"), F.col(vector).alias("v"), V.norm(F.col(vector)).alias("nv"), *([F.col(same).alias("s")] if same else []))
     own = queries.select("q", F.col("vector").alias("u"), V.norm(F.col("vector")).alias("nu"), *([F.col(same).alias("s")] if same else []))
     # the rows of a query never meet in one task before each task has kept its own k of them
@@ -39,6 +42,13 @@ def _nearest(table: DataFrame, queries: DataFrame, k: int, key: str, vector: str
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def store_by(table: DataFrame, path: str, same: str, files: int = 1) -> DataFrame:
+    """The table stored in partitions by a column (a language, say), each in as many files; what is read back."""
+    dealt = table.withColumn("_file", F.pmod(F.xxhash64(*[c for c in table.columns if c != same][:1]), F.lit(files)))
+    dealt.repartition(F.col(same), F.col("_file")).drop("_file").write.mode("overwrite").partitionBy(same).parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def bounded_queries(queries: DataFrame, most: int = BLOCK) -> list[DataFrame]:
     """Queries in blocks of a checked size, for tables of queries of any length."""
     n = queries.count()

@@ -171,8 +171,20 @@ def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     return near(vector.nearest(embeddings(spark, d), _query(spark, d, F.col("vec_id") == 0), 50))
 
 
+#: The vector tables that an application has stored by label, by the version of what they were made of.
+_LABELS: dict[tuple, DataFrame] = {}
+
+
+def by_label(spark: SparkSession, d: str) -> DataFrame:
+    """The embeddings in partitions by their label, stored on first use."""
+    key = (spark.sparkContext.applicationId, version_of(spark, f"{d}/embeddings.parquet"))
+    if key not in _LABELS:
+        _LABELS[key] = vector.store_by(spark.read.parquet(f"{d}/embeddings.parquet"), new_table(spark, "labels"), "label")
+    return _LABELS[key]
+
+
 def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return near(vector.nearest(embeddings(spark, d), _query(spark, d, F.col("vec_id") == 0), 50, same="label"))
+    return near(vector.nearest(by_label(spark, d), _query(spark, d, F.col("vec_id") == 0), 50, same="label"))
 
 
 def knn_batch(spark: SparkSession, d: str) -> DataFrame:

@@ -114,3 +114,16 @@ def test_a_table_written_again_has_another_version(spark, tmp_path):
     assert version_of(spark, f"{tmp_path}/t") == one
     spark.range(3).write.mode("overwrite").parquet(f"{tmp_path}/t")
     assert version_of(spark, f"{tmp_path}/t") != one
+
+
+def test_only_the_partitions_of_asked_values_are_read(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [1.0, i / 9], "abc"[i % 3] if i % 7 else None) for i in range(40)], "vec_id long, embedding array<float>, lang string")
+    stored = vector.store_by(rows, f"{tmp_path}/t", "lang")
+    assert sorted(map(str, stored.collect())) == sorted(map(str, rows.collect()))
+    q = spark.createDataFrame([(1, [1.0, 0.0], "b"), (2, [0.0, 1.0], "b"), (3, [1.0, 1.0], None), (4, [1.0, 1.0], "zz")], "q long, vector array<float>, lang string")
+    got = vector.nearest(stored, q, 3, same="lang")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, vector.nearest(rows, q, 3, same="lang").collect()))
+    assert {r["q"] for r in got.collect()} == {1, 2}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "lang" in filters and "IN (b,zz)" in filters
