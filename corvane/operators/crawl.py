@@ -101,19 +101,41 @@ def route(links: DataFrame, url: str, domains: list[str]) -> DataFrame:
 def frontier(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
     """Breadth-first levels: node, level of all nodes that `start` (node) reaches over edges (src, dst), within `depth` steps if that is given.
 
-    Each round joins the last level only and drops what was visited; its result is stored, so rounds don't compute each other again.
+    Each round joins the last level only and drops what was visited; its result is stored, so rounds don't compute each other again. While a level, and what
+    it leads to, are narrow rows of a checked number (FEW), they go to the edges and to the visited nodes, which stay where they are: what is exchanged follows the
+    frontier. A wider level is joined by an exchange. Null nodes lead nowhere and aren't reached.
     """
-    last = cut(start.select("node").distinct().withColumn("level", F.lit(0).cast("long")))
-    seen = last
+    last = cut(start.select("node").where("node is not null").distinct().withColumn("level", F.lit(0).cast("long")))
+    seen, size = last, last.count()
     for n in count(1) if depth is None else range(1, depth + 1):
-        step = last.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        last = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(n).cast("long")))
-        if last.isEmpty():
+        step = cut(_steps(edges, last, size).distinct())
+        wide = step.count()
+        last = cut(step.join(_small(_known(seen, step, wide), wide), "node", "left_anti").withColumn("level", F.lit(n).cast("long")))
+        size = last.count()
+        if not size:
             break
         seen = seen.unionByName(last)
     return seen
 
 
+#: Nodes up to which a level goes to all tasks, some 50 bytes each.
+FEW = 1_000_000
+
+
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= FEW else rows
+
+
+def _steps(edges: DataFrame, last: DataFrame, n: int) -> DataFrame:
+    """The nodes that a level of n leads to."""
+    return edges.join(_small(last, n), F.col("node") == F.col("src")).where("dst is not null").select(F.col("dst").alias("node"))
+
+
+def _known(seen: DataFrame, step: DataFrame, n: int) -> DataFrame:
+    """Those of n distinct nodes that were visited; no more than n rows."""
+    return seen.select("node").join(_small(step, n), "node", "left_semi")
+
+
 def budget(visits: DataFrame, per: str, most: int, *order: str) -> DataFrame:
     """The first `most` visits for each value of `per`: a crawl's allowance."""
     return visits.withColumn("_n", F.row_number().over(W.partitionBy(per).orderBy(*order))).where(F.col("_n") <= most).drop("_n")

@@ -58,3 +58,15 @@ def test_embed_stream(spark, tmp_path):
     assert {k: r["body"] for k, r in rows.items()} == {1: "z", 2: "c"}
     assert list(rows[1]["v"]) == pytest.approx(inner(["z"])[0])
     assert calls.value == 3
+
+
+def test_rounds_exchange_the_frontier_only(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(6)] + [(3, 0), (2, None), (None, 5)], "src long, dst long")
+    start = spark.createDataFrame([(0,), (None,)], "node long")
+    want = [(k, k) for k in range(7)]
+    assert sorted(map(tuple, crawl.frontier(edges, start).collect())) == want
+    seen, step = crawl.frontier(edges, start), start.select("node")
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (crawl._known(seen, step, 2), crawl._steps(edges, step, 2))]
+    assert all("Exchange hashpartitioning" not in p and "BroadcastExchange" in p for p in plans)
+    monkeypatch.setattr(crawl, "FEW", 0)  # wider levels are joined by an exchange
+    assert sorted(map(tuple, crawl.frontier(edges, start).collect())) == want
