@@ -39,8 +39,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op5_decontaminate": ORACLE_OP5,
     "op10_repeats": ORACLE_OP10,
-    "op11_minhash": op11_minhash,
-    "op12_alignment": op12_alignment,
     "op11_minhash": ORACLE_OP11,
     "op13_centroids": ORACLE_OP13,
 }
