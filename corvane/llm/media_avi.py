@@ -14,7 +14,7 @@ exceeds both a floor and the mean of the last differences plus THREE standard de
 
 Cases: null and empty texts become one frame of zeros (64 bytes of payload); the last frame is filled up
 with zeros, which the note's length takes off again; equal texts give equal files; repeated rows are kept;
-an empty table gives no rows; bytes that are no AVI file of this kind raise ValueError.
+an empty table gives no rows; a very long text is one file, held whole in one worker; bytes that are no AVI file of this kind raise ValueError.
 """
 
 from __future__ import annotations
@@ -29,12 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import quoted, ship
+from .common import new_table, quoted, ship
 from .jpeg_baseline import is_baseline, luma
 
 BLOCK = 64
 WIDTH, HEIGHT, RATE = 64, 32, 25
 LEVELS, FLOOR, THREE, MEMORY = 16, 0.25, 3.0, 8
+#: Bytes of files that leave a worker at once, and bytes (once compressed) and files of a row group of the stored table.
+SENT_BYTES, GROUP_BYTES, GROUP_FILES = 2 << 20, 8 << 20, 64
 
 # ---- lossless JPEG ----
 
@@ -327,14 +329,23 @@ def to_avi(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 256):  # small batches: media are large
-                part = b.slice(i, 256)
-                texts = part.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array([avi_write(padded(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
+            ids, texts, i = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
+            while i < len(ids):  # by bytes: media are larger than their texts, some much
+                sizes, media, a = [], [], i
+                while i < len(ids) and (i == a or sum(map(len, media)) < SENT_BYTES):
+                    sizes.append(len((texts[i] or "").encode("utf-8", "surrogatepass")))
+                    media.append(avi_write(padded(texts[i])))
+                    i += 1
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:i], pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def write_media(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
+    """The texts' files as a table at path: doc_id, n_bytes, media. Its row groups are small, as one is held whole where it is written or read."""
+    to_avi(docs, key, text).write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).option("parquet.block.row.count.limit", GROUP_FILES).option("parquet.page.size.row.check.min", 1).parquet(path)
+
+
 def clip_rows(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
     """One row for each clip of each file: doc_id, clip, first_frame, n_frames, start_s, end_s."""
     ship(media.sparkSession)
@@ -365,18 +376,21 @@ def features(media: bytes) -> dict:
     }
 
 
-def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes and the features of every text's file; a file lives in its task until it has been read back."""
-    ship(docs.sparkSession)
-    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, n_bytes and the features of every file that write_media() has stored at path."""
+    ship(spark)
+    kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [{"doc_id": i, "n_bytes": len((t or "").encode("utf-8", "surrogatepass")), **features(avi_write(padded(t)))} for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], kind) for k, kind in kinds.items()})
+            rows = [features(x.as_py()) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[k] for r in rows], kind) for k, kind in kinds.items())], names=["doc_id", "n_bytes", *kinds])
 
-    return docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    stored = spark.read.parquet(path).select("doc_id", "n_bytes", "media")
+    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    at = new_table(spark, "media")
+    write_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), at)
+    return read_features(spark, at)

@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from corvane.llm import media_avi as M
@@ -75,6 +76,45 @@ def test_bad_files(bad):
         M.Avi(bad)
 
 
+def plain_feature(payload):
+    """The feature of a payload by loops over its frames, without any file."""
+    n = M.WIDTH * M.HEIGHT
+    frames = [payload[i : i + n].ljust(n, b"\0") for i in range(0, len(payload), n)]
+    levels = [[sum(x * 16 // 256 == k for x in f) / n for k in range(16)] for f in frames]
+    diff = [sum(abs(x - y) for x, y in zip(a, b, strict=True)) / 2 for a, b in zip(levels, levels[1:], strict=False)]
+    begin = [0]
+    for i, d in enumerate(diff):
+        last = diff[max(0, i - M.MEMORY) : i]
+        mean = sum(last) / max(1, len(last))
+        spread = max(0.0, sum(x * x for x in last) / max(1, len(last)) - mean * mean) ** 0.5
+        if d > max(M.FLOOR, mean + M.THREE * spread):
+            begin.append(i + 1)
+    return f"{M.WIDTH}x{M.HEIGHT}@25 frames={len(frames)} shots={len(begin)} at=" + ",".join(f"{a / 25:.2f}" for a in begin)
+
+
+def test_features_against_plain_loops(spark, written, odd_rows):
+    rows = [*odd_rows, (900, "a" * 20480 + "Z" * 20480), (901, "".join(chr(33 + k // 900 % 90) for k in range(40000)))]
+    want = {(i, t): plain_feature(M.padded(t)) for i, t in rows}
+    assert any("shots=1 " not in f for f in want.values())
+    got = M.op8_media(spark, written(rows)).collect()
+    assert sorted((r["doc_id"] or -1, r["feature"]) for r in got) == sorted((i or -1, want[i, t]) for i, t in rows)
+
+
+def test_stored_files(spark, tmp_path):
+    """The table holds the files themselves; row groups are bounded though rows are large."""
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.integers(33, 120, 300_000).astype(np.uint8).tobytes().decode()) for k in range(100, 160)] + [(k, "x" * k) for k in range(200, 500)] + [(1, None)]
+    at = str(tmp_path / "media")
+    M.write_media(make_docs(spark, rows).coalesce(1), at)
+    stored = {r["doc_id"]: bytes(r["media"]) for r in spark.read.parquet(at).collect()}
+    assert stored == {i: M.avi_write(M.padded(t)) for i, t in rows}
+    (file,) = (tmp_path / "media").glob("*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    groups = [meta.row_group(k) for k in range(meta.num_row_groups)]
+    assert max(g.total_byte_size for g in groups) < 3 * M.GROUP_BYTES and max(g.num_rows for g in groups) <= M.GROUP_FILES
+    assert M.clip_rows(spark.read.parquet(at)).select("doc_id").distinct().count() == len(rows)
+
+
 def test_query(spark, written, odd_rows):
     got = M.op8_media(spark, written(odd_rows)).collect()
     want = []
