@@ -14,8 +14,8 @@ at the same offset, so windows are compared through their anchors' suffixes.
    equal on both sides are exactly the repeated windows; all but the earliest are marked. Windows that
    are first within their part go on, with the bytes around their anchor.
 4. What parts send is sorted again in the same way, grouped by first digit. A first digit with more than
-   HOT occurrences is not gathered: its windows go one by one with their bytes, dealt by a hash of them and compared
-   byte by byte, so equal windows have one row for each part at most.
+   HOT occurrences is not gathered: its windows go one by one with their bytes, dealt by a hash of them, in order of documents
+   and places, and compared byte by byte with the first as they pass. Equal windows have one row for each part at most, and none is held.
 5. The marked ranges return to their part, where they are merged and cut.
 
 In text of a period of PERIOD bytes or less (a long line of dashes) windows that repeat the one just before them are marked before
@@ -45,6 +45,10 @@ from .common import new_table, quoted, ship
 WINDOW, GRAM = 100, 32
 #: Bytes of text in one part, parts in one bucket of the table, occurrences from which a first digit is hot.
 PART_BYTES, PER_BUCKET, HOT = 1 << 20, 8, 20_000
+#: Buckets of the table at most (Spark takes no more than 100,000); of more text each holds more parts, which are still taken one by one.
+MOST_BUCKETS = 1 << 16
+#: Parts at most, as their numbers have 32 bits; beyond (2 PB) parts grow.
+MOST_PARTS = (1 << 31) - 1
 #: Positions that are hashed at once; periods up to which repeats of the text just before are told without sorting.
 CHUNK, PERIOD = 1 << 19, 16
 NO_ID = (1 << 63) - 1
@@ -302,20 +306,41 @@ def _sort_part(window: int, gram: int):
     return run
 
 
+class Again:
+    """Tells which windows have come before, of rows in order of (hash, rank); holds one window of a hash, and those that share its hash."""
+
+    def __init__(self, window: int):
+        self.g = np.empty(0, np.int64)
+        self.first = np.empty((0, window), np.uint8)
+        self.others: set[tuple[int, bytes]] = set()
+
+    def of(self, g: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        held = len(self.g)
+        g, windows = np.concatenate([self.g, g]), np.concatenate([self.first, windows])
+        begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        lead = np.repeat(begin, np.diff(np.concatenate([begin, [len(g)]])))
+        same = (windows == windows[lead]).all(axis=1)
+        again = same & (lead != np.arange(len(g)))
+        for k in np.flatnonzero(~same).tolist():
+            key = int(g[k]), windows[k].tobytes()
+            again[k] = key in self.others
+            self.others.add(key)
+        self.g, self.first = g[begin[-1:]], windows[begin[-1:]]
+        self.others = {x for x in self.others if x[0] == int(g[-1])}
+        return again[held:]
+
+
 def _sort_moved(window: int, gram: int):
-    """Rows come sorted by g, which never parts equal windows; whole groups are judged together."""
-    before = window - gram
+    """Rows come sorted by (g, id, tie, start); g never parts equal windows.
 
-    def judge(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        kinds = (t["context"].is_null().to_numpy(), t["window"].is_null().to_numpy())
+    Suffixes of one g are judged together, `hot` of them at most. Windows are judged as they pass, however many are equal.
+    """
+    before = window - gram
 
-        def out(part, doc, start, stop):
-            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(doc, pa.int32()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["part", "doc", "start", "stop"])
+    def out(part, doc, start, stop):
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(doc, pa.int32()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["part", "doc", "start", "stop"])
 
-        done = t.filter(pa.array(kinds[0] & kinds[1]))
-        if done.num_rows:
-            yield from done.select(["part", "doc", "start", "stop"]).combine_chunks().to_batches()
-        around = t.filter(pa.array(~kinds[0]))
+    def judge(around: pa.Table) -> Iterator[pa.RecordBatch]:
         if around.num_rows > 1:
             at, ident, tie = (around[c].to_numpy() for c in ("start", "id", "tie"))
             order = np.lexsort((at, tie, ident))
@@ -324,20 +349,25 @@ def _sort_moved(window: int, gram: int):
             at, part, doc = at[order], around["part"].to_numpy()[order], around["doc"].to_numpy()[order]
             row, start, stop = spans_of(repeated(context, mask, gram), at, window)
             yield out(part[row], doc[row], start, stop)
-        single = t.filter(pa.array(~kinds[1]))
-        if single.num_rows > 1:
-            ident, tie, at = (single[c].to_numpy() for c in ("id", "tie", "start"))
-            order = np.lexsort((at, tie, ident))
-            place, shared = radix(np.frombuffer(b"".join(single["window"].to_pylist()), np.uint8).reshape(-1, window)[order])
-            again = order[place[shared == window]]
-            yield out(single["part"].to_numpy()[again], single["doc"].to_numpy()[again], at[again], at[again] + window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
+        passed = Again(window)
         for b in batches:
-            if not b.num_rows:
-                continue
             t = pa.Table.from_batches([b])
+            no_context, no_window = t["context"].is_null().to_numpy(), t["window"].is_null().to_numpy()
+            done = t.filter(pa.array(no_context & no_window))
+            if done.num_rows:
+                yield from done.select(["part", "doc", "start", "stop"]).combine_chunks().to_batches()
+            single = t.filter(pa.array(~no_window))
+            if single.num_rows:
+                again = passed.of(single["g"].to_numpy(), np.frombuffer(b"".join(single["window"].to_pylist()), np.uint8).reshape(-1, window))
+                if again.any():
+                    at = single["start"].to_numpy()[again]
+                    yield out(single["part"].to_numpy()[again], single["doc"].to_numpy()[again], at, at + window)
+            t = t.filter(pa.array(~no_context))
+            if not t.num_rows:
+                continue
             g = t["g"].to_numpy()
             cut = int(np.searchsorted(g, g[-1]))
             if held and not (cut == 0 and held[-1]["g"][-1].as_py() == g[-1]):
@@ -430,7 +460,13 @@ def _loose(docs: DataFrame, names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, loose(docs.schema[c].dataType)) for c in names])
 
 
-def distinct_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, rest: list[str] | None = None, part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
+def layout(total: int, part_bytes: int = PART_BYTES, most_buckets: int = MOST_BUCKETS) -> tuple[int, int]:
+    """Into how many parts `total` bytes of text are dealt, and how many buckets hold these."""
+    parts = min(MOST_PARTS, max(1, -(-total // part_bytes)))
+    return parts, min(most_buckets, -(-parts // PER_BUCKET))
+
+
+def distinct_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, rest: list[str] | None = None, part_bytes: int = PART_BYTES, hot: int = HOT, most_buckets: int = MOST_BUCKETS) -> DataFrame:
     """One row for each distinct text of window bytes or more: sha, id (its smallest), n_removed, n_spans, kept_sha256.
 
     rest: names of columns; then also kept (the text without what repeats, and without characters that a cut broke) and
@@ -440,8 +476,7 @@ def distinct_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     ship(spark)
     rows = docs.select(quoted(key).cast("long").alias("id"), quoted(text).alias("text"), *([F.struct(*[quoted(c).alias(c) for c in rest]).cast(_loose(docs, rest)).alias("rest")] if rest else []))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-total // part_bytes))
-    buckets = max(1, -(-parts // PER_BUCKET))
+    parts, buckets = layout(total, part_bytes, most_buckets)
     where = new_table(spark, "texts")
     name = "corvane_" + where.rpartition("-")[2]
     more = [rows.schema["rest"]] if rest else []
@@ -453,7 +488,7 @@ def distinct_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     counted = first.withColumn("all", F.sum("n").over(W.partitionBy("h"))).where("all > 1")
     counted = counted.select("part", "h", (F.col("all") > hot).alias("hot"), (F.col("all") > F.col("n")).alias("elsewhere"))
     moved = plain.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_sort_part(window, gram), MOVED)
-    spans = moved.repartition(F.col("g")).sortWithinPartitions("g").mapInArrow(_sort_moved(window, gram), SPANS)
+    spans = moved.repartition(F.col("g")).sortWithinPartitions("g", "id", "tie", "start").mapInArrow(_sort_moved(window, gram), SPANS)
     return texts.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_cut_part(window, bool(rest)), _schema(CUT + ", kept string" * bool(rest), more))
 
 

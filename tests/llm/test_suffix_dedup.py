@@ -61,6 +61,36 @@ def test_without_repeats(spark):
     assert got[1]["text"] == a and got[2]["text"] == b + c and got[2]["shard"] == 5 and got[2]["a.b"] == "x"
 
 
+def test_layout():
+    """Spark takes 100,000 buckets at most; parts stay small at any size of text."""
+    assert S.layout(0) == (1, 1) and S.layout(S.PART_BYTES * 9) == (9, 2)
+    for parts in (10**6, 10**8):
+        n, buckets = S.layout(parts * S.PART_BYTES)
+        assert n == parts and buckets <= 100_000
+    assert S.layout(1 << 60)[0] < 1 << 31
+
+
+@pytest.mark.parametrize("hot", [2, S.HOT])
+def test_many_parts_in_a_bucket(spark, odd_rows, hot):
+    got = S.removed(make_docs(spark, odd_rows), part_bytes=512, hot=hot, most_buckets=3)
+    assert plain(got.collect()) == brute(odd_rows, 100)
+
+
+def test_hot_windows_pass_in_batches():
+    """Equal windows over many batches, and different windows of one hash, against a plain loop."""
+    rng = random.Random(5)
+    rows = sorted((rng.randrange(4), k, rng.choice([b"aaaa", b"bbbb", b"cccc"])) for k in range(400))
+    for size in (1, 7, 400):
+        passed, got = S.Again(4), []
+        for a in range(0, len(rows), size):
+            some = rows[a : a + size]
+            got += passed.of(np.array([g for g, *_ in some]), np.frombuffer(b"".join(w for *_, w in some), np.uint8).reshape(-1, 4)).tolist()
+            assert len(passed.first) == 1 and len(passed.others) <= 2
+        seen = set()
+        want = [(g, w) in seen or seen.add((g, w)) is not None for g, _, w in rows]
+        assert got == want
+
+
 def test_radix():
     rng = np.random.default_rng(0)
     rows = rng.integers(0, 3, (300, 21)).astype(np.uint8)
