@@ -8,7 +8,9 @@ small bitmaps of all their shingles don't rule it out; they are then compared on
 
 Only connections matter. At first each set is compared with one of those that it meets at a shingle, and the pairs of the
 fingerprints' links count as connected; then all pairs that meet and aren't connected yet. So a large group of near copies doesn't
-give all its pairs. Groups of one shingle are cut into blocks of BLOCK rows, and a task takes two blocks at a time.
+give all its pairs. Groups of one shingle are cut into blocks of BLOCK rows, and a task takes two blocks at a time, so a row goes out
+once for each block; where these would be more than CROWD, the group is parted by a second shingle. Sets that must share two have the
+first two that they share among their first n - ceil(LEAST * n) + 2, so a row goes out once for each of these that stands after the first.
 
 A set's id (sid) is a hash of 64 bits and no more than a key: what is compared and linked are the texts of all fingerprints
 that have it, so two sets with one id are not taken for one.
@@ -19,7 +21,7 @@ nulls, ties, repeated rows and clashing names are as in simhash; an empty table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -37,6 +39,8 @@ WIDTH, LEAST = 5, 0.8
 OFTEN, MOST = 64, 1 << 20
 #: Rows of a block of a group, rows of groups that are paired by shifting; words hashed at once, bytes from which a word's digest stands for it.
 BLOCK, SMALL, WORDS, LONG = 20_000, 16, 100_000, 64
+#: Blocks from which a group is parted by a second shingle.
+CROWD = 32
 BASE = 0x9E3779B97F4A7C15
 #: Bits to which bitmaps are folded to compare many at once: the fewest that any has, and more for larger sets.
 FOLDED = (256, 1024)
@@ -353,6 +357,48 @@ def _similar(width: int, least: float):
     return run
 
 
+def _seconds(texts: DataFrame, width: int, least: float, common: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """(sid, second, place) of the shingles of each set (sid, text) in which those that share two have the first two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(width)
+        for b in batches:
+            parts = [np.empty(0, np.uint64)]
+            for x in b.column(1):
+                found = shingles.of(simhash.words_of(x.as_py()))
+                parts.append(in_order(found, common, rank)[: len(found) - int(needed(len(found), least)) + 2])
+            many = np.array([len(p) for p in parts[1:]], np.int64)
+            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            sid = np.repeat(b.column(0).to_numpy(zero_copy_only=False), many)
+            yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(np.concatenate(parts).view(np.int64)), pa.array(place)], names=["sid", "second", "place"])
+
+    return texts.select("sid", "text").mapInArrow(run, "sid long, second long, place long")
+
+
+def _parted(rooted: DataFrame) -> DataFrame:
+    """h and rows of groups with sets that aren't connected."""
+    return rooted.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("h", "rows")
+
+
+def _blocks(rooted: DataFrame, least: float, seconds: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(h, lo, hi, sid, root, at, block): rows (h, sid, root, at) once for each pair of blocks; seconds: _seconds() of sets (sid)."""
+    groups = cut(_parted(rooted))
+    crowded = groups.where(F.col("rows") > CROWD * BLOCK).select("h")
+    if not crowded.isEmpty():
+        crowded = few(crowded)
+        members = cut(rooted.join(crowded, "h"))
+        after = seconds(members.select("sid").distinct())
+        apart = members.join(after, "sid").where(F.col("place") > F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)))
+        apart = apart.select(F.xxhash64("h", "second").alias("h"), "sid", "root", "at")
+        # sets so small that one shingle is enough stay
+        alone = members.where(F.ceil(F.round(F.shiftright("at", 32) * F.lit(least), 6)) < 2).select("h", "sid", "root", "at")
+        rooted = cut(rooted.join(crowded, "h", "left_anti").select("h", "sid", "root", "at").unionByName(apart).unionByName(alone))
+        groups = cut(_parted(rooted))
+    blocks = rooted.join(groups.select("h", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "h")
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return blocks.select("h", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "sid", "root", "at", "block")
+
+
 def _links(docs: DataFrame, marks: DataFrame, near: DataFrame, text: str, width: int, least: float) -> DataFrame:
     """The links (a, b) of fingerprints between similar sets; near: the fingerprints' own."""
     none = np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -382,9 +428,13 @@ def _links(docs: DataFrame, marks: DataFrame, near: DataFrame, text: str, width:
     roots = cut(connected_components(near.unionByName(found))).withColumnRenamed("node", "fp")
     roots = sets.join(roots, "fp", "left").select("sid", F.coalesce("root", "fp").alias("root"))
     rooted = cut(meet.join(roots, "sid"))
-    parted = rooted.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("h", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    blocks = rooted.join(parted, "h").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.select("h", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "sid", "root", "at", "block")
+
+    def seconds(sids: DataFrame) -> DataFrame:
+        wanted = sets.select("sid", "fp", "row").join(sids, "sid")
+        texts = keyed.join(few(wanted), "row").groupBy("sid", "fp").agg(F.first("text").alias("text"))
+        return _seconds(texts, width, least, *common).distinct()
+
+    blocks = _blocks(rooted, least, seconds)
     blocks = blocks.join(sets.select("sid", "bits").distinct(), "sid").select(*blocks.columns, "bits")
     pairs = blocks.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi", "at").mapInArrow(_other_pairs(least), "s long, t long")
     left = cut(pairs.distinct().join(tried, ["s", "t"], "left_anti"))

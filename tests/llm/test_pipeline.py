@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
+from corvane.llm import shingle_links
 
 from .test_decontam import brute as leaks
 from .test_simhash import brute_components, brute_fp
@@ -77,7 +79,11 @@ def test_near_dedup_ties(spark):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in out) == [(-1, "a third text"), (-1, "other words at all"), (1, "same words here")]
 
 
-def test_near_dedup_by_shingles(spark, words):
+@pytest.mark.parametrize(("block", "crowd"), [(shingle_links.BLOCK, shingle_links.CROWD), (7, 1000), (3, 1)])
+def test_near_dedup_by_shingles(spark, words, monkeypatch, block, crowd):
+    """Small blocks and crowds take the ways of large groups."""
+    monkeypatch.setattr(shingle_links, "BLOCK", block)
+    monkeypatch.setattr(shingle_links, "CROWD", crowd)
     rng = random.Random(33)
     say = lambda n: [rng.choice(words) for _ in range(n)]
     line, texts = say(12), []
@@ -100,3 +106,40 @@ def test_near_dedup_by_shingles(spark, words):
     assert far > 5
     out = C.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted(r["doc_id"] for r in out) == sorted(set(part))
+
+
+def test_crowded_groups(spark, words, monkeypatch):
+    """Short texts, each of whose few first shingles many others have, too."""
+    rng = random.Random(44)
+    base = [rng.choice(words) for _ in range(30)]
+    texts = []
+    for k in range(120):
+        w = list(base)
+        for _ in range(k % 9):
+            w[rng.randrange(30)] = rng.choice(words)
+        texts.append(" ".join(w))
+    monkeypatch.setattr(shingle_links, "BLOCK", 2)
+    monkeypatch.setattr(shingle_links, "CROWD", 2)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.lower().split() for t in texts)]
+    part = list(range(len(texts)))
+    fps = [brute_fp(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared) or (fps[i] ^ fps[j]).bit_count() <= 3:
+                part = [min(part[i], part[j]) if p in (part[i], part[j]) else p for p in part]
+    out = C.near_duplicates(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA), "").collect()
+    assert 20 < len(set(part)) < 110
+    assert sorted(r["doc_id"] for r in out) == sorted(set(part))
+
+
+def test_rows_of_a_large_group(spark):
+    """A million unlike sets at one shingle go out a bounded number of times."""
+    n, size = 1_000_000, 12
+    rooted = spark.range(n).selectExpr("5L h", "id sid", "id root", f"shiftleft({size}L, 32) at")
+
+    def seconds(sids):
+        return sids.selectExpr("sid", "explode(sequence(0L, 3L)) place").withColumn("second", F.xxhash64("sid", "place")).select("sid", "second", "place")
+
+    assert n / shingle_links.BLOCK > shingle_links.CROWD
+    assert shingle_links._blocks(rooted, 0.8, seconds).count() <= 4 * n
