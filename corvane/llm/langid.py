@@ -14,6 +14,7 @@ teach nothing; repeated rows are judged alike; an empty table gives no rows; onl
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import added, quoted, ship
+from .common import added, few, quoted, ship
 
 PER_LANGUAGE, SEED = 400, 5
 #: Rows of all languages together that may be learned from; the driver holds 48 kB for each.
@@ -196,9 +197,10 @@ def may_teach(key: str) -> Column:
 def sample(rows: DataFrame, by: str, each: int, seed: int = SEED) -> DataFrame:
     """At most `each` rows for every value of column `by`, the least by a seeded hash of column `key`."""
     counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    h = F.xxhash64(F.lit(seed), F.col("key"))
-    # one row for each value; a first cut by the hash leaves little to sort
-    near = rows.join(F.broadcast(counts), by).where(F.pmod(h, F.lit(1_000_000)) < F.greatest(F.lit(100), F.ceil(F.lit(1_500_000 * each) / F.col("n"))))
+    h = F.pmod(F.xxhash64(F.lit(seed), F.col("key")), F.lit(1 << 40))
+    # a first cut by the hash leaves little to sort: eight standard deviations more than are wanted pass, and all rows of a small value
+    passing = each + 8 * math.ceil(math.sqrt(each)) + 32
+    near = rows.join(few(counts), by).where((F.col("n") <= passing) | (h / F.lit(1 << 40) < F.lit(passing) / F.col("n")))
     order = W.partitionBy(by).orderBy(h, F.col("key"))
     return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select(*rows.columns)
 

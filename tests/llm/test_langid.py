@@ -49,6 +49,16 @@ def test_nothing_to_learn(spark):
     assert L.identify(docs.limit(0), one)[0].count() == 0
 
 
+@pytest.mark.parametrize("each", [1, 4, 8])
+def test_sample_is_complete(spark, each):
+    """Every value of many gets all the rows that it is due, the least by the seeded hash."""
+    rows = spark.range(200_000).selectExpr("cast(id as string) key", "id % 200 lang")
+    got = {r["lang"]: r["count"] for r in L.sample(rows, "lang", each).groupBy("lang").count().collect()}
+    assert got == dict.fromkeys(range(200), each)
+    first = rows.where("lang = 7").orderBy(F.pmod(F.xxhash64(F.lit(L.SEED), F.col("key")), F.lit(1 << 40)), "key").limit(each)
+    assert sorted(first.collect()) == sorted(L.sample(rows, "lang", each).where("lang = 7").collect())
+
+
 def test_sample_is_bounded(spark):
     rows = spark.range(5000).select(F.col("id").alias("key"), (F.col("id") % 10 == 0).cast("string").alias("lang"))
     got = {r["lang"]: r["count"] for r in L.sample(rows, "lang", 300).groupBy("lang").count().collect()}
