@@ -15,11 +15,27 @@ _ONE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
 _MORE = {c: f for c, f in _FOLDS.items() if len(f) > 1}
 
 
+def _ranges(chars: str) -> str:
+    """A pattern of any of these characters, as ranges: a class that lists many single ones is tried one by one."""
+    runs: list[list[int]] = []
+    for x in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == x - 1:
+            runs[-1][1] = x
+        else:
+            runs.append([x, x])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]"
+
+
+#: Those of several but the German one, which is common and replaced by itself.
+_RARE = _ranges("".join(c for c in _MORE if c != "ß"))
+
+
 def casefold(c: Column) -> Column:
     """Full case folding, as Unicode has it; texts of ASCII take the short way."""
     several = F.create_map(*[F.lit(x) for pair in _MORE.items() for x in pair])
+    c = F.replace(c, F.lit("ß"), F.lit("ss"))
     spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(several, x), x)), "")
-    whole = F.when(c.rlike("[" + "".join(_MORE) + "]"), spelled).otherwise(c)
+    whole = F.when(c.rlike(_RARE), spelled).otherwise(c)
     return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(whole, "".join(_ONE), "".join(_ONE.values()))).otherwise(F.lower(c))
 
 

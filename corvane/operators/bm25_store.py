@@ -1,8 +1,8 @@
-"""A BM25 index that is kept up to date: segments of postings, marks of what is gone, and sums that add up.
+"""A BM25 index that is kept up to date: segments of chunks with their counted terms, marks of what is gone, and sums that add up.
 
 An update writes one segment with the new chunks, and marks of the chunks that it replaces or takes away; what was written before stays as it is.
-A segment has its postings in partitions by a hash of the term, and its chunks with their distinct terms in partitions by a hash of the key, so replaced
-chunks are found without a scan of the postings. Statistics (n, total length, chunks by language, document frequencies) are kept as what each
+A segment has its chunks, a row each (bm25.counted), in partitions by a hash of the key, in as many files each as it takes to hold A_FILE of them, so replaced
+chunks are found without a scan of the others. A search reads each row once and exchanges no postings (bm25.best_rows). Statistics (n, total length, chunks by language, document frequencies) are kept as what each
 update adds and takes away, so all searches of a version see the same numbers as an index that is built anew. compact() merges the small segments and drops marks.
 
 A version names its segments and marks, and is committed as in sources.versions: an update that loses the race is worked out again upon the winner.
@@ -22,9 +22,8 @@ from corvane.operators import bm25, state
 from corvane.runtime import cut
 from corvane.sources.versions import VersionLog
 
-#: Partitions of a segment's postings and of its chunks.
-PARTS = 32
-_POSTING = "key {0}, ord {1}, language string, dl long, term string, tf long, mtf long, part int"
+#: Partitions of a segment's chunks, and chunks in one of their files.
+PARTS, A_FILE = 32, 16_000
 
 
 class Store:
@@ -39,11 +38,11 @@ class Store:
 
     # ---- reading ----
 
-    def _read(self, v: dict, what: str, parts: list[int] | None = None) -> DataFrame:
-        """Rows of all segments, with the segment of each; parts: only these partitions."""
+    def _read(self, v: dict, parts: list[int] | None = None) -> DataFrame:
+        """Chunks of all segments, with the segment of each; parts: only these partitions."""
         out = None
         for name in v["segments"]:
-            rows = self.spark.read.option("basePath", f"{self.path}/{name}/{what}").parquet(f"{self.path}/{name}/{what}")
+            rows = self.spark.read.parquet(f"{self.path}/{name}/chunks")
             rows = (rows if parts is None else rows.where(F.col("part").isin(parts))).withColumn("segment", F.lit(name))
             out = rows if out is None else out.unionByName(rows)
         return out
@@ -51,7 +50,8 @@ class Store:
     def _marked(self, v: dict) -> DataFrame:
         """(segment, key) of chunks that are gone."""
         paths = [f"{self.path}/{m}/gone" for m in v["marks"]]
-        return self.spark.read.parquet(*paths) if paths else self.spark.createDataFrame([], f"segment string, key {v['key']}")
+        kind = f"segment string, key {v['key']}"
+        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
 
     def _live(self, v: dict, rows: DataFrame) -> DataFrame:
         if not v["marks"]:
@@ -75,31 +75,28 @@ class Store:
         return v["n"], v["all"] / v["n"] if v["n"] else 0.0
 
     def search(self, terms: DataFrame, k: int, by_language: bool = False) -> DataFrame:
-        """As bm25.search(): only the partitions of the questions' terms are read."""
+        """As bm25.search(), from the stored rows."""
         v = self.version()
         if not v["segments"]:
             return self.spark.createDataFrame([], f"q {terms.schema['q'].dataType.simpleString()}, key string, ord long, score double, rank int")
-        wanted = terms.select("term").distinct().withColumn("part", bm25._part("term", v["parts"]))
-        parts = [r["part"] for r in wanted.select("part").distinct().collect()]  # numbers below v["parts"]
-        postings = self._read(v, "postings", parts).join(wanted, ["part", "term"], "left_semi")
-        postings = self._live(v, postings).drop("part", "segment")
+        rows = self._live(v, self._read(v)).drop("part", "segment")
         n, avgdl = v["n"], v["all"] / v["n"] if v["n"] else 0.0
-        return bm25._best(postings, F.lit(float(n)), F.lit(float(avgdl)), self._sums(v, "languages", "language").select("language"), terms, k, by_language)
+        df = self._sums(v, "frequencies", "term").withColumnRenamed("n", "df")
+        return bm25.best_rows(rows, df, n, float(avgdl), self._sums(v, "languages", "language").select("language"), terms, k, by_language)
 
     # ---- writing ----
 
-    def _write_segment(self, name: str, tokens: DataFrame, parts: int) -> tuple[int, int]:
-        """Postings, chunks, and what they add to the sums; n and all."""
+    def _write_segment(self, name: str, rows: DataFrame, parts: int) -> tuple[int, int]:
+        """Chunks, and what they add to the sums; n and all."""
         at = f"{self.path}/{name}"
-        postings = bm25._counted(bm25._each(tokens)).withColumn("part", bm25._part("term", parts))
-        self._store(postings, f"{at}/postings", parts, "term")
-        chunks = tokens.select("key", "ord", "language", "dl", F.array_distinct("tokens").alias("terms"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"))
-        self._store(chunks, f"{at}/chunks", parts, "key")
-        return self._write_sums(at, tokens.select("language", "dl", F.array_distinct("tokens").alias("terms")), 1)
+        self._store(rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")), f"{at}/chunks", parts)
+        return self._write_sums(at, self.spark.read.parquet(f"{at}/chunks"), 1)
 
     @staticmethod
-    def _store(rows: DataFrame, at: str, parts: int, order: str) -> None:
-        rows.repartition(parts, "part").sortWithinPartitions("part", order).write.partitionBy("part").parquet(at)
+    def _store(rows: DataFrame, at: str, parts: int) -> None:
+        files = max(1, -(-rows.select("key").count() // (A_FILE * parts)))
+        dealt = rows.withColumn("_file", F.pmod(F.xxhash64("key", F.lit("file")), F.lit(files)))
+        dealt.repartition(min(parts * files, 10_000), "part", "_file").drop("_file").write.partitionBy("part").parquet(at)
 
     def _write_sums(self, at: str, chunks: DataFrame, sign: int) -> tuple[int, int]:
         count = F.count(F.lit(1)) * sign
@@ -108,36 +105,48 @@ class Store:
         got = chunks.agg(count.alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("all")).first()
         return got["n"], got["all"] * sign
 
+    @staticmethod
+    def _fresh(tokens: DataFrame) -> DataFrame:
+        """Counted rows, of equal keys the last. Only rows whose key is not theirs alone are exchanged."""
+        rows = bm25.counted(tokens)
+        again = bm25.repeated(tokens, "key")
+        if again is None:
+            return rows
+        last = state.last_wins(bm25._within(rows, again, "key").withColumnRenamed("key", "_key").withColumn("key", F.struct("_key")), "key", "ord").drop("_key").withColumn("key", F.col("key._key"))
+        return bm25._without(rows, again, "key").unionByName(last.select(*rows.columns))
+
     def update(self, tokens: DataFrame | None = None, deleted: DataFrame | None = None, tries: int = 20) -> dict:
         """Adds the chunks of a token table in place of those with their keys, and takes away the keys of `deleted` (key). Returns the new version."""
-        fresh = None
+        if tokens is not None and tokens.select("key").isEmpty():
+            tokens = None
+        segment, keys = None, []
         if tokens is not None:
-            fresh = cut(state.last_wins(tokens.withColumnRenamed("key", "_key").withColumn("key", F.struct("_key")), "key", "ord").drop("_key").withColumn("key", F.col("key._key")).select(*tokens.columns))
-            if fresh.isEmpty():
-                fresh = None
-        keys = [d for d in (fresh.select("key") if fresh is not None else None, deleted.select("key") if deleted is not None else None) if d is not None]
+            name = f"segment-{uuid.uuid4().hex}"
+            parts = self.version()["parts"]  # the same for all versions
+            segment = (name, *self._write_segment(name, self._fresh(tokens), parts))
+            fresh = self.spark.read.parquet(f"{self.path}/{name}/chunks")
+            keys.append(fresh.select("key"))
+        if deleted is not None:
+            keys.append(deleted.select("key"))
         if not keys:
             return self.version()
         keys = cut((keys[0] if len(keys) == 1 else keys[0].unionByName(keys[1])).distinct())
-        segment = None
         for _ in range(tries):
             v = self.version()
             new = {**v, "version": v["version"] + 1, "segments": dict(v["segments"]), "marks": list(v["marks"])}
-            if fresh is not None:
-                if segment is None:
-                    name = f"segment-{uuid.uuid4().hex}"
-                    segment = (name, *self._write_segment(name, fresh, v["parts"]))
+            if segment is not None:
                 new["segments"][segment[0]] = segment[1]
                 new["n"], new["all"] = new["n"] + segment[1], new["all"] + segment[2]
                 new["key"], new["ord"] = (fresh.schema[c].dataType.simpleString() for c in ("key", "ord"))
             if v["segments"]:
                 parts = [r[0] for r in keys.select(F.pmod(F.xxhash64("key"), F.lit(v["parts"])).cast("int")).distinct().collect()]
                 asked = keys.withColumnRenamed("key", "_asked")
-                held = self._read(v, "chunks", parts).join(asked, F.col("key").eqNullSafe(F.col("_asked")), "left_semi")
-                stale = cut(self._live(v, held))
+                held = self._read(v, parts).join(asked, F.col("key").eqNullSafe(F.col("_asked")), "left_semi")
+                name = f"marks-{uuid.uuid4().hex}"
+                at = f"{self.path}/{name}/gone"
+                self._live(v, held).select("segment", "key", "language", "dl", "terms").write.parquet(at)
+                stale = self.spark.read.parquet(at)
                 if not stale.isEmpty():
-                    name = f"marks-{uuid.uuid4().hex}"
-                    stale.select("segment", "key").write.parquet(f"{self.path}/{name}/gone")
                     n, all_ = self._write_sums(f"{self.path}/{name}", stale, -1)
                     new["marks"].append(name)
                     new["n"], new["all"] = new["n"] + n, new["all"] + all_
@@ -156,10 +165,8 @@ class Store:
                 return v
             name, own = f"segment-{uuid.uuid4().hex}", {**v, "segments": small}
             at = f"{self.path}/{name}"
-            chunks = cut(self._live(v, self._read(own, "chunks")).drop("segment"))
-            self._store(self._live(v, self._read(own, "postings")).drop("segment"), f"{at}/postings", v["parts"], "term")
-            self._store(chunks, f"{at}/chunks", v["parts"], "key")
-            n, _ = self._write_sums(at, chunks, 1)
+            self._store(self._live(v, self._read(own)).drop("segment"), f"{at}/chunks", v["parts"])
+            n, _ = self._write_sums(at, self.spark.read.parquet(f"{at}/chunks"), 1)
             rest = {s: c for s, c in v["segments"].items() if s not in small}
             new = {**v, "version": v["version"] + 1, "segments": {**rest, name: n}, "marks": []}
             if rest:  # marks of segments that stay, with what they take away
@@ -167,7 +174,7 @@ class Store:
                 if not gone.isEmpty():
                     marks = f"marks-{uuid.uuid4().hex}"
                     gone.write.parquet(f"{self.path}/{marks}/gone")
-                    own = self._read({**v, "segments": rest}, "chunks")
+                    own = self._read({**v, "segments": rest})
                     lost = own.join(gone.toDF("_s", "_k"), (F.col("segment") == F.col("_s")) & F.col("key").eqNullSafe(F.col("_k")), "left_semi")
                     self._write_sums(f"{self.path}/{marks}", lost, -1)
                     new["marks"] = [marks]
@@ -177,7 +184,7 @@ class Store:
 
     def rebuild(self, tokens: DataFrame) -> dict:
         """All of the index anew from a token table, as one version."""
-        fresh = cut(state.last_wins(tokens.withColumnRenamed("key", "_key").withColumn("key", F.struct("_key")), "key", "ord").drop("_key").withColumn("key", F.col("key._key")).select(*tokens.columns))
+        fresh = self._fresh(tokens)
         for _ in range(20):
             v = self.version()
             name = f"segment-{uuid.uuid4().hex}"
