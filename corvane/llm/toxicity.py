@@ -1,37 +1,46 @@
-"""Toxicity scores by a convolutional text classifier, trained in numpy.
+"""Toxicity scores by a convolutional text classifier, trained in numpy by tasks that share the labelled rows among them.
 
 A word's embedding is the sum of hashed ones: of the whole word and of its first 3 to 6 characters.
 Filters of widths 1, 2 and 3 run over the words, each filter's greatest value over the text goes
-through a rectifier into a logistic output. The embeddings start from the words' smoothed log-odds and noise;
-training is by Adagrad on a bounded sample (at most PER_LABEL rows of each label, of texts up to TEXT_BYTES, and
-SAMPLE_BYTES in all).
+through a rectifier into a logistic output. The embeddings start from the words' smoothed log-odds and noise.
+All labelled rows that may teach are used, whole: by a hash of their words four fifths teach the net, and one fifth the thresholds.
+The log-odds are counted over all of the former. These are then dealt by hash into parts of some PART_BYTES; each part is learned
+from by Adagrad on its own, and the changes are averaged, for each embedding over the parts that changed it. How rows lie in
+files or partitions doesn't matter.
 
-A fifth of that sample is kept from training. On it a threshold is chosen for each language, as
-predicted from the text by langid, and scores are shifted so that each language's threshold lies at 0.3.
-There each row counts for as many as its label has in the whole table, so thresholds don't drift as the
-sample's share of either label does.
+On the other fifth a threshold is chosen for each language, as predicted from the text by langid, and scores are shifted so that each
+language's threshold lies at 0.3. Their logits are counted in steps of 1 / STEPS, so no rows go to the driver.
 
 Cases: null and empty texts, and texts without words, get the score of the padding alone; if the rows to learn
 from lack one label, every text gets the share of label 1 (0 without rows); repeated rows get equal scores;
 an empty table gives no rows; a label row without a document, or one document's several labels, are used as
-they join; other columns aren't read. Texts above TEXT_BYTES teach nothing and are scored whole like any other.
+they join; other columns aren't read. If either share of the rows lacks a label, all rows teach both net and thresholds, these for all
+languages together. Texts of any length teach and are scored whole; a text above TEXT_BYTES is a step of training of its own.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import langid
-from .common import added, quoted
-
-PER_LABEL, TEXT_BYTES, SAMPLE_BYTES, SEED = 2000, 256 << 10, 24 << 20, 11
+from .common import added, cut, few, quoted, ship
+
+#: Bytes of a step of training, and of a part that is learned from on its own.
+TEXT_BYTES, PART_BYTES, SEED = 256 << 10, 8 << 20, 11
+#: Passes over the rows if they are one part; more parts make fewer each, one at least.
+PASSES = 6
+#: Logits are counted in steps of 1 / STEPS up to SPAN on either side.
+STEPS, SPAN = 128, 64
 #: Buckets and size of embeddings, filters of each width, first characters that are hashed too.
 BUCKETS, SIZE, FILTERS, WIDTHS, PREFIXES = 1 << 15, 8, 6, (1, 2, 3), (3, 4, 5, 6)
 CUTOFF = 0.3
@@ -47,6 +56,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 def hashes(word: bytes) -> list[int]:
     """Buckets of a word: its own and those of its first characters; 0 is the padding's."""
+    return _hashes(word) if len(word) <= 64 else _hashes.__wrapped__(word)
+
+
+@lru_cache(1 << 16)
+def _hashes(word: bytes) -> list[int]:
     s = word.decode("utf-8", "replace")
     return [1 + zlib.crc32(word) % (BUCKETS - 1)] + [1 + zlib.crc32(s[:n].encode(), n) % (BUCKETS - 1) if len(s) > n else 0 for n in PREFIXES]
 
@@ -98,21 +112,29 @@ class Net:
             best.append(top)
             if where:
                 hit = z == top[b.text]
-                at.append(np.stack([np.maximum.reduceat(np.where(hit[:, f], np.arange(n), -1), b.starts) for f in range(FILTERS)], axis=1))
+                last = np.zeros((len(b.starts), FILTERS), np.int64)
+                for f in range(FILTERS):
+                    k = np.flatnonzero(hit[:, f])
+                    last[b.text[k], f] = k  # the last place of several
+                at.append(last)
         return np.concatenate(best, axis=1), np.concatenate(at, axis=1) if where else None, own
 
     def logits(self, b: Batch) -> np.ndarray:
         top, _, _ = self.pooled(b, False)
         return np.maximum(top + self.shift, 0).astype(np.float64) @ self.out.astype(np.float64) + float(self.bias)
 
-    def learn(self, lists: list[list[bytes]], y: np.ndarray, passes: int = 6, rate: float = 0.05, size: int = 64, seed: int = SEED) -> None:
-        """Adagrad on cross-entropy, both labels weighing alike."""
+    def learn(self, lists: list[list[bytes]], y: np.ndarray, passes: int = PASSES, rate: float = 0.05, size: int = 64, seed: int = SEED, toxic: float | None = None) -> None:
+        """Adagrad on cross-entropy, both labels weighing alike. toxic: the share of label 1 in all rows, if these aren't all."""
         rng = np.random.default_rng(seed)
-        share = np.where(y > 0, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
+        toxic = y.mean() if toxic is None else toxic
+        share = np.where(y > 0, 0.5 / max(toxic, 1e-9), 0.5 / max(1 - toxic, 1e-9))
         batches = []
-        order = rng.permutation(len(lists))
-        for i in range(0, len(order), size):
-            rows = order[i : i + size]
+        order = rng.permutation(len(lists)).tolist()
+        while order:
+            rows, held = [], 0
+            while order and len(rows) < size and (not rows or held + len(lists[order[-1]]) <= TEXT_BYTES // 4):
+                rows.append(order.pop())
+                held += len(lists[rows[-1]])
             batches.append((Batch([lists[r] for r in rows]), y[rows], share[rows]))
         seen = {"emb": np.full((BUCKETS, SIZE), 1e-2, np.float32), "kernel": [np.full_like(k, 1e-2) for k in self.kernel], "shift": np.full_like(self.shift, 1e-2), "out": np.full_like(self.out, 1e-2), "bias": 1e-2}
 
@@ -159,22 +181,48 @@ class Net:
                 self.bias -= np.float32(rate * g.sum() / np.sqrt(seen["bias"]))
 
 
-def log_odds(lists: list[list[bytes]], y: np.ndarray, strength: float = 4.0) -> np.ndarray:
-    """For each bucket how much more often texts of label 1 hold it, smoothed towards no difference."""
+    def flat(self) -> np.ndarray:
+        """All that is learned, as rows of SIZE numbers: the embeddings, then the rest."""
+        rest = np.concatenate([*(k.ravel() for k in self.kernel), self.shift, self.out, [self.bias]]).astype(np.float32)
+        return np.concatenate([self.emb, np.resize(np.concatenate([rest, np.zeros(-len(rest) % SIZE, np.float32)]), (-(-len(rest) // SIZE), SIZE))])
+
+    def put(self, rows: np.ndarray) -> None:
+        """Takes what flat() gives."""
+        self.emb, rest, i = rows[:BUCKETS].astype(np.float32), rows[BUCKETS:].astype(np.float32).ravel(), 0
+        for j, k in enumerate(self.kernel):
+            self.kernel[j] = rest[i : i + k.size].reshape(k.shape).copy()
+            i += k.size
+        n = len(self.shift)
+        self.shift, self.out, self.bias = rest[i : i + n].copy(), rest[i + n : i + 2 * n].copy(), np.float32(rest[i + 2 * n])
+
+
+def held_by(lists: list[list[bytes]], y: np.ndarray) -> np.ndarray:
+    """(2, BUCKETS): how many texts of either label hold each bucket."""
     counts = np.zeros((2, BUCKETS))
     for ws, t in zip(lists, y.tolist(), strict=True):
         counts[int(t), list(set(itertools.chain.from_iterable(map(hashes, set(ws)))))] += 1
-    share = y.mean()
+    return counts
+
+
+def log_odds(counts: np.ndarray, share: float, strength: float = 4.0) -> np.ndarray:
+    """For each bucket how much more often texts of label 1, which this share of all have, hold it, smoothed towards no difference."""
     odds = np.log((counts[1] + strength * share) / (counts[0] + strength * (1 - share))) - np.log(share / (1 - share))
     odds[0] = 0
     return odds
 
 
+def started(counts: np.ndarray, share: float) -> Net:
+    """A net that knows the words' log-odds."""
+    net = Net()
+    net.emb[:, 0] += np.clip(log_odds(counts, share), -3, 3).astype(np.float32) / 3
+    return net
+
+
 class Model:
     """A trained net with the languages' thresholds (as logits)."""
 
-    def __init__(self, texts: list[str], y: np.ndarray, language: langid.Model, counts: tuple[int, int] | None = None):
-        """counts: how many rows of label 0 and 1 there are in all; without them, as many as given."""
+    def __init__(self, texts: list[str], y: np.ndarray, language: langid.Model):
+        """Learns from these texts in memory; train() does so from tables."""
         self.language = language
         self.constant: float | None = None
         self.limit: dict[str, float] = {}
@@ -183,23 +231,24 @@ class Model:
             self.constant = float(y.mean()) if len(y) else 0.0
             return
         lists = [words_of(t) for t in texts]
-        kept = np.array([zlib.crc32(b" ".join(ws)) % 5 == 0 for ws in lists])
+        kept = np.array([is_kept(ws) for ws in lists])
         if len(set(y[kept])) < 2 or len(set(y[~kept])) < 2:
             kept[:] = False
         taught = np.flatnonzero(~kept)
-        self.net = Net()
-        self.net.emb[:, 0] += np.clip(log_odds([lists[i] for i in taught], y[taught]), -3, 3).astype(np.float32) / 3
-        self.net.learn([lists[i] for i in taught], y[taught])
+        own = [lists[i] for i in taught]
+        self.net = started(held_by(own, y[taught]), y[taught].mean())
+        self.net.learn(own, y[taught])
         judged = np.flatnonzero(kept) if kept.any() else taught
-        z = self.logits([lists[i] for i in judged])
-        langs = np.array(language.predict([texts[i] for i in judged])[0])
-        each = np.ones(2) if counts is None else np.array([counts[0] / (1 - y).sum(), counts[1] / y.sum()])
-        weight = each[y[judged].astype(int)]
-        self.default = self._best(z, y[judged], weight)
-        for name in sorted(set(langs)):
-            own = langs == name
-            if min(y[judged][own].sum(), (1 - y[judged][own]).sum()) >= 10:
-                self.limit[name] = self._best(z[own], y[judged][own], weight[own])
+        self.judge(self.logits([lists[i] for i in judged]), y[judged], np.ones(len(judged)), language.predict([texts[i] for i in judged])[0])
+
+    def judge(self, z: np.ndarray, y: np.ndarray, weight: np.ndarray, langs: list[str | None]) -> None:
+        """Chooses the thresholds from logits, each of which stands for `weight` rows."""
+        named = np.array([v or "" for v in langs])
+        self.default = self._best(z, y, weight)
+        for name in sorted(set(named) - {""}):
+            own = named == name
+            if min((y * weight)[own].sum(), ((1 - y) * weight)[own].sum()) >= 10:
+                self.limit[name] = self._best(z[own], y[own], weight[own])
 
     @staticmethod
     def _best(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -241,18 +290,128 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, language: langid.Model, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = PER_LABEL, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Learns from a bounded sample of the labelled rows that may teach."""
+def is_kept(words: list[bytes]) -> bool:
+    """Whether a text is kept from the net, for the thresholds."""
+    return zlib.crc32(b" ".join(words)) % 5 == 0
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, language: langid.Model, key: str, text: str, label: str) -> DataFrame:
+    """h, label, kept, words (parted by spaces) and, where kept, the predicted lang of every labelled row that may teach."""
     told = labels.where(langid.may_teach(key)).select(quoted(key).alias("key"), quoted(label).cast("int").alias("label")).where("label in (0, 1) and key is not null").distinct()
-    counts = dict(told.groupBy("label").count().collect())  # two rows at most
-    # at most two times per_label rows, whatever the tables' size: the documents are read once and not exchanged
-    some = F.broadcast(langid.sample(told, "label", per_label, SEED))
-    some = docs.select(quoted(key).alias("key"), quoted(text).alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TEXT_BYTES).join(some, "key")
-    # the sample is small: one order over it bounds the bytes that go to the driver
-    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.orderBy(F.xxhash64(F.lit(SEED), "key"), "label").rowsBetween(W.unboundedPreceding, 0))
-    got = some.withColumn("held", size).where(F.col("held") <= sample_bytes).select("key", "text", "label").collect()
-    got.sort(key=lambda r: (r["key"], r["label"], r["text"] or ""))
-    return Model([r["text"] or "" for r in got], np.array([r["label"] for r in got], np.float64), language, (counts.get(0, 0), counts.get(1, 0)))
+    rows = docs.select(quoted(key).alias("key"), quoted(text).alias("text")).join(few(told), "key")
+    sent = docs.sparkSession.sparkContext.broadcast(language)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(0).to_pylist()]
+            lists = [words_of(t) for t in texts]
+            kept = [is_kept(ws) for ws in lists]
+            langs = iter(sent.value.predict(list(itertools.compress(texts, kept)))[0])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(kept), pa.array([b" ".join(ws) for ws in lists], pa.binary()), pa.array([next(langs) if k else None for k in kept], pa.string())], names=["h", "label", "kept", "words", "lang"])
+
+    return cut(rows.select("text", F.xxhash64(F.lit(SEED), "key").alias("h"), "label").mapInArrow(run, "h long, label int, kept boolean, words binary, lang string"))
+
+
+def _held_by(rows: DataFrame) -> np.ndarray:
+    """held_by() of all rows, counted in tasks and added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, BUCKETS))
+        for b in batches:
+            counts += held_by([ws.split() for ws in b.column(1).to_pylist()], b.column(0).to_numpy())
+        some = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c[some].astype(np.int64)) for c in counts)], names=["b", "n0", "n1"])
+
+    counts = np.zeros((2, BUCKETS))
+    got = rows.select("label", "words").mapInArrow(run, "b int, n0 long, n1 long").groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # BUCKETS rows at most
+    for t in range(2):
+        counts[t, got["b"].to_numpy()] = got[f"n{t}"].to_numpy()
+    return counts
+
+
+def _learned(rows: DataFrame, net: Net, toxic: float, part_bytes: int) -> Net:
+    """The net after all rows: each part learns on its own, and what it changes is averaged with the others."""
+    size = rows.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    parts = max(1, math.ceil(size / part_bytes))
+    passes = max(1, PASSES // parts)
+    sent = rows.sparkSession.sparkContext.broadcast(net.flat())
+    names = [f"v{k}" for k in range(SIZE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, lists, y, held = None, None, [], [], 0
+
+        def learn():
+            if lists:
+                own.learn(lists, np.array(y, np.float64), passes, toxic=toxic)
+            lists.clear()
+            y.clear()
+
+        def changes() -> pa.RecordBatch:
+            moved = own.flat() - sent.value
+            some = np.flatnonzero(moved.any(axis=1))
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(moved[some, k].astype(np.float64)) for k in range(SIZE))], names=["b", *names])
+
+        for b in batches:
+            for part, label, words in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if part != now:
+                    if own is not None:
+                        learn()
+                        yield changes()
+                    own, now, held = Net(), part, 0
+                    own.put(sent.value)
+                elif held > 2 * part_bytes:  # copies of one key
+                    learn()
+                    held = 0
+                lists.append(words.split())
+                y.append(label)
+                held += len(words)
+        if own is not None:
+            learn()
+            yield changes()
+
+    dealt = rows.select(F.pmod(F.col("h"), F.lit(parts)).alias("part"), "label", "words", "h").repartitionByRange(parts, "part").sortWithinPartitions("part", "h", "words", "label").select("part", "label", "words")
+    got = dealt.mapInArrow(run, "b int, " + ", ".join(f"{n} double" for n in names)).groupBy("b").agg(*[F.avg(n).alias(n) for n in names]).toArrow()  # as many rows as flat() has, at most
+    flat = net.flat().astype(np.float64)
+    flat[got["b"].to_numpy()] += np.stack([got[n].to_numpy() for n in names], axis=1)
+    out = Net()
+    out.put(flat)
+    return out
+
+
+def _counted(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str | None]]:
+    """Logits of all rows in steps, with label, number of rows and language."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in batches:
+            z = sent.value.logits([ws.split() for ws in b.column(1).to_pylist()])
+            step = np.clip(np.floor(z * STEPS), -SPAN * STEPS, SPAN * STEPS).astype(int)
+            seen.update(zip(step.tolist(), b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
+        z, y, lang = zip(*seen, strict=True) if seen else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(z, pa.int32()), pa.array(y, pa.int32()), pa.array(lang, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["z", "label", "lang", "n"])
+
+    got = rows.select("label", "words", "lang").mapInArrow(run, "z int, label int, lang string, n long").groupBy("z", "label", "lang").agg(F.sum("n").alias("n")).toArrow()
+    return (got["z"].to_numpy() + 0.5) / STEPS, got["label"].to_numpy().astype(float), got["n"].to_numpy().astype(float), got["lang"].to_pylist()
+
+
+def train(docs: DataFrame, labels: DataFrame, language: langid.Model, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_bytes: int = PART_BYTES) -> Model:
+    """Learns from all labelled rows that may teach. sample_bytes: of the words of a part that is learned from on its own; all parts are."""
+    ship(docs.sparkSession)
+    rows = _labelled(docs, labels, language, key, text, label)
+    counts = {(r["kept"], r["label"]): r["count"] for r in rows.groupBy("kept", "label").count().collect()}  # four rows at most
+    both = [sum(n for (_, t), n in counts.items() if t == k) for k in range(2)]
+    model = Model([], np.empty(0), language)
+    if not all(both):
+        model.constant = both[1] / sum(both) if any(both) else 0.0
+        return model
+    taught = judged = rows.withColumn("lang", F.lit(None).cast("string"))
+    if len(counts) == 4:
+        taught, judged, both = rows.where("not kept"), rows.where("kept"), [counts[False, 0], counts[False, 1]]
+    toxic = both[1] / sum(both)
+    model.constant, model.net = None, _learned(taught, started(_held_by(taught), toxic), toxic, sample_bytes)
+    model.judge(*_counted(judged, model))
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, str]:

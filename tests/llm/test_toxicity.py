@@ -110,3 +110,46 @@ def test_thresholds_follow_the_true_counts():
     assert X.Model._best(z, y, np.ones(5)) == 0.5
     # a row of label 0 that stands for fifty is not worth the one hit below it
     assert X.Model._best(z, y, np.where(y > 0, 1.0, 50.0)) == 2.5
+
+
+def test_all_rows_teach(spark, table):
+    """However small the parts that are learned from, all of them are; rows may lie as they like."""
+    import numpy as np
+
+    rows, labels = table
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").where("doc_id < 900")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    language = langid.train(docs)
+    held = [(t, y) for (i, t, _), (_, _, y) in zip(rows[:900], labels, strict=False) if zlib.crc32(str(i).encode()) % 4 == 2]
+    scores = []
+    for many in (1, 7):
+        model = X.train(docs.repartition(many), marks, language, sample_bytes=6000)
+        scores.append(model.score([t for t, _ in held]))
+        got = scores[-1] >= 0.3
+        toxic = np.array([y for _, y in held]) == 1
+        assert got[toxic].mean() >= 0.9 and got[~toxic].mean() <= 0.05
+    assert np.allclose(*scores, atol=1e-4)
+
+
+def test_long_texts_teach(spark, table, monkeypatch):
+    """A label whose texts are all above TEXT_BYTES is learned, too."""
+    rows, labels = table
+    monkeypatch.setattr(X, "TEXT_BYTES", 2000)
+    docs = spark.createDataFrame([(i, t + " ka to" * 500 if labels[i][2] else t, "en") for i, t, _ in rows[:900]], "doc_id long, text string, lang string")
+    model = X.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), langid.train(docs))
+    assert model.constant is None
+    assert model.score(["ka to grubek snarfle plonkery mé"])[0] >= 0.3
+
+
+def test_counts_of_tasks_are_those_of_all(spark, table):
+    import numpy as np
+
+    rows, labels = table
+    lists = [X.words_of(t) for _, t, _ in rows[:300]]
+    y = [t for _, _, t in labels[:300]]
+    told = spark.createDataFrame([(t, bytearray(b" ".join(ws))) for t, ws in zip(y, lists, strict=True)], "label int, words binary").repartition(5)
+    assert (X._held_by(told) == X.held_by(lists, np.array(y))).all()
+    net = X.Net(3)
+    other = X.Net(4)
+    other.put(net.flat())
+    assert (other.flat() == net.flat()).all() and other.bias == net.bias
