@@ -107,3 +107,24 @@ def test_edges_are_stars(spark, words):
     assert found.count() < 4 * len(rows)
     assert {r["component_id"] for r in M.near_duplicates(docs).collect()} == {0}
     assert shingle_links.Shingles(5).of([b"a"]).size == 1
+
+
+def test_components_of_long_chains_in_few_tasks(spark):
+    """Right in few tasks: with 40 shuffle partitions as with 4, a round's tasks stay as many as its edges are worth."""
+    from corvane.llm import components
+
+    edges = spark.range(0, 300, 1, 40).selectExpr("id AS a", "id + 1 AS b").where("a % 100 <> 99")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    stored = []
+    try:
+        with pytest.MonkeyPatch.context() as patch:
+            cut = components.cut
+            patch.setattr(components, "cut", lambda df: stored.append(cut(df)) or stored[-1])
+            found = components.connected_components(edges)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(df.rdd.getNumPartitions() <= components.TASKS for df in stored[1:]) and len(stored) > 1
+    assert sorted(map(tuple, found.collect())) == [(k, k // 100 * 100) for k in range(300)]
