@@ -7,8 +7,9 @@ the very end. Sets that meet at a shingle are kept if their sizes and the places
 small bitmaps of all their shingles don't rule it out; they are then compared on all shingles, which are made anew from their texts.
 
 Only connections matter. At first each set is compared with one of those that it meets at a shingle, and the pairs of the
-fingerprints' links count as connected; then all pairs that meet and aren't connected yet. So a large group of near copies doesn't
-give all its pairs. Groups of one shingle are cut into blocks of BLOCK rows, and a task takes two blocks at a time, so a row goes out
+fingerprints' links count as connected. Then, in up to ROUNDS rounds, each set is compared with one more for each shingle: of those that it meets there and
+isn't connected with, the one whose bitmap differs least. At last all pairs are that meet and aren't connected yet. So a large group of near copies
+doesn't give all its pairs. Groups of one shingle are cut into blocks of BLOCK rows, and a task takes two blocks at a time, so a row goes out
 once for each block; where these would be more than CROWD, the group is parted by a second shingle. Sets that must share two have the
 first two that they share among their first n - ceil(LEAST * n) + 2, so a row goes out once for each of these that stands after the first.
 
@@ -41,6 +42,8 @@ OFTEN, MOST = 64, 1 << 20
 BLOCK, SMALL, WORDS, LONG = 20_000, 16, 100_000, 64
 #: Blocks from which a group is parted by a second shingle.
 CROWD = 32
+#: Rounds in which each set goes to the likeliest of those that it isn't connected with.
+ROUNDS = 2
 BASE = 0x9E3779B97F4A7C15
 #: Bits to which bitmaps are folded to compare many at once: the fewest that any has, and more for larger sets.
 FOLDED = (256, 1024)
@@ -235,6 +238,13 @@ class Folded:
                 self.large[at] = np.bitwise_xor.reduce(rows.reshape(len(at), -1, large // 64), axis=1)
             self.small[at] = np.bitwise_xor.reduce(rows.reshape(len(at), -1, small // 64), axis=1)
 
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many bits rows i and j differ in, of the larger size where both have it."""
+        n = np.bitwise_count(self.small[i] ^ self.small[j]).sum(axis=1, dtype=np.int64)
+        at = np.flatnonzero(self.is_large[i] & self.is_large[j])
+        n[at] = np.bitwise_count(self.large[i[at]] ^ self.large[j[at]]).sum(axis=1, dtype=np.int64)
+        return n
+
     def agree(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Whether rows i and j differ in `most` bits or fewer."""
         ok = np.bitwise_count(self.small[i] ^ self.small[j]).sum(axis=1, dtype=np.int64) <= most
@@ -255,12 +265,26 @@ def _first_pairs(least: float):
     return run
 
 
-def pairs_in_sorted(group: np.ndarray, sid: np.ndarray, root: np.ndarray, at: np.ndarray, side: np.ndarray, bits: list[bytes], least: float) -> Iterator[np.ndarray]:
+def pairs_in_sorted(group: np.ndarray, sid: np.ndarray, root: np.ndarray, at: np.ndarray, side: np.ndarray, bits: list[bytes], least: float, nearest: bool = False) -> Iterator[np.ndarray]:
     """Pairs (n, 2) of sets of one group and different roots that can be similar; rows stand in order of (group, size).
 
     side: 0 in a block that is paired within itself; 1 and 2 where two blocks are paired with each other.
+    nearest: of each row's pairs only the one whose bitmaps differ in the least share of both sets.
     """
     n, p, folded = at >> 32, at & 0xFFFFFFFF, Folded(bits)
+    share, mate = np.full(len(sid), np.inf), np.full(len(sid), -1)
+
+    def told(i: np.ndarray, j: np.ndarray) -> Iterator[np.ndarray]:
+        if not nearest:
+            yield np.stack([sid[i], sid[j]], axis=1)
+            return
+        new = folded.differ(i, j) / (n[i] + n[j])
+        for x, y in ((i, j), (j, i)):
+            order = np.lexsort((sid[y], new, x))
+            x, y, d = x[order], y[order], new[order]
+            first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            first = first[d[first] < share[x[first]]]
+            share[x[first]], mate[x[first]] = d[first], y[first]
 
     def good(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         ok = (root[i] != root[j]) & (sid[i] != sid[j]) & ((side[i] == 0) | (side[i] != side[j])) & room(n[i], p[i], n[j], p[j], least)
@@ -277,7 +301,7 @@ def pairs_in_sorted(group: np.ndarray, sid: np.ndarray, root: np.ndarray, at: np
         i = np.flatnonzero((group[d:] == group[:-d]) & within[d:])
         i = i[good(i, i + d)]
         if len(i):
-            yield np.stack([sid[i], sid[i + d]], axis=1)
+            yield from told(i, i + d)
     for a, k in zip(cuts[:-1][big].tolist(), length[big].tolist(), strict=True):
         ends = a + np.searchsorted(n[a : a + k], np.floor(np.round(n[a : a + k] / least, 6)), side="right")
         for i in range(a, a + k, 64):
@@ -287,11 +311,14 @@ def pairs_in_sorted(group: np.ndarray, sid: np.ndarray, root: np.ndarray, at: np
             x, y = x[y > x], y[y > x]
             ok = good(x, y)
             if ok.any():
-                yield np.stack([sid[x[ok]], sid[y[ok]]], axis=1)
+                yield from told(x[ok], y[ok])
+    some = np.flatnonzero(mate >= 0)
+    if len(some):
+        yield np.stack([sid[some], sid[mate[some]]], axis=1)
 
 
-def _other_pairs(least: float):
-    """Rows come sorted by (h, lo, hi, at); a group that a batch cuts is carried on into the next."""
+def _other_pairs(least: float, nearest: bool = False):
+    """Rows come sorted by (h, lo, hi, at); a group that a batch cuts is carried on into the next. nearest: as in pairs_in_sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -301,7 +328,7 @@ def _other_pairs(least: float):
             h, lo, hi, sid, root, at, block = map(np.concatenate, columns)
             new = (h[1:] != h[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
             side = np.where(lo == hi, 0, np.where(block == lo, 1, 2))
-            for got in pairs_in_sorted(np.concatenate([[0], np.cumsum(new)]), sid, root, at, side, list(chain(*bits)), least):
+            for got in pairs_in_sorted(np.concatenate([[0], np.cumsum(new)]), sid, root, at, side, list(chain(*bits)), least, nearest):
                 got = np.unique(np.sort(got, axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["s", "t"])
 
@@ -424,21 +451,31 @@ def _links(docs: DataFrame, marks: DataFrame, near: DataFrame, text: str, width:
     twins = sets.groupBy("sid").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select(F.col("sid").alias("s"), F.col("sid").alias("t"))
     tried = cut(pairs.unionByName(twins).distinct())
     found = similar(tried)
-    # all others that meet and aren't connected yet
-    roots = cut(connected_components(near.unionByName(found))).withColumnRenamed("node", "fp")
-    roots = sets.join(roots, "fp", "left").select("sid", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(meet.join(roots, "sid"))
-
     def seconds(sids: DataFrame) -> DataFrame:
         wanted = sets.select("sid", "fp", "row").join(sids, "sid")
         texts = keyed.join(few(wanted), "row").groupBy("sid", "fp").agg(F.first("text").alias("text"))
         return _seconds(texts, width, least, *common).distinct()
 
-    blocks = _blocks(rooted, least, seconds)
-    blocks = blocks.join(sets.select("sid", "bits").distinct(), "sid").select(*blocks.columns, "bits")
-    pairs = blocks.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi", "at").mapInArrow(_other_pairs(least), "s long, t long")
-    left = cut(pairs.distinct().join(tried, ["s", "t"], "left_anti"))
-    return found.unionByName(similar(left))
+    meeting, last = meet, False
+    for k in range(ROUNDS + 1):
+        last = last or k == ROUNDS
+        # the likeliest of each set, at last all, that meet and aren't connected yet
+        roots = cut(connected_components(near.unionByName(found))).withColumnRenamed("node", "fp")
+        roots = sets.join(roots, "fp", "left").select("sid", F.coalesce("root", "fp").alias("root"))
+        rooted = cut(meeting.join(roots, "sid"))
+        blocks = _blocks(rooted, least, seconds)
+        blocks = blocks.join(sets.select("sid", "bits").distinct(), "sid").select(*blocks.columns, "bits")
+        pairs = blocks.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi", "at").mapInArrow(_other_pairs(least, not last), "s long, t long")
+        left = cut(pairs.distinct().join(tried, ["s", "t"], "left_anti"))
+        tested, links = left.count(), similar(left)
+        found = found.unionByName(links)
+        if last:
+            break
+        # where few of the likeliest are similar, the others are mostly unlike sets
+        last = 2 * links.count() < tested or not tested
+        tried = tried.unionByName(left)
+        meeting = rooted.join(_parted(rooted).select("h"), "h").select(*meet.columns)
+    return found
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:

@@ -122,3 +122,24 @@ def test_one_key_of_many_fingerprints():
     near = np.unique(np.concatenate([far[:3000], far[:3000] ^ np.uint64(1)]))
     got = S.links_in_sorted(np.zeros(len(near), np.int64), near)
     assert len({tuple(x) for x in got.tolist()}) == 3000
+
+
+def test_likeliest_pairs_grow_with_the_rows():
+    """Of a group of near copies each set gives the pair whose bitmaps differ least, and no more."""
+    import numpy as np
+
+    from corvane.llm import shingle_links as L
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 64, 200, np.uint64)
+    sets = [np.sort(np.concatenate([base[rng.permutation(200)[:185]], rng.integers(0, 1 << 64, 6, np.uint64)])) for _ in range(150)]
+    bits, sid = [L.bitmap(s) for s in sets], np.arange(150)
+    args = np.zeros(150, int), sid, sid, np.array([len(s) << 32 for s in sets]), np.zeros(150, int), bits, 0.8
+    every = np.concatenate(list(L.pairs_in_sorted(*args)))
+    one = np.concatenate(list(L.pairs_in_sorted(*args, nearest=True)))
+    assert len(every) > 5000 and len(one) <= 150 and set(map(tuple, np.sort(one, axis=1))) <= set(map(tuple, np.sort(every, axis=1)))
+    folded = L.Folded(bits)
+    mate = dict(one.tolist())
+    for k in range(150):
+        others = np.array([j for j in range(150) if j != k])
+        assert folded.differ(np.array([k]), np.array([mate[k]]))[0] == folded.differ(np.full(149, k), others).min()
