@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from corvane.runtime import cut, new_table, shared_dir, ship
 
-__all__ = ["ROW_KEY", "added", "cut", "few", "hashable", "near_name", "new_table", "quoted", "row_hash", "row_key", "shared_dir", "ship"]
+__all__ = ["A_TASK", "ROW_KEY", "TASKS", "added", "cut", "few", "hashable", "near_name", "new_table", "packed", "quoted", "row_hash", "row_key", "shared_dir", "ship", "stored"]
 
 
 def quoted(name: str) -> Column:
@@ -53,6 +53,22 @@ def few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= FEW else keys
 
 
+#: Narrow rows of one task, and tasks of the fewest rows.
+A_TASK, TASKS = 50_000, 8
+
+
+def packed(df: DataFrame, rows: int, a_task: int = A_TASK) -> DataFrame:
+    """df in no more tasks than so many rows are worth, since each task writes files for each exchange."""
+    return df.coalesce(max(TASKS, rows // a_task))
+
+
+def stored(df: DataFrame, a_task: int = A_TASK) -> tuple[DataFrame, int]:
+    """df, cut and packed, and how many rows it has."""
+    df = cut(df)
+    n = df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism).count()
+    return packed(df, n, a_task), n
+
+
 def near_name(taken: list[str], name: str) -> str:
     """name, with as many _ after it as it takes to differ from those taken."""
     low = {t.lower() for t in taken}

@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import TASKS, cut, packed, stored
 
-#: Edges of one task, and tasks of the fewest edges.
-EDGES, TASKS = 50_000, 8
+__all__ = ["TASKS", "connected_components"]
+
+#: Edges of one task; TASKS is what the fewest edges get.
+EDGES = 50_000
 
 
 def _mark(df: DataFrame) -> tuple[int, int, int]:
@@ -25,13 +27,12 @@ def _mark(df: DataFrame) -> tuple[int, int, int]:
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a, b: long, not null) to (node, root): every node of an edge with the smallest node of its component."""
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, _ = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), EDGES)
     mark = _mark(now)
 
     def few(df: DataFrame) -> DataFrame:
-        return df.coalesce(max(TASKS, mark[0] // EDGES))  # mark is of the round before
+        return packed(df, mark[0], EDGES)  # mark is of the round before
 
-    now = few(now)
     for _ in range(rounds):
         if not mark[0]:
             break
@@ -51,5 +52,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components have not settled after {rounds} rounds")
-    roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-    return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct().join(roots.select("node"), "node", "left_anti")).distinct()
+    roots = few(now.groupBy("a").agg(F.min("b").alias("root"))).select(F.col("a").alias("node"), "root")
+    tops = few(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return few(roots.unionByName(few(tops.join(roots.select("node"), "node", "left_anti"))).distinct())

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import ROW_KEY, cut, few, quoted, row_key, ship
+from .common import A_TASK, ROW_KEY, cut, few, packed, quoted, row_key, ship, stored
 from .components import connected_components
 
 WIDTH, LEAST = 5, 0.8
@@ -40,6 +40,8 @@ WIDTH, LEAST = 5, 0.8
 OFTEN, MOST = 64, 1 << 20
 #: Rows of a block of a group, rows of groups that are paired by shifting; words hashed at once, bytes from which a word's digest stands for it.
 BLOCK, SMALL, WORDS, LONG = 20_000, 16, 100_000, 64
+#: Pairs of sets that one task compares, of each two texts.
+PAIRS = 2_000
 #: Blocks from which a group is parted by a second shingle.
 CROWD = 32
 #: Rounds in which each set goes to the likeliest of those that it isn't connected with.
@@ -151,7 +153,7 @@ def _marks(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The common shingles of rows (h) in order of their hashes, and the place of each by its count."""
-    counts = cut(rows.groupBy("h").count().where(F.col("count") > OFTEN))
+    counts, _ = stored(rows.groupBy("h").count().where(F.col("count") > OFTEN))
     held = counts.groupBy(F.floor(F.log2("count")).alias("power")).count().orderBy(F.desc("power")).collect()
     total, floor = 0, 64
     for r in held:
@@ -407,9 +409,10 @@ def _parted(rooted: DataFrame) -> DataFrame:
     return rooted.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("h", "rows")
 
 
-def _blocks(rooted: DataFrame, least: float, seconds: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(h, lo, hi, sid, root, at, block): rows (h, sid, root, at) once for each pair of blocks; seconds: _seconds() of sets (sid)."""
-    groups = cut(_parted(rooted))
+def _blocks(rooted: DataFrame, least: float, seconds: Callable[[DataFrame], DataFrame], rows: int | None = None) -> DataFrame:
+    """(h, lo, hi, sid, root, at, block): rows (h, sid, root, at) once for each pair of blocks; seconds: _seconds() of sets (sid); rows: how many are rooted, if known."""
+    n = rooted.count() if rows is None else rows
+    groups = cut(packed(_parted(rooted), n))
     crowded = groups.where(F.col("rows") > CROWD * BLOCK).select("h")
     if not crowded.isEmpty():
         crowded = few(crowded)
@@ -419,9 +422,9 @@ def _blocks(rooted: DataFrame, least: float, seconds: Callable[[DataFrame], Data
         apart = apart.select(F.xxhash64("h", "second").alias("h"), "sid", "root", "at")
         # sets so small that one shingle is enough stay
         alone = members.where(F.ceil(F.round(F.shiftright("at", 32) * F.lit(least), 6)) < 2).select("h", "sid", "root", "at")
-        rooted = cut(rooted.join(crowded, "h", "left_anti").select("h", "sid", "root", "at").unionByName(apart).unionByName(alone))
-        groups = cut(_parted(rooted))
-    blocks = rooted.join(groups.select("h", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "h")
+        rooted, n = stored(rooted.join(crowded, "h", "left_anti").select("h", "sid", "root", "at").unionByName(apart).unionByName(alone))
+        groups = cut(packed(_parted(rooted), n))
+    blocks = packed(rooted.join(groups.select("h", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "h"), n)
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return blocks.select("h", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "sid", "root", "at", "block")
 
@@ -431,50 +434,55 @@ def _links(docs: DataFrame, marks: DataFrame, near: DataFrame, text: str, width:
     none = np.empty(0, np.uint64), np.empty(0, np.int64)
     common = _common(_prefixes(docs, text, width, least, *none))
     rows = _prefixes(docs, text, width, least, *common).repartition("h", "salt").sortWithinPartitions("h", "sid", "at")
-    meet = cut(rows.mapInArrow(_meeting, "h long, sid long, at long"))
-    sets = cut(marks.where("sid is not null").groupBy("sid", "fp").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    meet, n_meet = stored(rows.mapInArrow(_meeting, "h long, sid long, at long"))
+    sets, n_sets = stored(marks.where("sid is not null").groupBy("sid", "fp").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     keyed = docs.select(quoted(text).alias("text"), row_key(docs).alias("row"))
 
-    def similar(pairs: DataFrame) -> DataFrame:
+    def similar(pairs: DataFrame, n: int) -> DataFrame:
+        def held(df: DataFrame) -> DataFrame:
+            return packed(df, max(n * A_TASK // PAIRS, n_sets))
+
         bits = sets.select("sid", "n", "bits")
-        pairs = pairs.join(bits.toDF("s", "n", "x"), "s").join(bits.toDF("t", "m", "y"), "t").select("s", "n", "x", "t", "m", "y")
-        pairs = cut(pairs.mapInArrow(_bits_agree(least), "s long, t long").distinct())
-        wanted = sets.select("sid", "fp", "row").join(pairs.select(F.col("s").alias("sid")).union(pairs.select("t")).distinct(), "sid")
-        texts = cut(keyed.join(few(wanted), "row").groupBy("sid", "fp").agg(F.first("text").alias("text")))
+        pairs = held(held(pairs.join(bits.toDF("s", "n", "x"), "s")).join(bits.toDF("t", "m", "y"), "t")).select("s", "n", "x", "t", "m", "y")
+        pairs = cut(held(pairs.mapInArrow(_bits_agree(least), "s long, t long").distinct()))
+        sids = held(pairs.select(F.col("s").alias("sid")).union(pairs.select("t")).distinct())
+        wanted = held(sets.select("sid", "fp", "row").join(sids, "sid"))
+        texts = cut(held(keyed.join(few(wanted), "row").groupBy("sid", "fp").agg(F.first("text").alias("text"))))
         one, two = texts.toDF("s", "a", "one"), texts.toDF("t", "b", "two")
-        both = pairs.join(one, "s").join(two, "t").where("a <> b").select("s", "a", "one", "t", "b", "two")
-        return cut(both.mapInArrow(_similar(width, least), "a long, b long").distinct())
+        both = held(held(pairs.join(one, "s")).join(two, "t")).where("a <> b").select("s", "a", "one", "t", "b", "two")
+        return cut(held(both.mapInArrow(_similar(width, least), "a long, b long").distinct()))
 
     # pairs with one of each group, and different fingerprints of one set
-    first = meet.groupBy("h").agg(F.min(F.struct("sid", "at")).alias("y"), F.max("sid").alias("z")).where("y.sid <> z").select("h", F.col("y.sid").alias("t"), F.col("y.at").alias("y"))
-    pairs = meet.join(first, "h").select(F.col("sid").alias("s"), F.col("at").alias("x"), "t", "y").mapInArrow(_first_pairs(least), "s long, t long")
-    twins = sets.groupBy("sid").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select(F.col("sid").alias("s"), F.col("sid").alias("t"))
-    tried = cut(pairs.unionByName(twins).distinct())
-    found = similar(tried)
+    first = packed(meet.groupBy("h").agg(F.min(F.struct("sid", "at")).alias("y"), F.max("sid").alias("z")), n_meet).where("y.sid <> z").select("h", F.col("y.sid").alias("t"), F.col("y.at").alias("y"))
+    pairs = packed(meet.join(first, "h"), n_meet).select(F.col("sid").alias("s"), F.col("at").alias("x"), "t", "y").mapInArrow(_first_pairs(least), "s long, t long")
+    twins = packed(sets.groupBy("sid").agg(F.min("fp").alias("a"), F.max("fp").alias("b")), n_sets).where("a <> b").select(F.col("sid").alias("s"), F.col("sid").alias("t"))
+    tried, tested = stored(pairs.unionByName(twins).distinct())
+    found = similar(tried, tested)
+
     def seconds(sids: DataFrame) -> DataFrame:
         wanted = sets.select("sid", "fp", "row").join(sids, "sid")
         texts = keyed.join(few(wanted), "row").groupBy("sid", "fp").agg(F.first("text").alias("text"))
         return _seconds(texts, width, least, *common).distinct()
 
-    meeting, last = meet, False
+    meeting, n, last = meet, n_meet, False
     for k in range(ROUNDS + 1):
         last = last or k == ROUNDS
         # the likeliest of each set, at last all, that meet and aren't connected yet
         roots = cut(connected_components(near.unionByName(found))).withColumnRenamed("node", "fp")
-        roots = sets.join(roots, "fp", "left").select("sid", F.coalesce("root", "fp").alias("root"))
-        rooted = cut(meeting.join(roots, "sid"))
-        blocks = _blocks(rooted, least, seconds)
-        blocks = blocks.join(sets.select("sid", "bits").distinct(), "sid").select(*blocks.columns, "bits")
+        roots = packed(sets.join(roots, "fp", "left"), n_sets).select("sid", F.coalesce("root", "fp").alias("root"))
+        rooted, n = stored(packed(meeting.join(roots, "sid"), max(n, n_sets)))
+        blocks = _blocks(rooted, least, seconds, n)
+        blocks = packed(blocks.join(packed(sets.select("sid", "bits").distinct(), n_sets), "sid"), max(n, n_sets)).select(*blocks.columns, "bits")
         pairs = blocks.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi", "at").mapInArrow(_other_pairs(least, not last), "s long, t long")
-        left = cut(pairs.distinct().join(tried, ["s", "t"], "left_anti"))
-        tested, links = left.count(), similar(left)
+        left, tested = stored(pairs.distinct().join(tried, ["s", "t"], "left_anti"))
+        links = similar(left, tested)
         found = found.unionByName(links)
         if last:
             break
         # where few of the likeliest are similar, the others are mostly unlike sets
         last = 2 * links.count() < tested or not tested
         tried = tried.unionByName(left)
-        meeting = rooted.join(_parted(rooted).select("h"), "h").select(*meet.columns)
+        meeting = packed(rooted.join(packed(_parted(rooted), n).select("h"), "h"), n).select(*meet.columns)
     return found
 
 
@@ -483,7 +491,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     ship(docs.sparkSession)
     marks = cut(_marks(docs, key, text, width))
     distinct = simhash.distinct_of(marks)
-    near = cut(simhash.links(distinct))
+    near, _ = stored(simhash.links(distinct))
     return simhash.grouped(marks, distinct, near.unionByName(_links(docs, marks, near, text, width, least)))
 
 

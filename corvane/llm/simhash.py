@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, cut, few, near_name, quoted, row_key, ship
+from .common import ROW_KEY, cut, few, near_name, packed, quoted, row_key, ship, stored
 from .components import connected_components
 
 SEED, SHINGLE, BITS = 42, 3, 3
@@ -270,15 +270,17 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def distinct_of(marks: DataFrame) -> DataFrame:
     """(fp, least): each fingerprint with its smallest id."""
-    return cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    return stored(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))[0]
 
 
 def grouped(marks: DataFrame, distinct: DataFrame, near: DataFrame) -> DataFrame:
     """doc_id, row, fp, root and component_id (the smallest id reachable by the links near (a, b)) of every row of marks."""
     roots = cut(connected_components(near))
+    n = distinct.count()
     of = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = of.join(ids, "root").select("fp", "root", "component_id")
+    of = packed(of, n)
+    ids = packed(of.groupBy("root").agg(F.min("least").alias("component_id")), n)
+    of = packed(of.join(ids, "root"), n).select("fp", "root", "component_id")
     return marks.join(of, "fp").select("doc_id", "row", "fp", "root", "component_id")
 
 
@@ -295,16 +297,16 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     Rows that go are told by their keys, so the texts of the others aren't exchanged; rows that come more than once
     in docs are taken out with them, and those that stay are put back once.
     """
-    found = cut(found.select("doc_id", "row", "root"))
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("r")).select("root", F.col("r.row").alias("best"))
-    twice = cut(found.groupBy("row").count().where("count > 1").select("row"))
-    out = found.join(best, "root").where("row <> best").select("row").union(twice).distinct()
-    back = best.select(F.col("best").alias("row")).join(twice, "row", "left_semi")
+    found, n = stored(found.select("doc_id", "row", "root"))
+    best = packed(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("r")), n).select("root", F.col("r.row").alias("best"))
+    twice = cut(packed(found.groupBy("row").count(), n).where("count > 1").select("row"))
+    out = packed(packed(found.join(best, "root").where("row <> best").select("row"), n).union(twice).distinct(), n)
+    back = packed(best.select(F.col("best").alias("row")).join(twice, "row", "left_semi"), n)
     name = near_name(docs.columns, "row")
     keyed = docs.select(*[quoted(c) for c in docs.columns], row_key(docs).alias(name))
     stay = keyed.join(few(out).withColumnRenamed("row", name), name, "left_anti")
-    packed = keyed.join(few(back).withColumnRenamed("row", name), name, "left_semi").groupBy(name).agg(F.first(F.struct(*[quoted(c).alias(c) for c in docs.columns])).alias("record"))
-    return stay.select(*[quoted(c) for c in docs.columns]).unionByName(packed.select(*[F.col("record").getField(c).alias(c) for c in docs.columns]))
+    again = keyed.join(few(back).withColumnRenamed("row", name), name, "left_semi").groupBy(name).agg(F.first(F.struct(*[quoted(c).alias(c) for c in docs.columns])).alias("record"))
+    return stay.select(*[quoted(c) for c in docs.columns]).unionByName(again.select(*[F.col("record").getField(c).alias(c) for c in docs.columns]))
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

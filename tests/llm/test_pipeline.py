@@ -143,3 +143,30 @@ def test_rows_of_a_large_group(spark):
 
     assert n / shingle_links.BLOCK > shingle_links.CROWD
     assert shingle_links._blocks(rooted, 0.8, seconds).count() <= 4 * n
+
+
+def test_near_dedup_in_few_tasks(spark, words):
+    """With 64 shuffle partitions, small tables between the steps get as many tasks as their rows are worth, for each task leaves files."""
+    rng = random.Random(55)
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    rows = []
+    for k in range(20):
+        base = say(40)
+        rows += [(4 * k + j, " ".join(w if i not in (3 * j, 39 - j) else "zz" for i, w in enumerate(base)), "en", "s", 1) for j in range(4)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(2)
+    sc, held = spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sc.setJobGroup("few tasks", "near_dedup")
+    try:
+        found = shingle_links.near_duplicates(docs).select("doc_id", "component_id").collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    told = sc.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup("few tasks") for s in told.getJobInfo(j).stageIds}
+    tasks = [told.getStageInfo(s).numCompletedTasks for s in stages if told.getStageInfo(s)]
+    assert len({r["doc_id"] for r in found}) == 80
+    # 4,633 when each of these had a task for each shuffle partition
+    assert 0 < sum(tasks) < 3000
