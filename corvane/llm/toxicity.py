@@ -25,7 +25,6 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,28 +55,55 @@ def words_of(text: str | None) -> list[bytes]:
 
 def hashes(word: bytes) -> list[int]:
     """Buckets of a word: its own and those of its first characters; 0 is the padding's."""
-    return _hashes(word) if len(word) <= 64 else _hashes.__wrapped__(word)
-
-
-@lru_cache(1 << 16)
-def _hashes(word: bytes) -> list[int]:
     s = word.decode("utf-8", "replace")
     return [1 + zlib.crc32(word) % (BUCKETS - 1)] + [1 + zlib.crc32(s[:n].encode(), n) % (BUCKETS - 1) if len(s) > n else 0 for n in PREFIXES]
 
 
+#: CRC-32's table, and for each prefix the difference that its seed makes after so many bytes, whatever they are.
+_CRC = np.array([zlib.crc32(bytes([255 ^ b])) ^ 0xFF000000 for b in range(256)], np.uint32)
+_SEEDS = np.array([[zlib.crc32(bytes(k), n) ^ zlib.crc32(bytes(k)) for k in range(4 * n + 1)] + [0] * 4 * (max(PREFIXES) - n) for n in PREFIXES], np.uint32)
+#: Words that are hashed at once, and texts whose buckets are marked at once.
+BLOCK, MARKED = 1 << 16, 64
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    """(len(words), 1 + len(PREFIXES)): hashes() of every word. The words are not empty, and valid UTF-8."""
+    out = np.zeros((len(words), 1 + len(PREFIXES)), np.int64)
+    most = 4 * max(PREFIXES)  # bytes of the longest prefix
+    for i in range(0, len(words), BLOCK):
+        some, own = words[i : i + BLOCK], out[i : i + BLOCK]
+        own[:, 0] = 1 + np.fromiter(map(zlib.crc32, some), np.int64, len(some)) % (BUCKETS - 1)
+        some = [w[: most + 1] for w in some]  # the byte after a prefix says that the word goes on
+        data = np.frombuffer(b"".join(some) + bytes(most), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
+        starts = np.concatenate([[0], ends[:-1]])
+        chars = np.flatnonzero((data & 0xC0) != 0x80)  # where a character starts
+        first = np.searchsorted(chars, starts)
+        rows = [np.flatnonzero(chars[first + n] < ends) for n in PREFIXES]
+        sizes = [chars[first[r] + n] - starts[r] for r, n in zip(rows, PREFIXES, strict=True)]
+        state = np.full((1 + max(int(z.max(initial=0)) for z in sizes), len(some)), 0xFFFFFFFF, np.uint32)
+        for k in range(len(state) - 1):
+            state[k + 1] = _CRC[(state[k] ^ data[starts + k]) & 0xFF] ^ (state[k] >> np.uint32(8))
+        for p, (r, z) in enumerate(zip(rows, sizes, strict=True)):
+            own[r, 1 + p] = 1 + (~state[z, r] ^ _SEEDS[p, z]).astype(np.int64) % (BUCKETS - 1)
+    return out
+
+
 class Batch:
     """Texts as numbers of distinct words; each text is followed by padding as long as the widest filter less one, and has one word at least."""
 
     def __init__(self, lists: list[list[bytes]]):
-        number: dict[bytes, int] = {}
+        said = list(itertools.chain.from_iterable(lists))
+        words = list(dict.fromkeys(said))
+        number = dict(zip(words, range(1, len(words) + 1), strict=True))
         pad = max(WIDTHS) - 1
-        size = np.array([max(1, len(ws)) + pad for ws in lists])
+        many = np.array([len(ws) for ws in lists], np.int64)
+        size = np.maximum(many, 1) + pad
         self.starts = np.cumsum(size) - size
-        self.ids = np.zeros(int(size.sum()), np.int64)
-        for ws, a in zip(lists, self.starts.tolist(), strict=True):
-            self.ids[a : a + len(ws)] = [number.setdefault(w, len(number) + 1) for w in ws]
         self.ends = self.starts + size - pad
-        self.of = np.array([[0] * (1 + len(PREFIXES)), *map(hashes, number)], np.int64)
+        self.ids = np.zeros(int(size.sum()), np.int64)
+        self.ids[np.arange(len(said)) + np.repeat(self.starts - (np.cumsum(many) - many), many)] = np.fromiter(map(number.__getitem__, said), np.int64, len(said))
+        self.of = np.concatenate([np.zeros((1, 1 + len(PREFIXES)), np.int64), hashed(words)])
         self.text = np.repeat(np.arange(len(lists)), size)
 
 
@@ -196,12 +222,32 @@ class Net:
         self.shift, self.out, self.bias = rest[i : i + n].copy(), rest[i + n : i + 2 * n].copy(), np.float32(rest[i + 2 * n])
 
 
+def ranges(lists: list[list[bytes]]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of some CHUNK / 8 words, one text at least."""
+    i = 0
+    while i < len(lists):
+        j, held = i, 0
+        while j < len(lists) and (j == i or held < CHUNK // 8):
+            held += len(lists[j]) + 3
+            j += 1
+        yield i, j
+        i = j
+
+
 def held_by(lists: list[list[bytes]], y: np.ndarray) -> np.ndarray:
     """(2, BUCKETS): how many texts of either label hold each bucket."""
-    counts = np.zeros((2, BUCKETS))
-    for ws, t in zip(lists, y.tolist(), strict=True):
-        counts[int(t), list(set(itertools.chain.from_iterable(map(hashes, set(ws)))))] += 1
-    return counts
+    counts = np.zeros(2 * BUCKETS)
+    for i, j in ranges(lists):
+        b = Batch(lists[i:j])
+        for t in range(0, j - i, MARKED):
+            held, n = np.zeros(MARKED * BUCKETS, bool), min(MARKED, j - i - t)
+            for a in range(int(b.starts[t]), int(b.ends[t + n - 1]), BLOCK):
+                z = min(a + BLOCK, int(b.ends[t + n - 1]))
+                said = b.ids[a:z] > 0  # padding is no word
+                held[((b.text[a:z][said] - t) * BUCKETS)[:, None] + b.of[b.ids[a:z][said]]] = True
+            text, bucket = np.divmod(np.flatnonzero(held), BUCKETS)
+            counts += np.bincount(y[i + t + text].astype(np.int64) * BUCKETS + bucket, minlength=2 * BUCKETS)
+    return counts.reshape(2, BUCKETS)
 
 
 def log_odds(counts: np.ndarray, share: float, strength: float = 4.0) -> np.ndarray:
@@ -263,14 +309,9 @@ class Model:
         return float((z[i] + nxt[i]) / 2)
 
     def logits(self, lists: list[list[bytes]]) -> np.ndarray:
-        out, i = np.zeros(len(lists)), 0
-        while i < len(lists):
-            j, held = i, 0
-            while j < len(lists) and (j == i or held < CHUNK // 8):
-                held += len(lists[j]) + 3
-                j += 1
+        out = np.zeros(len(lists))
+        for i, j in ranges(lists):
             out[i:j] = self.net.logits(Batch(lists[i:j]))
-            i = j
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:

@@ -153,3 +153,27 @@ def test_counts_of_tasks_are_those_of_all(spark, table):
     other = X.Net(4)
     other.put(net.flat())
     assert (other.flat() == net.flat()).all() and other.bias == net.bias
+
+
+def test_words_are_hashed_in_blocks(table, monkeypatch):
+    """Learning and scoring hash no word on its own; buckets and counts are those of plain loops."""
+    import numpy as np
+
+    rng = random.Random(8)
+    said = ["".join(rng.choice("abz019\u00e9\u00df\u4e2d\u0937\U0001f600") for _ in range(rng.randint(1, 30))).encode() for _ in range(3000)]
+    said += [c.encode() * n for c in ("a", "\u00e9", "\U0001f600") for n in (*range(1, 26), 70, 5000)]
+    monkeypatch.setattr(X, "BLOCK", 1000)
+    assert X.hashed(said).tolist() == [X.hashes(w) for w in said] and X.hashed([]).shape == (0, 1 + len(X.PREFIXES))
+    lists = [[], said, *([rng.choice(said) for _ in range(rng.randint(0, 9))] for _ in range(150)), []]
+    y = np.array([i % 3 == 0 for i in range(len(lists))], float)
+    want = np.zeros((2, X.BUCKETS))
+    for ws, t in zip(lists, y, strict=True):
+        want[int(t), list({h for w in ws for h in X.hashes(w)})] += 1
+    assert (X.held_by(lists, y) == want).all()
+
+    rows, labels = table
+    alone = []
+    monkeypatch.setattr(X, "hashes", lambda word: alone.append(word) or [0] * (1 + len(X.PREFIXES)))
+    texts = [t or "" for _, t, _ in rows[:300]]
+    model = X.Model(texts, np.array([t for _, _, t in labels[:300]], float), langid.Model(langid.features(texts[:4]), ["en"] * 4))
+    assert model.score(["ka to grubek snarfle plonkery", "ka to ri lo"])[0] >= 0.3 and not alone
